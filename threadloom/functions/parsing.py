@@ -1,13 +1,15 @@
 """Typed values from raw CSV strings, as Spark columns.
 
-Each parser gives NULL for a string that does not parse. Whether NULL means
-"absent" or "bad" differs per field, so the parsers come with ``*_is_bad``
-tests that the row-rejection step combines.
+Each parser gives NULL for a string that does not parse. Row rejection looks
+at the results: NULL is bad in a required field, and in an optional one only
+where the raw string was not empty.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import stripped
+
 _INTEGER = r"(?U)^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*\z"
 _INTEGER_OR_ZERO_FRACTION = r"(?U)^\s*[+-]?[0-9]+(?:_[0-9]+)*(?:\.0+)?\s*\z"
 
@@ -40,7 +42,7 @@ def strict_integer(raw: Column) -> Column:
 
 def inbound(raw: Column) -> Column:
     """True only for the word true; every other string is False."""
-    return F.lower(F.trim(F.regexp_replace(raw, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", ""))) == "true"
+    return F.lower(stripped(raw)) == "true"
 
 
 def created_at(raw: Column) -> Column:
@@ -69,19 +71,10 @@ def created_at(raw: Column) -> Column:
     )
 
 
-def response_ids(raw: Column) -> Column:
-    """Comma-separated ids as an array; the empty string means none."""
+def id_list(raw: Column) -> Column:
+    """Comma-separated ids; NULL for "", a NULL element for an unreadable part."""
     return F.when(raw != "", F.transform(F.split(raw, ","), strict_integer))
 
 
-def response_ids_bad(raw: Column) -> Column:
-    """One unreadable part spoils the whole list."""
-    return (raw != "") & F.exists(F.split(raw, ","), lambda part: strict_integer(part).isNull())
-
-
-def parent_id(raw: Column) -> Column:
+def optional_id(raw: Column) -> Column:
     return F.when(raw != "", strict_integer(raw))
-
-
-def parent_id_bad(raw: Column) -> Column:
-    return (raw != "") & strict_integer(raw).isNull()

@@ -11,14 +11,15 @@ from threadloom.constants import (
     LINK_PATTERN,
     SEVERITY_PATTERNS,
 )
+from threadloom.functions.text import regex
 
 
 def without_links(reply: Column) -> Column:
-    return F.regexp_replace(reply, "(?U)" + LINK_PATTERN, LINK_MARK)
+    return F.regexp_replace(reply, regex(LINK_PATTERN), LINK_MARK)
 
 
 def without_handles(reply: Column) -> Column:
-    return F.regexp_replace(reply, "(?U)" + HANDLE_PATTERN, HANDLE_MARK)
+    return F.regexp_replace(reply, regex(HANDLE_PATTERN), HANDLE_MARK)
 
 
 def claims_completed_action(reply: Column) -> Column:

@@ -5,14 +5,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadloom.constants import STRIP_PATTERNS
 
-# Unicode white space plus the four ASCII separators U+001C to U+001F.
+# Letters, numbers and the underscore; no combining marks.
+# Blanks: Unicode white space plus the four ASCII separators U+001C to U+001F.
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
 _BLANKS = r"(?U)[\s\x1C-\x1F]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC. Spark has no such expression; ASCII text passes through."""
     return text.map(
@@ -30,8 +33,22 @@ def normalized(text: Column) -> Column:
     return collapse_blanks(nfkc(text))
 
 
+def regex(pattern: str) -> str:
+    """A pattern with the Unicode meaning of word, digit and blank characters."""
+    return "(?U)" + (
+        pattern.replace(r"\w", WORD_CHARACTER)
+        .replace(r"\s", r"[\s\x1C-\x1F]")
+        .replace(r"\S", r"[^\s\x1C-\x1F]")
+    )
+
+
 def without_ids(text: Column) -> Column:
     """Mentions, links, long numbers and HTML ampersands each become a space."""
     for pattern in STRIP_PATTERNS:
-        text = F.regexp_replace(text, "(?U)" + pattern if pattern != r"&amp;?" else pattern, " ")
+        text = F.regexp_replace(text, regex(pattern), " ")
     return text
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")

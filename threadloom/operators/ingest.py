@@ -12,29 +12,26 @@ from threadloom.sources.tables import materialize, write_table
 
 def parse_rows(raw: DataFrame) -> DataFrame:
     """Landing columns plus ``reject_reasons``, the names of unreadable fields."""
-    bad = {
-        "tweet_id": P.tweet_id(F.col("tweet_id")).isNull(),
-        "author_id": F.col("author_id").isNull(),
-        "inbound": F.col("inbound").isNull(),
-        "created_at": P.created_at(F.col("created_at")).isNull(),
-        "text": F.col("text").isNull(),
-        "response_tweet_id": P.response_ids_bad(F.col("response_tweet_id")),
-        "in_response_to_tweet_id": P.parent_id_bad(F.col("in_response_to_tweet_id")),
-    }
-    typed = {
-        "tweet_id": P.tweet_id(F.col("tweet_id")),
-        "inbound": P.inbound(F.col("inbound")),
-        "created_at": P.created_at(F.col("created_at")),
-        "response_tweet_id": P.response_ids(F.col("response_tweet_id")),
-        "in_response_to_tweet_id": P.parent_id(F.col("in_response_to_tweet_id")),
-    }
+    parsed = raw.select(
+        *(F.col(name).alias(f"raw_{name}") for name in RAW_COLUMNS),
+        P.tweet_id(F.col("tweet_id")).alias("tweet_id"),
+        F.col("author_id"),
+        P.inbound(F.col("inbound")).alias("inbound"),
+        P.created_at(F.col("created_at")).alias("created_at"),
+        F.col("text"),
+        P.id_list(F.col("response_tweet_id")).alias("response_tweet_id"),
+        P.optional_id(F.col("in_response_to_tweet_id")).alias("in_response_to_tweet_id"),
+    )
+    # Parsed once above; a reason is then a look at the result.
+    bad = {name: F.col(name).isNull() for name in ("tweet_id", "author_id", "inbound", "created_at", "text")}
+    bad["response_tweet_id"] = F.exists("response_tweet_id", lambda part: part.isNull())
+    bad["in_response_to_tweet_id"] = (F.col("raw_in_response_to_tweet_id") != "") & F.col(
+        "in_response_to_tweet_id"
+    ).isNull()
     reasons = F.filter(
         F.array(*(F.when(test, F.lit(name)) for name, test in bad.items())), lambda r: r.isNotNull()
     )
-    return raw.select(
-        *(typed.get(name, F.col(name)).alias(name) for name in RAW_COLUMNS),
-        reasons.alias("reject_reasons"),
-    )
+    return parsed.select(*RAW_COLUMNS, reasons.alias("reject_reasons"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -11,12 +11,17 @@ they are, without a shuffle.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.joins import sized_join
+
+ORDER_BITS = 60
 BUCKET_BITS = 16
 
 
 def hash_order(key: str, seed: int) -> Column:
-    """Repeatable pseudo-random order of rows by id."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """Repeatable pseudo-random order of rows by id: the first 15 hex digits of
+    an MD5 sum, a number of 60 bits that any SQL engine can recompute."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def rank_cuts(
@@ -24,8 +29,7 @@ def rank_cuts(
 ) -> DataFrame:
     """Order value and key of the row at each wanted rank of each group.
 
-    ``key`` is unique, ``order`` is a 64-bit number spread evenly over its
-    range, and ``wanted`` has the columns group, name and rank, where rank
+    ``key`` is unique, ``order`` comes from ``hash_order``, and ``wanted`` has the columns group, name and rank, where rank
     counts from 1 and ranks outside the group are left out.
     Gives group, name, cut_order and cut_key.
     """
@@ -33,30 +37,37 @@ def rank_cuts(
         F.col(group).alias("_group"),
         F.col(key).alias("_key"),
         order.alias("_order"),
-        F.shiftright(order, 64 - bits).alias("_bucket"),
+        F.shiftright(order, ORDER_BITS - bits).alias("_bucket"),
     )
     counts = rows.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     # At most 2 ** bits rows per group, whatever the size of the table.
     upto = Window.partitionBy("_group").orderBy("_bucket")
     spans = counts.withColumn("_end", F.sum("_size").over(upto))
-    picked = (
+    # One row per bucket that holds a wanted rank: few, and counted before use.
+    cells = (
         spans.join(wanted.withColumnRenamed(group, "_group"), "_group")
         .where((F.col("rank") > F.col("_end") - F.col("_size")) & (F.col("rank") <= F.col("_end")))
+        .withColumn("_at", F.col("rank") - F.col("_end") + F.col("_size"))
+        .groupBy(_cell().alias("_wanted_cell"))
+        .agg(F.collect_list(F.struct("name", "_at")).alias("_picks"))
+    )
+    inside = Window.partitionBy("_cell").orderBy("_order", "_key")
+    return (
+        sized_join(rows.withColumn("_cell", _cell()), cells, "_cell", "_wanted_cell", spread=F.col("_key"))
+        .withColumn("_place", F.row_number().over(inside))
+        .select("*", F.inline("_picks"))
+        .where(F.col("_place") == F.col("_at"))
         .select(
-            "_group", "_bucket", "name", (F.col("rank") - F.col("_end") + F.col("_size")).alias("_at")
+            F.col("_group").alias(group),
+            "name",
+            F.col("_order").alias("cut_order"),
+            F.col("_key").alias("cut_key"),
         )
     )
-    needed = picked.select("_group", "_bucket").distinct()
-    inside = Window.partitionBy("_group", "_bucket").orderBy("_order", "_key")
-    ranked = rows.join(needed, ["_group", "_bucket"], "left_semi").withColumn(
-        "_at", F.row_number().over(inside)
-    )
-    return ranked.join(picked, ["_group", "_bucket", "_at"]).select(
-        F.col("_group").alias(group),
-        "name",
-        F.col("_order").alias("cut_order"),
-        F.col("_key").alias("cut_key"),
-    )
+
+
+def _cell() -> Column:
+    return F.concat_ws(":", F.col("_bucket").cast("string"), F.col("_group").cast("string"))
 
 
 def at_or_before(order: Column, key: str, cut: str) -> Column:

@@ -3,8 +3,10 @@
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.operators import clean, knowledge, label, threads, tickets, validate
+from threadloom.operators.joins import salted_join
 from threadloom.plans import derive
 from threadloom.sources.tables import materialize
 
@@ -63,3 +65,35 @@ class Flow:
     @cached_property
     def stored_knowledge(self) -> DataFrame:
         return materialize(self.knowledge, "knowledge-base")
+
+    @cached_property
+    def drafted(self) -> DataFrame:
+        """A draft per brand message of a resolved ticket, with its own thread
+        as the retrieved example: draft_id, text, query, retrieved, draft.
+
+        A thread may hold many brand messages, so the join to it is salted.
+        """
+        messages = (
+            threads.with_roots(self.tweets.select("tweet_id", "inbound", "text"), self.roots)
+            .where(~F.col("inbound"))
+            .select(F.col("tweet_id").alias("draft_id"), "text", "thread_root_id")
+        )
+        example = F.struct(
+            F.col("ticket_id").cast("string").alias("ticket_id"),
+            "category", "priority", "customer_message", "resolution_text",
+            F.lit(0.0).alias("distance"),
+        )
+        root = F.col("ticket_id").cast("string")
+        return salted_join(
+            messages, self.stored_knowledge, "thread_root_id", "ticket_id", spread=F.col("draft_id")
+        ).select(
+            "draft_id",
+            "text",
+            F.col("customer_message").alias("query"),
+            F.array(example).alias("retrieved"),
+            F.struct(
+                F.col("text").alias("reply"),
+                F.array(root, F.concat(F.lit("x"), root), root).alias("cited_ticket_ids"),
+                (F.col("draft_id") % 5 == 0).alias("needs_human_escalation"),
+            ).alias("draft"),
+        )

@@ -97,6 +97,8 @@ PARTS = {
     "kb": """SELECT l.ticket_id, l.category, l.priority, l.text AS customer_message,
         b.text_clean AS resolution_text
       FROM labeled l JOIN brand_first b ON b.thread_root_id = l.ticket_id""",
+    "drafted": """SELECT r.tweet_id AS draft_id, r.text, k.customer_message AS query, k.*
+      FROM rooted r JOIN kb k ON k.ticket_id = r.thread_root_id WHERE NOT r.inbound""",
 }
 _NEEDS = {
     "tweets": (), "landing": ("tweets",), "raw": ("tweets",), "checked": ("landing",),
@@ -104,7 +106,11 @@ _NEEDS = {
     "walk": ("parent",), "roots": ("walk",), "rooted": ("roots",), "brand_first": ("rooted",),
     "sizes": ("rooted",), "tickets": ("sizes", "brand_first"), "scored": ("tickets",),
     "labeled": ("scored",), "kb": ("labeled",),
+    "drafted": ("kb",),
 }
+# Python's and Spark's word and blank characters, in the oracle's regular expressions.
+WORD = r"[\pL\pN_]"
+NOT_BLANK = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\pZ]"
 
 
 def flow_sql(stage: str, select: str, **more: str) -> str:

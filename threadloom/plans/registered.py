@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.plans.flow import Flow
-from threadloom.session import SETTINGS
+from threadloom.session import SETTINGS, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,7 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             for key, value in SETTINGS.items():
                 spark.conf.set(key, value)
+            ship_package(spark)
             return fn(Flow(spark, sf_dir))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__

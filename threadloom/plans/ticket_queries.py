@@ -362,8 +362,8 @@ def kb_report(flow: Flow):
 
 
 @query(
-    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-      '@[\pL\pM\pN_]+', ' ', 'g'), 'https?://[^\s\x{00A0}]+', ' ', 'g'), '\b\d{4,}\b', ' ', 'g'),
+    f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+      '@{oracle.WORD}+', ' ', 'g'), 'https?://{oracle.NOT_BLANK}+', ' ', 'g'), '\\b\\d{{4,}}\\b', ' ', 'g'),
       '&amp;?', ' ', 'g') AS clean_text FROM documents"""
 )
 def strip_tokens(flow: Flow):

@@ -51,5 +51,6 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
         df.select(*RAW_COLUMNS)
         .write.mode("overwrite")
         .options(header="true", quote='"', escape='"', quoteAll="true")
+        .options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
         .csv(path)
     )
