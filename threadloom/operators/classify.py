@@ -71,7 +71,7 @@ def train_and_evaluate(
     """
     train = parts.where("part = 'train'")
     test = parts.where("part = 'test'")
-    vectors = fit_tfidf(train, key, text, terms, min_df)
+    vectors = fit_tfidf(train, text, terms, min_df)
     featured = vectors.transform(train.select(key, text, target)).persist(StorageLevel.MEMORY_AND_DISK)
     classifier = fit_classifier(featured, target, 1.0, "balanced", featured.count(), iterations)
     featured.unpersist()
@@ -101,7 +101,7 @@ def tune(
     """
     spark = parts.sparkSession
     train = parts.where("part = 'train'")
-    vectors = fit_tfidf(train, key, text, terms, min_df)
+    vectors = fit_tfidf(train, text, terms, min_df)
 
     def featured(part: str) -> DataFrame:
         return vectors.transform(parts.where(F.col("part") == part).select(key, text, target))

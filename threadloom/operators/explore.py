@@ -114,7 +114,7 @@ def explore(
         "explore-sample",
     )
     stops = stop_words(sample, columns)
-    model = fit_tfidf(sample, key, "clean_text", terms, min_df, max_df, stops)
+    model = fit_tfidf(sample, "clean_text", terms, min_df, max_df, stops)
     vocabulary = vocabulary_of(model)
     vectors = materialize(model.transform(sample).select(key, "features"), "explore-vectors")
     lsa, explained = reduced(vectors, min(components, len(vocabulary) - 1))

@@ -17,6 +17,10 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(f"spark.threadloom.{name}", str(default)))
 
 
+def hot_key_rows(df: DataFrame) -> int:
+    return _setting(df, "hotKeyRows", HOT_KEY_ROWS)
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys with too many rows for one task, with the number of parts to use.
 
@@ -24,7 +28,7 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     key listed has more than ``HOT_KEY_ROWS`` rows, so a table of N rows lists
     at most N / HOT_KEY_ROWS keys: 1e12 rows give at most 1e6 keys of 12 bytes.
     """
-    rows = _setting(df, "hotKeyRows", HOT_KEY_ROWS)
+    rows = hot_key_rows(df)
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("_hot"))
@@ -51,7 +55,7 @@ def salted_join(
     outer join keeps, are spread out too. ``rows`` is the length of ``left``
     where the caller knows it: a short table cannot hold a hot key.
     """
-    if rows is not None and rows <= _setting(left, "hotKeyRows", HOT_KEY_ROWS):
+    if rows is not None and rows <= hot_key_rows(left):
         return left.join(right, F.col(left_key) == F.col(right_key), how)
     hot = hot_keys(left, left_key)
     parts = F.coalesce("_parts", F.lit(1))

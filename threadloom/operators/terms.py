@@ -8,9 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
-    NGram,
     Normalizer,
-    RegexTokenizer,
     SQLTransformer,
     StopWordsRemover,
 )
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import WORD_CHARACTER
 
 WORD = WORD_CHARACTER + "{2,}"
+_SQL_WORD = WORD.replace("\\", "\\\\")
 
 
 def term_stages(text: str = "text", stop_words: list[str] | None = None) -> list:
@@ -28,21 +27,22 @@ def term_stages(text: str = "text", stop_words: list[str] | None = None) -> list
     characters, less stop words, then pairs of the words that are left."""
     words = "_words" if stop_words is None else "_all_words"
     stages = [
-        SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS _filled FROM __THIS__"),
-        RegexTokenizer(
-            inputCol="_filled", outputCol=words, pattern=WORD, gaps=False, toLowercase=True, minTokenLength=2
-        ),
+        SQLTransformer(
+            statement=f"SELECT *, regexp_extract_all(lower(coalesce({text}, '')), '{_SQL_WORD}', 0) AS {words}"
+            " FROM __THIS__"
+        )
     ]
     if stop_words is not None:
         stages.append(StopWordsRemover(inputCol=words, outputCol="_words", stopWords=stop_words))
-    return stages + [
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS terms FROM __THIS__"),
-    ]
+    pairs = (
+        "zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, greatest(size(_words) - 1, 0)),"
+        " (a, b) -> concat(a, ' ', b))"
+    )
+    return stages + [SQLTransformer(statement=f"SELECT *, concat(_words, {pairs}) AS terms FROM __THIS__")]
 
 
 def _scratch_columns(stop_words: list[str] | None) -> str:
-    return "_filled, _words, _pairs" + (", _all_words" if stop_words is not None else "")
+    return "_words" + (", _all_words" if stop_words is not None else "")
 
 
 def with_terms(df: DataFrame, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
@@ -51,22 +51,24 @@ def with_terms(df: DataFrame, text: str = "text", stop_words: list[str] | None =
     return PipelineModel(stages=term_stages(text, stop_words) + [drop]).transform(df)
 
 
-def term_table(
-    termed: DataFrame, key: str, size: int, min_df: int, max_df: float = 1.0
-) -> DataFrame:
+def term_table(termed: DataFrame, size: int, min_df: int, max_df: float = 1.0) -> DataFrame:
     """Commonest terms with corpus count, document count and weight.
 
-    Counting is per document and term first, then per term; both steps combine
-    map-side, so a term in every document is not hot. Equal counts are ordered
-    by term. The weight is ln((1 + documents) / (1 + df)) + 1.
+    Each document sends its terms followed by its distinct terms, so one
+    grouping by term gives both counts. It combines map-side: what is shuffled
+    is one row per task and distinct term, and a term in every document is not
+    hot. Equal counts are ordered by term. The weight is
+    ln((1 + documents) / (1 + df)) + 1.
     """
-    per_document = (
-        termed.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    both = termed.select(
+        F.size("terms").alias("_n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("_at", "term")
     )
     documents = termed.agg(F.count(F.lit(1)).alias("documents")).scalar()
     return (
-        per_document.groupBy("term")
-        .agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+        both.groupBy("term")
+        .agg(
+            F.count_if(F.col("_at") < F.col("_n")).alias("tf"), F.count_if(F.col("_at") >= F.col("_n")).alias("df")
+        )
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * documents))
         .withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
         .orderBy(F.col("tf").desc(), F.col("term"))
@@ -76,7 +78,6 @@ def term_table(
 
 def fit_tfidf(
     df: DataFrame,
-    key: str,
     text: str,
     size: int,
     min_df: int,
@@ -88,8 +89,8 @@ def fit_tfidf(
 
     The driver holds the ``size`` vocabulary rows, and no more.
     """
-    termed = with_terms(df.select(key, text), text, stop_words)
-    vocabulary = term_table(termed, key, size, min_df, max_df).select("term", "idf").collect()
+    termed = with_terms(df.select(text), text, stop_words)
+    vocabulary = term_table(termed, size, min_df, max_df).select("term", "idf").collect()
     if not vocabulary:
         raise ValueError(f"no term occurs in {min_df} texts or more")
     counts = CountVectorizerModel.from_vocabulary(

@@ -15,13 +15,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.joins import salted_join
+from threadloom.operators.joins import hot_key_rows, salted_join
 from threadloom.sources.tables import materialize
 
-_STATE = ("tweet_id", "pointer", "done")
+# Pointer moves in one job, for tables too short to hold a hot key.
+_MOVES = 3
 
 
-def _first_step(links: DataFrame) -> DataFrame:
+def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """Rows with a parent in the table; done when that parent starts a thread.
 
     Rows left out have no parent, reply to themselves or to a missing row, and
@@ -29,7 +30,7 @@ def _first_step(links: DataFrame) -> DataFrame:
     """
     replies = links.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id")))
     parents = links.select(F.col("tweet_id").alias("at"), F.col("parent").alias("grand"))
-    return salted_join(replies, parents, "parent", "at", spread=F.col("tweet_id")).select(
+    return salted_join(replies, parents, "parent", "at", "inner", F.col("tweet_id"), rows).select(
         "tweet_id",
         F.col("parent").alias("pointer"),
         (F.col("grand").isNull() | (F.col("grand") == F.col("at"))).alias("done"),
@@ -37,17 +38,27 @@ def _first_step(links: DataFrame) -> DataFrame:
 
 
 def _next_step(open_rows: DataFrame, known: DataFrame, rows: int) -> DataFrame:
-    """Move the pointers of open rows. A pointer not in ``known`` is a top."""
+    """Move the pointers of open rows. A pointer not in ``known`` is a top.
+
+    A short table is moved several times in one job, to save jobs. A longer
+    one is moved once, since hot keys are counted afresh for every move.
+    """
     lookup = known.select(
         F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("done").alias("next_done")
     )
-    return salted_join(
-        open_rows.select("tweet_id", "pointer"), lookup, "pointer", "at", "left", F.col("tweet_id"), rows
-    ).select(
-        "tweet_id",
-        F.coalesce("next", "pointer").alias("pointer"),
-        F.coalesce("next_done", F.lit(True)).alias("done"),
-    )
+    moved = open_rows.select("tweet_id", "pointer")
+    for _ in range(_MOVES if rows <= hot_key_rows(moved) else 1):
+        moved = salted_join(moved, lookup, "pointer", "at", "left", F.col("tweet_id"), rows).select(
+            "tweet_id",
+            F.coalesce("next", "pointer").alias("pointer"),
+            F.coalesce("next_done", F.lit(True)).alias("done"),
+        )
+    return moved
+
+
+def _open_and_done(step: DataFrame) -> tuple[int, int]:
+    row = step.agg(F.count_if(~F.col("done")), F.count_if("done")).first()
+    return row[0], row[1]
 
 
 def _circle_roots(circle: DataFrame, rows: int) -> DataFrame:
@@ -83,28 +94,24 @@ def reply_roots(tweets: DataFrame) -> DataFrame:
     links = materialize(
         tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent")), "thread-links"
     )
-    step = materialize(_first_step(links), "thread-step")
-    finished = step.where("done")
-    still_open = step.where("not done")
-    left = still_open.count()
+    step = materialize(_first_step(links, links.count()), "thread-step")
+    finished, still_open = step.where("done"), step.where("not done")
+    left, _ = _open_and_done(step)
     while left:
-        known = finished.unionByName(still_open)
-        step = materialize(_next_step(still_open, known, left), "thread-step")
-        now_open = step.where("not done")
-        now_left = now_open.count()
-        finished = finished.unionByName(step.where("done"))
-        if now_left == left:
+        step = materialize(_next_step(still_open, finished.unionByName(still_open), left), "thread-step")
+        now_left, now_done = _open_and_done(step)
+        if not now_done:
             # An open row with a top above it always lets one row finish, so
             # these all run in circles. Start again from their parents.
             circle = materialize(
-                links.join(now_open.select("tweet_id"), "tweet_id", "left_semi").select(
+                links.join(still_open.select("tweet_id"), "tweet_id", "left_semi").select(
                     "tweet_id", F.col("parent").alias("pointer")
                 ),
                 "thread-circle",
             )
             finished = finished.unionByName(materialize(_circle_roots(circle, left), "thread-circle"))
             break
-        still_open, left = now_open, now_left
+        finished, still_open, left = finished.unionByName(step.where("done")), step.where("not done"), now_left
     return finished.select("tweet_id", F.col("pointer").alias("thread_root_id"))
 
 

@@ -7,6 +7,8 @@ check and rejection has rows to act on.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.sources.tables import read_spread
+
 # pid, phrase
 PHRASES = (
     "I can't log in and my password reset never came",
@@ -101,6 +103,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TWEETS_SQL, conversations=read(spark, sf_dir, "conversations"))
 

@@ -84,7 +84,7 @@ class Flow:
             F.lit(0.0).alias("distance"),
         )
         root = F.col("ticket_id").cast("string")
-        return salted_join(
+        drafts = salted_join(
             messages, self.stored_knowledge, "thread_root_id", "ticket_id", spread=F.col("draft_id")
         ).select(
             "draft_id",
@@ -97,3 +97,4 @@ class Flow:
                 (F.col("draft_id") % 5 == 0).alias("needs_human_escalation"),
             ).alias("draft"),
         )
+        return materialize(drafts, "drafts")

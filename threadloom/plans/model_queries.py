@@ -12,7 +12,7 @@ from threadloom.sources.tables import materialize, scratch_path
 
 
 def _documents(flow: Flow):
-    return derive.read(flow.spark, flow.sf_dir, "documents")
+    return derive.documents(flow.spark, flow.sf_dir)
 
 
 # --- split ---------------------------------------------------------------
@@ -145,7 +145,7 @@ def majority_baseline(flow: Flow):
 def tfidf_terms(flow: Flow):
     """Commonest words and word pairs of the documents with their weights."""
     termed = terms.with_terms(_documents(flow).select("doc_id", "text"))
-    return _rounded(terms.term_table(termed, "doc_id", TFIDF_TERMS, TFIDF_MIN_DF), "idf")
+    return _rounded(terms.term_table(termed, TFIDF_TERMS, TFIDF_MIN_DF), "idf")
 
 
 # --- ledger --------------------------------------------------------------

@@ -33,7 +33,7 @@ def hash_order_sql(key: str) -> str:
 
 
 def _documents(flow: Flow):
-    return derive.read(flow.spark, flow.sf_dir, "documents")
+    return derive.documents(flow.spark, flow.sf_dir)
 
 
 def _embeddings(flow: Flow):

@@ -115,7 +115,7 @@ def broken_links(flow: Flow):
 )
 def duplicate_pairs(flow: Flow):
     """Repeated (source, text) pairs of the documents, which hold copies."""
-    documents = derive.read(flow.spark, flow.sf_dir, "documents").select(
+    documents = derive.documents(flow.spark, flow.sf_dir).select(
         F.col("doc_id").alias("tweet_id"), F.col("source").alias("author_id"), "text"
     )
     return validate.duplicate_pairs(documents)
@@ -168,7 +168,7 @@ def clean_report(flow: Flow):
 )
 def null_audit(flow: Flow):
     """NULL cells of the documents' labels; not every document is labelled."""
-    documents = derive.read(flow.spark, flow.sf_dir, "documents").select("doc_id")
+    documents = derive.documents(flow.spark, flow.sf_dir).select("doc_id")
     labels = derive.read(flow.spark, flow.sf_dir, "labels")
     return clean.null_cells(documents.join(labels, "doc_id", "left"))
 
@@ -368,5 +368,5 @@ def kb_report(flow: Flow):
 )
 def strip_tokens(flow: Flow):
     """Documents without mentions, links, long numbers and HTML ampersands."""
-    documents = derive.read(flow.spark, flow.sf_dir, "documents")
+    documents = derive.documents(flow.spark, flow.sf_dir)
     return documents.select("doc_id", without_ids(F.col("text")).alias("clean_text"))

@@ -12,6 +12,17 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Read a table that row-wise work on long texts follows.
+
+    A table in fewer splits than there are slots is small, and would leave
+    slots idle; only then is it spread by ``key``. A large table is read as is.
+    """
+    df = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Replace the Parquet table at ``path``."""
     writer = df.write.mode("overwrite")
