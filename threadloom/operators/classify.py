@@ -127,6 +127,43 @@ def tune(
     return model, trials, test
 
 
+def report_json(report: DataFrame, name: str) -> DataFrame:
+    """Report rows of one target as one struct column: baseline, val, test."""
+    metrics_of = F.struct("accuracy", "macro_f1", "weighted_f1", "per_class")
+
+    def pick(model: str, part: str):
+        return F.first(F.when((F.col("model") == model) & (F.col("part") == part), metrics_of), ignorenulls=True)
+
+    return report.agg(
+        F.struct(
+            pick("majority-baseline", "test").alias("baseline"),
+            pick("tfidf+logreg", "val").alias("val"),
+            pick("tfidf+logreg", "test").alias("test"),
+        ).alias(name)
+    )
+
+
+def tuning_json(trials: DataFrame, test: DataFrame, name: str) -> DataFrame:
+    """Trials, best parameters and test metrics as one struct column."""
+    params = F.struct("c", "class_weight")
+    # One row per grid point.
+    listed = F.array_sort(F.collect_list(F.struct("trial", params.alias("params"), "val_macro_f1")))
+    best = best_trial(trials).select(F.struct(params.alias("params"), "val_macro_f1"))
+    return (
+        trials.agg(listed.alias("_trials"))
+        .withColumn("_best", best.scalar())
+        .withColumn("_test", test.select(F.struct("*")).scalar())
+        .select(
+            F.struct(
+                F.col("_trials").alias("trials"),
+                F.col("_best.params").alias("best_params"),
+                F.col("_best.val_macro_f1").alias("best_val_macro_f1"),
+                F.col("_test").alias("test_metrics"),
+            ).alias(name)
+        )
+    )
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -35,12 +35,12 @@ def embed(
     """
     if not isinstance(encoder, PipelineModel):
         return df.withColumn(output, encoder(F.col(text)))
-    source = encoder.stages[0].getInputCol()
-    given = df.withColumn("_original", F.col(text)).withColumn(source, F.coalesce(text, F.lit("")))
-    encoded = encoder.transform(given)
+    # The row travels as one column, so no name can clash with the pipeline's.
+    given = df.select(
+        F.struct("*").alias("_row"), F.coalesce(text, F.lit("")).alias(encoder.stages[0].getInputCol())
+    )
     vector = vector_to_array(encoder.stages[-1].getOutputCol(), "float32")
-    columns = [F.col("_original").alias(c) if c == source and source == text else F.col(c) for c in df.columns]
-    return encoded.select(*columns, vector.alias(output))
+    return encoder.transform(given).select("_row.*", vector.alias(output))
 
 
 def index_report(knowledge: DataFrame, sampled: DataFrame, model_name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threadloom.constants import MIN_REPLY_LENGTH
 from threadloom.functions.text import stripped
 from threadloom.functions.vectors import cosine
+from threadloom.operators.embed import embed
 
 SUMMARY_FLAGS = {
     "link_redaction_rate": "link_redacted",
@@ -16,6 +17,20 @@ SUMMARY_FLAGS = {
 }
 
 
+def with_vectors(responses: DataFrame, encoder, key: str = "ticket_id") -> DataFrame:
+    """Adds ``reply_vector`` and ``resolution_vectors`` by embedding the texts.
+
+    A response has top-k examples, so regrouping them gathers k vectors a row.
+    """
+    examples = responses.select(key, F.explode("retrieved_examples").alias("_example")).select(
+        key, F.col("_example.resolution_text").alias("resolution_text")
+    )
+    resolutions = embed(examples, "resolution_text", encoder, "_vector").groupBy(key).agg(
+        F.collect_list("_vector").alias("resolution_vectors")
+    )
+    return embed(responses, "reply", encoder, "reply_vector").join(resolutions, key, "left")
+
+
 def score_responses(responses: DataFrame) -> DataFrame:
     """Per reply: length, citations, flags, likeness to the retrieved replies.
 
