@@ -126,3 +126,10 @@ def test_stream_equals_batch(spark, tmp_path):
     # Nothing new: a second run adds no rows.
     arrivals.ingest_stream(spark, str(raw), *args, files_per_trigger=1).awaitTermination()
     assert read_table(spark, args[0]).count() == 6
+
+
+def test_a_file_without_rows(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text(HEADER + "\n")
+    summary = ingest.ingest(spark, str(tmp_path / "raw.csv"), str(tmp_path / "landing"))
+    assert tuple(summary.first()) == (0, 0, 0)
+    assert read_table(spark, str(tmp_path / "landing")).count() == 0
