@@ -16,8 +16,18 @@ from threadloom.constants import (
 
 
 def whole_words(phrases) -> str:
-    """Pattern for any phrase as whole words, earlier phrases tried first."""
-    return r"(?U)\b(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in phrases) + r")\b"
+    """Pattern for any phrase as whole words, earlier phrases tried first.
+
+    Phrases are grouped by first letter and a look at that letter comes first,
+    so most places in a text are passed over at once. Only phrases with the
+    same first letter can begin at one place, so the order among those is all
+    that counts, and it is kept.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for phrase in phrases:
+        by_letter.setdefault(phrase[0], []).append(re.escape(phrase[1:]).replace(r"\ ", " "))
+    groups = "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in by_letter.items())
+    return rf"(?U)(?=[{''.join(by_letter)}])\b(?:{groups})\b"
 
 
 def plain_lower(text: Column) -> Column:
@@ -29,8 +39,8 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def category_scores(text: Column) -> dict[str, Column]:
-    lowered = plain_lower(text)
+def category_scores(lowered: Column) -> dict[str, Column]:
+    """Hits per category in text that ``plain_lower`` has gone over."""
     return {name: hits(lowered, whole_words(words)) for name, words in CATEGORY_KEYWORDS.items()}
 
 
@@ -43,12 +53,12 @@ def pick_category(scores: dict[str, Column]) -> Column:
     return choice
 
 
-def urgency_score(text: Column, phrases=URGENCY_KEYWORDS) -> Column:
-    """Urgency phrases, exclamation marks and shouted words."""
+def urgency_score(text: Column, lowered: Column, phrases=URGENCY_KEYWORDS) -> Column:
+    """Urgency phrases in lower case; exclamation marks and shouted words as written."""
     return (
-        hits(plain_lower(text), whole_words(phrases))
-        + hits(text, "!")
-        + hits(text, "(?U)" + SHOUTED_WORD)
+        hits(lowered, whole_words(phrases))
+        + (F.char_length(text) - F.char_length(F.replace(text, F.lit("!"), F.lit(""))))
+        + hits(text, "(?U)(?=[A-Z])" + SHOUTED_WORD)
     )
 
 

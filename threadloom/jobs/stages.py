@@ -39,14 +39,11 @@ def run_validate(spark: SparkSession, landing: str, validated: str, quarantine:
     checked = validate.check_rows(rows.select(*LANDING.fieldNames()))
     write_table(validate.valid_rows(checked), validated)
     write_table(validate.quarantine(checked), quarantine)
-    write_report(validate.validation_report(checked), report)
+    write_report(validate.validation_report(checked, read_table(spark, validated)), report)
 
 
 def run_clean(spark: SparkSession, validated: str, processed: str, report: str) -> None:
-    # Written once with the blank rows, so that the text is normalised once.
-    normalised = materialize(clean.with_clean_text(read_table(spark, validated)), "normalised")
-    write_table(clean.kept_rows(normalised), processed)
-    write_report(clean.cleaning_report(normalised), report)
+    write_report(clean.clean(read_table(spark, validated), processed), report)
 
 
 def run_features(spark: SparkSession, processed: str, features: str, roots: str, report: str) -> None:

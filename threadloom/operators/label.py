@@ -1,35 +1,59 @@
 """Rule labels for tickets and what the rules gave."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.constants import URGENCY_KEYWORDS
+from threadloom.constants import CATEGORY_KEYWORDS, URGENCY_KEYWORDS
 from threadloom.functions import rules
 
+CATEGORY_WORDS = tuple(dict.fromkeys(word for words in CATEGORY_KEYWORDS.values() for word in words))
+
+
+def score_columns(df: DataFrame, phrases=URGENCY_KEYWORDS) -> DataFrame:
+    """Adds ``score_0`` to ``score_5`` in category order, and ``urgency``.
+
+    The text is lowered once. Most texts hold no category word at all; one
+    pattern over all of them finds that out, and the six are then skipped.
+    """
+    lowered = F.col("_lowered")
+    scores = rules.category_scores(lowered).values()
+    prepared = df.withColumn("_lowered", rules.plain_lower(F.col("text"))).withColumn(
+        "_any", lowered.rlike(rules.whole_words(CATEGORY_WORDS))
+    )
+    return prepared.select(
+        *df.columns,
+        *(F.when(F.col("_any"), score).otherwise(0).alias(f"score_{i}") for i, score in enumerate(scores)),
+        rules.urgency_score(F.col("text"), lowered, phrases).alias("urgency"),
+    )
+
 
 def with_scores(df: DataFrame) -> DataFrame:
-    """Hit counts of the six categories, as a map in tie-break order."""
-    scores = rules.category_scores(F.col("text"))
-    pairs = [part for name, score in scores.items() for part in (F.lit(name), score)]
-    return df.withColumn("scores", F.create_map(*pairs))
+    """Hit counts of the six categories, as a map from category to count."""
+    pairs = [part for i, name in enumerate(CATEGORY_KEYWORDS) for part in (F.lit(name), F.col(f"score_{i}"))]
+    return score_columns(df).select(*df.columns, F.create_map(*pairs).alias("scores"))
+
+
+def _category() -> Column:
+    return rules.pick_category({name: F.col(f"score_{i}") for i, name in enumerate(CATEGORY_KEYWORDS)}).alias(
+        "category"
+    )
+
+
+def _priority() -> Column:
+    return rules.priority_of(F.col("urgency")).alias("priority")
 
 
 def with_category(df: DataFrame) -> DataFrame:
-    """Scores become columns first, so each pattern runs once per row."""
-    scores = rules.category_scores(F.col("text"))
-    held = {name: F.col(f"_score_{i}") for i, name in enumerate(scores)}
-    scored = df.select("*", *(score.alias(f"_score_{i}") for i, score in enumerate(scores.values())))
-    return scored.select(*df.columns, rules.pick_category(held).alias("category"))
+    return score_columns(df).select(*df.columns, _category())
 
 
 def with_priority(df: DataFrame, phrases=URGENCY_KEYWORDS) -> DataFrame:
-    scored = df.withColumn("_urgency", rules.urgency_score(F.col("text"), phrases))
-    return scored.select(*df.columns, rules.priority_of(F.col("_urgency")).alias("priority"))
+    return score_columns(df, phrases).select(*df.columns, _priority())
 
 
 def label_tickets(df: DataFrame) -> DataFrame:
     """Category and priority from the ticket text alone."""
-    return with_priority(with_category(df))
+    return score_columns(df).select(*df.columns, _category(), _priority())
 
 
 def label_distribution(labeled: DataFrame) -> DataFrame:

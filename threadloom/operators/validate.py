@@ -119,9 +119,12 @@ def duplicate_pairs(valid: DataFrame) -> DataFrame:
     )
 
 
-def validation_report(checked: DataFrame) -> DataFrame:
-    """One row: sizes, broken links and repeated pairs."""
-    valid = valid_rows(checked)
+def validation_report(checked: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """One row: sizes, broken links and repeated pairs.
+
+    ``valid`` is the table of valid rows where it has been written.
+    """
+    valid = valid_rows(checked) if valid is None else valid
     passed = F.count_if(F.size("failures") == 0)
     return (
         checked.agg(

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from threadloom.constants import CATEGORY_KEYWORDS, FINANCIAL_HARM_KEYWORDS, URGENCY_KEYWORDS
-from threadloom.functions import rules
 from threadloom.functions.text import without_ids
 from threadloom.operators import clean, ingest, knowledge, label, threads, tickets, validate
 from threadloom.plans import derive, oracle
@@ -249,13 +248,7 @@ def feature_report(flow: Flow):
 )
 def category_scores(flow: Flow):
     """Keyword hits per category, and the urgency score."""
-    text = F.col("text")
-    scores = rules.category_scores(text).values()
-    return flow.tickets.select(
-        "ticket_id",
-        *(score.alias(f"score_{i}") for i, score in enumerate(scores)),
-        rules.urgency_score(text).alias("urgency"),
-    )
+    return label.score_columns(flow.tickets.select("ticket_id", "text")).drop("text")
 
 
 @query(flow_sql("labeled", "SELECT ticket_id, text, category FROM labeled"))
