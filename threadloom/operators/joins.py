@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.sources.tables import materialize
+from threadloom.sources.tables import materialize_counted
 
 # A key with more rows than this is split over several tasks.
 HOT_KEY_ROWS = 1_000_000
@@ -88,11 +88,11 @@ def sized_join(
 ) -> DataFrame:
     """Join to a table that is usually short, e.g. the ids found to repeat.
 
-    The short side is written and counted first. Within the limit it is
+    The short side is written first, and counted on the way. Within the limit it is
     broadcast and ``left`` is not shuffled at all; beyond it the salted join
     takes over.
     """
-    right = materialize(right, "sized-join")
-    if right.count() <= _setting(left, "broadcastRows", BROADCAST_ROWS):
+    right, found = materialize_counted(right, "sized-join", rows=F.count(F.lit(1)))
+    if found["rows"] <= _setting(left, "broadcastRows", BROADCAST_ROWS):
         return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
     return salted_join(left, right, left_key, right_key, how, spread)

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.joins import hot_key_rows, salted_join
-from threadloom.sources.tables import materialize
+from threadloom.sources.tables import materialize, materialize_counted
 
 # Pointer moves in one job, for tables too short to hold a hot key.
 _MOVES = 3
 
 
-def _first_step(links: DataFrame, rows: int) -> DataFrame:
+def _first_step(links: DataFrame) -> DataFrame:
     """Rows with a parent in the table; done when that parent starts a thread.
 
     Rows left out have no parent, reply to themselves or to a missing row, and
@@ -30,7 +30,7 @@ def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """
     replies = links.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id")))
     parents = links.select(F.col("tweet_id").alias("at"), F.col("parent").alias("grand"))
-    return salted_join(replies, parents, "parent", "at", "inner", F.col("tweet_id"), rows).select(
+    return salted_join(replies, parents, "parent", "at", "inner", F.col("tweet_id")).select(
         "tweet_id",
         F.col("parent").alias("pointer"),
         (F.col("grand").isNull() | (F.col("grand") == F.col("at"))).alias("done"),
@@ -56,9 +56,12 @@ def _next_step(open_rows: DataFrame, known: DataFrame, rows: int) -> DataFrame:
     return moved
 
 
-def _open_and_done(step: DataFrame) -> tuple[int, int]:
-    row = step.agg(F.count_if(~F.col("done")), F.count_if("done")).first()
-    return row[0], row[1]
+def _store(step: DataFrame) -> tuple[DataFrame, int, int]:
+    """The step written out, and how many of its rows are open and done."""
+    stored, found = materialize_counted(
+        step, "thread-step", open=F.count_if(~F.col("done")), done=F.count_if("done")
+    )
+    return stored, found["open"], found["done"]
 
 
 def _circle_roots(circle: DataFrame, rows: int) -> DataFrame:
@@ -89,17 +92,14 @@ def _circle_roots(circle: DataFrame, rows: int) -> DataFrame:
 def reply_roots(tweets: DataFrame) -> DataFrame:
     """Columns tweet_id and thread_root_id, for rows that are not tops themselves.
 
-    ``tweets`` has unique tweet_id, as validation leaves it.
+    ``tweets`` is a stored table with unique tweet_id, as cleaning leaves it;
+    two of its columns are read, by the first step only.
     """
-    links = materialize(
-        tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent")), "thread-links"
-    )
-    step = materialize(_first_step(links, links.count()), "thread-step")
+    links = tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent"))
+    step, left, _ = _store(_first_step(links))
     finished, still_open = step.where("done"), step.where("not done")
-    left, _ = _open_and_done(step)
     while left:
-        step = materialize(_next_step(still_open, finished.unionByName(still_open), left), "thread-step")
-        now_left, now_done = _open_and_done(step)
+        step, now_left, now_done = _store(_next_step(still_open, finished.unionByName(still_open), left))
         if not now_done:
             # An open row with a top above it always lets one row finish, so
             # these all run in circles. Start again from their parents.

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
 
@@ -68,3 +68,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with aggregates taken while the rows are written.
+
+    They belong to the tasks that write the files, and a task counts once
+    however often it is tried.
+    """
+    observed = Observation(f"{name}-{uuid.uuid4().hex}")
+    stored = materialize(df.observe(observed, *(column.alias(key) for key, column in counts.items())), name)
+    return stored, {key: int(value or 0) for key, value in observed.get.items()}
