@@ -1,6 +1,6 @@
 """Classification metrics from the confusion table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,26 +41,29 @@ def per_class(confusion_rows: DataFrame) -> DataFrame:
     )
 
 
-def summary(classes: DataFrame) -> DataFrame:
-    """Accuracy, macro F1 and weighted F1, as one row."""
-    return classes.agg(
+def _averages() -> list[Column]:
+    return [
         F.try_divide(F.sum("hits").cast("double"), F.sum("support")).alias("accuracy"),
         F.avg("f1").alias("macro_f1"),
         F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
-    )
+    ]
+
+
+def summary(classes: DataFrame) -> DataFrame:
+    """Accuracy, macro F1 and weighted F1, as one row."""
+    return classes.agg(*_averages())
 
 
 def evaluate(df: DataFrame, truth: str, prediction: str) -> DataFrame:
-    """One row: the summary and ``per_class`` as a map from label to its numbers."""
-    classes = per_class(confusion(df, truth, prediction))
-    entries = classes.agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(F.struct("label", F.struct("precision", "recall", "f1", "support")))
-            )
-        )
+    """One row: the summary and ``per_class`` as a map from label to its numbers.
+
+    The data, and with it any prediction, is gone over once.
+    """
+    # One row per class.
+    entries = F.array_sort(F.collect_list(F.struct("label", F.struct("precision", "recall", "f1", "support"))))
+    return per_class(confusion(df, truth, prediction)).agg(
+        *_averages(), F.map_from_entries(entries).alias("per_class")
     )
-    return summary(classes).withColumn("per_class", entries.scalar())
 
 
 def majority_label(df: DataFrame, label: str) -> DataFrame:
