@@ -22,7 +22,7 @@ from threadloom.sources.tables import materialize, materialize_counted
 _MOVES = 3
 
 
-def _first_step(links: DataFrame) -> DataFrame:
+def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """Rows with a parent in the table; done when that parent starts a thread.
 
     Rows left out have no parent, reply to themselves or to a missing row, and
@@ -30,7 +30,7 @@ def _first_step(links: DataFrame) -> DataFrame:
     """
     replies = links.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id")))
     parents = links.select(F.col("tweet_id").alias("at"), F.col("parent").alias("grand"))
-    return salted_join(replies, parents, "parent", "at", "inner", F.col("tweet_id")).select(
+    return salted_join(replies, parents, "parent", "at", "inner", F.col("tweet_id"), rows).select(
         "tweet_id",
         F.col("parent").alias("pointer"),
         (F.col("grand").isNull() | (F.col("grand") == F.col("at"))).alias("done"),
@@ -93,10 +93,11 @@ def reply_roots(tweets: DataFrame) -> DataFrame:
     """Columns tweet_id and thread_root_id, for rows that are not tops themselves.
 
     ``tweets`` is a stored table with unique tweet_id, as cleaning leaves it;
-    two of its columns are read, by the first step only.
+    two of its columns are read.
     """
     links = tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent"))
-    step, left, _ = _store(_first_step(links))
+    # The count comes from file footers and spares short tables the look for hot keys.
+    step, left, _ = _store(_first_step(links, links.count()))
     finished, still_open = step.where("done"), step.where("not done")
     while left:
         step, now_left, now_done = _store(_next_step(still_open, finished.unionByName(still_open), left))
