@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import packing, quality, rules, simhash
+from threadloom.llm import html_text, language_id, language_model, packing, quality, rules, simhash
 from threadloom.llm.catalog import ORACLES, QUERIES, query
 from threadloom.llm.common import read
 from threadloom.llm.oracle import OP3_SQL
@@ -11,6 +11,12 @@ from threadloom.llm.oracle import OP3_SQL
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query()
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
 @query(OP3_SQL)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, and whether the rules keep it."""
@@ -21,6 +27,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return language_id.predicted(docs, language_id.train(docs))
+
+
 @query()
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the chain over its lines."""
@@ -41,6 +54,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the unigram and the neural model."""
+    return language_model.scored(read(spark, sf_dir, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
