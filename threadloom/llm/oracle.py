@@ -46,3 +46,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept
 FROM f
 """
+
+# A digest of 160 bits is 8 groups of 20 bits: 5 hex digits, 4 letters of base 32.
+OP2_SQL = """
+WITH base AS (
+  SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+coded AS (
+  SELECT page_id, url, octet_length(encode(payload)) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+      ((CAST('0x' || substr(sha1(payload), CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '')
+      AS payload_digest
+  FROM base),
+firsts AS (
+  SELECT payload_digest, max(page_id) AS first FROM coded GROUP BY payload_digest)
+SELECT page_id, url, CAST(payload_bytes AS BIGINT) AS payload_bytes, c.payload_digest,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first OR first IS NULL THEN NULL ELSE first END AS refers_to
+FROM coded c JOIN firsts f ON c.payload_digest = f.payload_digest
+"""

@@ -1,22 +1,39 @@
 """One query for each operator, over its whole table."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import html_text, language_id, language_model, packing, quality, rules, simhash
+from threadloom.llm import html_text, language_id, language_model, packing, quality, rules, sentencepiece_ids, simhash, warc
 from threadloom.llm.catalog import ORACLES, QUERIES, query
 from threadloom.llm.common import read
-from threadloom.llm.oracle import OP3_SQL
+from threadloom.llm.oracle import OP2_SQL, OP3_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def piece_model() -> bytes:
+    """The model file in the folder of public tokenizers, which the environment may name."""
+    folder = os.environ.get("THREADLOOM_TOKENIZERS", "/opt/tokenizers")
+    return (Path(folder) / "piece_bpe_32k.model").read_bytes()
+
+
 @query()
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extracted(read(spark, sf_dir, "pages"))
 
 
+@query(OP2_SQL)
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    return warc.round_trip(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query(OP3_SQL)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, and whether the rules keep it."""
@@ -60,6 +77,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text."""
+    return sentencepiece_ids.round_trip(read(spark, sf_dir, "documents"), piece_model())
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
