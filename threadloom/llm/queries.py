@@ -6,10 +6,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import html_text, language_id, language_model, packing, quality, rules, sentencepiece_ids, simhash, warc
+from threadloom.llm import html_text, language_id, language_model, mtree, packing, quality, rules, sentencepiece_ids, simhash, warc
 from threadloom.llm.catalog import ORACLES, QUERIES, query
 from threadloom.llm.common import read
-from threadloom.llm.oracle import OP2_SQL, OP3_SQL
+from threadloom.llm.oracle import OP2_SQL, OP3_SQL, OP6_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -59,6 +59,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model)
 
 
+@query(OP6_SQL)
+def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    return mtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query()
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
