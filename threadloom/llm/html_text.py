@@ -22,6 +22,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.S,
 )
+# A tag that the end of the page cuts off.
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -103,7 +105,7 @@ def parse(source: str) -> Node:
     while at < end:
         match = _TOKEN.search(source, at)
         if match is None:
-            here.children.append(source[at:])
+            here.children.append(_CUT_OFF.sub("", source[at:]))
             break
         if match.start() > at:
             here.children.append(source[at : match.start()])

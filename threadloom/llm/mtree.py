@@ -144,7 +144,7 @@ def index(rows: DataFrame, largest: float, groups: int, page: int = PAGE) -> Dat
         sizes = frame["vector"].map(len)
         # Vectors of different lengths have no inner product; they get trees of their own.
         for dim, part in frame.groupby(sizes):
-            vectors = np.stack(part["vector"].to_numpy()).astype(np.int64).reshape(-1, dim)
+            vectors = np.stack(part["vector"].to_numpy()).astype(np.int64).reshape(len(part), dim)
             tree = Tree(vectors, part["id"].to_numpy(), largest, page)
             for number, (leaf, entries, radius, above, child) in enumerate(tree.pages):
                 out.append(
@@ -164,11 +164,12 @@ def _loaded(frame: pd.DataFrame) -> dict[int, list[dict]]:
     """Pages of one group by length of the vectors."""
     trees: dict[int, list[dict]] = {}
     for row in frame.sort_values("page").itertuples(index=False):
-        vectors = np.frombuffer(row.vectors, "<i8").reshape(-1, row.dim)
+        ids = np.frombuffer(row.ids, "<i8")
+        vectors = np.frombuffer(row.vectors, "<i8").reshape(len(ids), row.dim)
         trees.setdefault(row.dim, []).append(
             {
                 "leaf": row.leaf,
-                "ids": np.frombuffer(row.ids, "<i8"),
+                "ids": ids,
                 "vectors": vectors,
                 "points": vectors.astype(np.float64),
                 "radius": np.frombuffer(row.radius, "<f8"),
