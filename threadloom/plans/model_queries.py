@@ -166,11 +166,11 @@ _LEDGER_SQL = f"""WITH versions AS ({_VERSIONS_SQL.format(events='events')}),
     CASE WHEN test_macro_f1 - baseline_macro_f1 < CAST(0.05 AS DOUBLE) THEN 'rejected'
       WHEN best IS NULL OR test_macro_f1 >= best THEN 'promoted-to-production' ELSE 'staged-only' END AS outcome,
     CASE WHEN test_macro_f1 - baseline_macro_f1 < CAST(0.05 AS DOUBLE)
-        THEN printf('macro F1 lift over baseline (%.4f) is below the required minimum (0.05)',
+        THEN printf('gains %.4f over the majority class, 0.05 is asked for',
           test_macro_f1 - baseline_macro_f1)
-      WHEN best IS NULL THEN 'no existing production version; first qualifying version promoted directly'
-      WHEN test_macro_f1 >= best THEN printf('matched or beat incumbent production macro F1 (%.4f)', best)
-      ELSE printf('below incumbent production macro F1 (%.4f); held for review', best) END AS reason FROM known)"""
+      WHEN best IS NULL THEN 'first version that gains enough; nothing is in production yet'
+      WHEN test_macro_f1 >= best THEN printf('at least as good as production, which has %.4f', best)
+      ELSE printf('worse than production, which has %.4f; waits in staging', best) END AS reason FROM known)"""
 
 
 def _versions(flow: Flow):

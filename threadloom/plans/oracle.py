@@ -7,7 +7,7 @@ from threadloom.constants import (
     SEVERITY_PATTERNS,
     URGENCY_KEYWORDS,
 )
-from threadloom.plans.derive import LANDING_SQL, RAW_SQL, TWEETS_SQL
+from threadloom.plans.derive import COMPATIBLE, LANDING_SQL, LETTERS, RAW_SQL, TWEETS_SQL
 
 
 def text(value: str) -> str:
@@ -50,8 +50,28 @@ EARLIER_URGENCY = [w for w in URGENCY_KEYWORDS if w not in FINANCIAL_HARM_KEYWOR
 CLAIMS = text("(?i)" + "|".join(CLAIM_PATTERNS))
 SEVERE = text("(?i)" + "|".join(SEVERITY_PATTERNS))
 
+# Python's and Spark's word and blank characters, in the oracle's regular expressions.
+WORD = r"[\pL\pN_]"
+NOT_BLANK = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\pZ]"
+BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\pZ]+"
+
+
+def _nfkc(column: str) -> str:
+    for character, plain in COMPATIBLE:
+        column = f"replace({column}, '{character}', '{plain}')"
+    return column
+
+
+def letter_counts(column: str) -> str:
+    """The vector of ``derive.letter_counts``."""
+    counts = ", ".join(f"length(lower({column})) - length(replace(lower({column}), '{x}', ''))" for x in LETTERS)
+    return f"CAST([1, {counts}] AS FLOAT[])"
+
+
 _FAILURES = """list_filter([
     CASE WHEN count(*) OVER (PARTITION BY tweet_id) > 1 THEN 'tweet_id is not unique' END,
+    CASE WHEN author_id IS NULL THEN 'author_id is null' END,
+    CASE WHEN text IS NULL THEN 'text is null' END,
     CASE WHEN tweet_id < 0 THEN 'tweet_id is negative' END,
     CASE WHEN author_id = '' THEN 'author_id is empty' END,
     CASE WHEN text = '' THEN 'text is empty' END,
@@ -65,15 +85,18 @@ PARTS = {
     "raw": RAW_SQL.format(tweets="tweets"),
     "checked": f"SELECT *, {_FAILURES} AS failures FROM landing",
     "valid": "SELECT * FROM checked WHERE len(failures) = 0",
-    "normalised": r"SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text_clean FROM valid",
+    "normalised": f"SELECT *, trim(regexp_replace({_nfkc('text')}, '{BLANKS}', ' ', 'g')) AS text_clean FROM valid",
     "clean": "SELECT * FROM normalised WHERE text_clean <> ''",
     "parent": """SELECT c.tweet_id, p.tweet_id AS parent FROM clean c
       LEFT JOIN clean p ON p.tweet_id = c.in_response_to_tweet_id AND p.tweet_id <> c.tweet_id""",
-    "walk": """SELECT tweet_id, tweet_id AS here FROM parent
-      UNION ALL SELECT w.tweet_id, p.parent FROM walk w JOIN parent p ON p.tweet_id = w.here
+    # All rows above a row; one that stands above itself is on a circle.
+    "walk": """SELECT tweet_id, parent AS here FROM parent WHERE parent IS NOT NULL
+      UNION SELECT w.tweet_id, p.parent FROM walk w JOIN parent p ON p.tweet_id = w.here
       WHERE p.parent IS NOT NULL""",
-    "roots": """SELECT w.tweet_id, w.here AS thread_root_id FROM walk w
-      JOIN parent p ON p.tweet_id = w.here WHERE p.parent IS NULL""",
+    "roots": """SELECT p.tweet_id, coalesce(min(top.tweet_id), min(ring.tweet_id), p.tweet_id) AS thread_root_id
+      FROM parent p LEFT JOIN walk w ON w.tweet_id = p.tweet_id
+      LEFT JOIN parent top ON top.tweet_id = w.here AND top.parent IS NULL
+      LEFT JOIN walk ring ON ring.tweet_id = w.here AND ring.here = w.here GROUP BY p.tweet_id""",
     "rooted": "SELECT c.*, r.thread_root_id FROM clean c JOIN roots r USING (tweet_id)",
     "brand_first": """SELECT * FROM (SELECT *, row_number() OVER (
         PARTITION BY thread_root_id ORDER BY created_at, tweet_id) AS place
@@ -108,11 +131,6 @@ _NEEDS = {
     "labeled": ("scored",), "kb": ("labeled",),
     "drafted": ("kb",),
 }
-# Python's and Spark's word and blank characters, in the oracle's regular expressions.
-WORD = r"[\pL\pN_]"
-NOT_BLANK = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\pZ]"
-
-
 def flow_sql(stage: str, select: str, **more: str) -> str:
     """``select`` over the flow up to ``stage``, with further named parts."""
     wanted: list[str] = []

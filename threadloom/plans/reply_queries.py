@@ -253,56 +253,56 @@ def cosine_similarity(flow: Flow):
 
 
 def _scored(flow: Flow):
-    """Each document as a reply, its vector, and the next two vectors as its
-    retrieved replies. Ids are unique on every side."""
-    vectors = _embeddings(flow).select("vec_id", "embedding")
-
-    def shifted(by: int):
-        return vectors.select((F.col("vec_id") - by).alias("vec_id"), F.col("embedding").alias(f"next_{by}"))
+    """Every document as a reply, with the next two documents as its retrieved
+    replies; all are embedded from their texts. Ids are unique on every side."""
+    documents = _documents(flow).select("doc_id", "text")
+
+    def example(by: int):
+        ticket = (F.col("doc_id")).cast("string").alias("ticket_id")
+        return documents.select(
+            (F.col("doc_id") - by).alias("doc_id"), F.struct(ticket, F.col("text").alias("resolution_text")).alias(f"next_{by}")
+        )
 
-    rows = (
-        _documents(flow)
-        .select(F.col("doc_id").alias("vec_id"), F.col("text").alias("query"))
-        .join(vectors, "vec_id")
-        .join(shifted(1), "vec_id")
-        .join(shifted(2), "vec_id", "left")
+    rows = documents.join(example(1), "doc_id", "left").join(example(2), "doc_id", "left")
+    own = F.col("doc_id").cast("string")
+    cited = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("none"))).otherwise(
+        F.array((F.col("doc_id") + 1).cast("string"))
     )
     responses = drafts.checked_reply(
         rows.select(
-            "vec_id",
-            "query",
-            F.col("embedding").alias("reply_vector"),
-            F.array_compact(F.array("next_1", "next_2")).alias("resolution_vectors"),
-            F.array(F.struct(F.col("vec_id").cast("string").alias("ticket_id"))).alias("retrieved"),
+            "doc_id",
+            F.col("text").alias("query"),
+            F.array_compact(F.array("next_1", "next_2")).alias("retrieved"),
             F.struct(
-                F.col("query").alias("reply"),
-                F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("none")))
-                .otherwise(F.array(F.col("vec_id").cast("string")))
-                .alias("cited_ticket_ids"),
-                (F.col("vec_id") % 4 == 0).alias("needs_human_escalation"),
+                F.col("text").alias("reply"),
+                F.when(F.col("doc_id") % 7 == 0, F.array(own)).otherwise(cited).alias("cited_ticket_ids"),
+                (F.col("doc_id") % 4 == 0).alias("needs_human_escalation"),
             ).alias("draft"),
         )
     )
-    return evaluate.score_responses(responses)
+    return evaluate.score_responses(evaluate.with_vectors(responses, derive.letter_counts, "doc_id"))
 
 
+# The last document has no next one: what it cites is made up, and it is like nothing.
 _SCORED_SQL = f"""WITH base AS (
-    SELECT d.doc_id AS vec_id, d.text AS query, a.embedding AS v, b.embedding AS n1, c.embedding AS n2
-    FROM documents d JOIN embeddings a ON a.vec_id = d.doc_id JOIN embeddings b ON b.vec_id = d.doc_id + 1
-    LEFT JOIN embeddings c ON c.vec_id = d.doc_id + 2),
+    SELECT d.doc_id, d.text AS query, b.doc_id AS b_id, {oracle.letter_counts(redacted('d.text'))} AS v, {oracle.letter_counts('b.text')} AS n1,
+      {oracle.letter_counts('c.text')} AS n2
+    FROM documents d LEFT JOIN documents b ON b.doc_id = d.doc_id + 1 LEFT JOIN documents c ON c.doc_id = d.doc_id + 2),
   likeness AS (
     SELECT *, {redacted('query')} AS reply, {no_links('query')} <> query AS link_redacted,
       {redacted('query')} <> {no_links('query')} AS mention_redacted,
-      {_cosine_sql('v', 'n1')} AS s1, CASE WHEN n2 IS NOT NULL THEN {_cosine_sql('v', 'n2')} END AS s2
+      CASE WHEN n1[2] IS NOT NULL THEN {_cosine_sql('v', 'n1')} END AS s1,
+      CASE WHEN n2[2] IS NOT NULL THEN {_cosine_sql('v', 'n2')} END AS s2
     FROM base),
   flagged AS (SELECT *, regexp_matches(reply, {CLAIMS}) AS completed_action_claimed,
-    regexp_matches(query, {SEVERE}) AS ticket_severity_signaled FROM likeness),
-  scored AS (SELECT vec_id, CAST(length(reply) AS INTEGER) AS reply_length,
-    length(trim(reply)) >= 10 AS reply_nonempty, 1 AS num_citations_given,
-    CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS num_citations,
-    CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS num_hallucinated_citations,
+    regexp_matches(query, {SEVERE}) AS ticket_severity_signaled,
+    CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND b_id IS NOT NULL THEN 1 ELSE 0 END AS num_citations
+    FROM likeness),
+  scored AS (SELECT doc_id, CAST(length(reply) AS INTEGER) AS reply_length,
+    length(trim(reply)) >= 10 AS reply_nonempty, num_citations,
+    1 - num_citations AS num_hallucinated_citations,
     link_redacted, mention_redacted, completed_action_claimed, ticket_severity_signaled,
-    vec_id % 4 = 0 OR link_redacted OR mention_redacted OR completed_action_claimed
+    doc_id % 4 = 0 OR link_redacted OR mention_redacted OR completed_action_claimed
       OR ticket_severity_signaled AS needs_human_escalation,
     greatest(s1, coalesce(s2, s1)) AS max_s,
     CASE WHEN s2 IS NULL THEN s1 ELSE (s1 + s2) / 2 END AS mean_s FROM flagged)"""
@@ -310,7 +310,7 @@ _SCORED_SQL = f"""WITH base AS (
 
 @query(
     f"""{_SCORED_SQL}
-    SELECT vec_id, reply_length, reply_nonempty, num_citations, num_hallucinated_citations, link_redacted,
+    SELECT doc_id, reply_length, reply_nonempty, num_citations, num_hallucinated_citations, link_redacted,
       mention_redacted, completed_action_claimed, ticket_severity_signaled, needs_human_escalation,
       round(max_s, 6) AS max_groundedness_similarity, round(mean_s, 6) AS mean_groundedness_similarity
     FROM scored"""
@@ -318,7 +318,7 @@ _SCORED_SQL = f"""WITH base AS (
 def score_response(flow: Flow):
     """Length, citations, flags and likeness of every reply."""
     return _scored(flow).select(
-        "vec_id", "reply_length", "reply_nonempty", "num_citations", "num_hallucinated_citations",
+        "doc_id", "reply_length", "reply_nonempty", "num_citations", "num_hallucinated_citations",
         *_FLAG_NAMES,
         F.round("max_groundedness_similarity", 6).alias("max_groundedness_similarity"),
         F.round("mean_groundedness_similarity", 6).alias("mean_groundedness_similarity"),
@@ -417,22 +417,16 @@ def sample_per_label(flow: Flow):
     return capped_sample(_embeddings(flow).select("vec_id", "label"), "label", "vec_id", 40)
 
 
-_INDEX_SQL = f"""SELECT * FROM (SELECT *, row_number() OVER (
-    PARTITION BY category ORDER BY {hash_order_sql('ticket_id')}, ticket_id) AS place FROM kb)
-  WHERE place <= 10"""
-
-
 @query(
     flow_sql(
         "kb",
         """SELECT CAST(ticket_id AS VARCHAR) AS id, customer_message AS document, category, priority,
-          resolution_text, 384 AS dimensions FROM picked""",
-        picked=_INDEX_SQL,
+          resolution_text, 384 AS dimensions FROM kb""",
     )
 )
 def vector_index(flow: Flow):
-    """Capped sample of the knowledge base, embedded, stored by category, read back."""
-    sampled = capped_sample(flow.stored_knowledge, cap=10)
+    """The knowledge base embedded, stored by category, read back."""
+    sampled = flow.stored_knowledge
     encoder = embed.fit_hashed_tfidf(sampled, "customer_message")
     path = scratch_path(flow.spark, "vector-index")
     write_table(
@@ -454,17 +448,14 @@ def vector_index(flow: Flow):
     flow_sql(
         "kb",
         """SELECT (SELECT CAST(count(*) AS BIGINT) FROM kb) AS knowledge_base_size,
-          (SELECT CAST(count(*) AS BIGINT) FROM picked) AS indexed_size,
+          (SELECT CAST(count(*) AS BIGINT) FROM kb) AS indexed_size,
           string_agg(category || '=' || n, ',' ORDER BY category) AS category_counts
-        FROM (SELECT category, count(*) AS n FROM picked GROUP BY category)""",
-        picked=_INDEX_SQL,
+        FROM (SELECT category, count(*) AS n FROM kb GROUP BY category)""",
     )
 )
 def index_report(flow: Flow):
-    """Sizes of the knowledge base and of its capped sample."""
-    report = embed.index_report(
-        flow.stored_knowledge, capped_sample(flow.stored_knowledge, cap=10), "hashed-tfidf"
-    )
+    """Sizes of the knowledge base and of its index."""
+    report = embed.index_report(flow.stored_knowledge, flow.stored_knowledge, "hashed-tfidf")
     counts = F.transform(F.map_entries("category_counts"), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return report.select(
         "knowledge_base_size", "indexed_size", F.array_join(counts, ",").alias("category_counts")
@@ -472,7 +463,11 @@ def index_report(flow: Flow):
 
 
 @query(
-    flow_sql("landing", "SELECT tweet_id, author_id, 'text is empty' AS error FROM landing WHERE text = ''")
+    flow_sql(
+        "landing",
+        """SELECT tweet_id, author_id, CASE WHEN text IS NULL THEN 'text is missing' ELSE 'text is empty' END AS error
+        FROM landing WHERE text IS NULL OR text = ''""",
+    )
 )
 def triage_input(flow: Flow):
     """Tickets refused for having no text; blanks are let through."""
@@ -480,13 +475,10 @@ def triage_input(flow: Flow):
 
 
 def _triaged(flow: Flow):
-    """Drafts triaged with the rule labels in place of a model."""
-    labels = label.label_tickets(
-        flow.drafted.select("draft_id", F.col("query").alias("text"))
-    ).select("draft_id", "text", F.col("category").alias("predicted_category"),
-             F.col("priority").alias("predicted_priority"))
-    responses = drafts.checked_reply(flow.drafted.drop("text"))
-    return triage.triage(labels, responses, "draft_id")
+    """Drafts triaged with the rule labels in place of a model, in one pass."""
+    labels = label.label_tickets(flow.drafted.withColumn("text", F.col("query")))
+    labels = labels.withColumnRenamed("category", "predicted_category").withColumnRenamed("priority", "predicted_priority")
+    return triage.triage_columns(drafts.checked_reply(labels), "draft_id")
 
 
 _TRIAGED_SQL = f"""SELECT *, {_ESCALATE_SQL} AS needs_human_escalation FROM responses"""
