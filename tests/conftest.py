@@ -34,7 +34,7 @@ def spark(tmp_path_factory):
 def skewed(spark):
     """Make every key with more than two rows a hot one, and broadcast nothing."""
     spark.conf.set("spark.threadloom.hotKeyRows", "2")
-    spark.conf.set("spark.threadloom.broadcastRows", "0")
+    spark.conf.set("spark.threadloom.broadcastBytes", "0")
     yield
     spark.conf.unset("spark.threadloom.hotKeyRows")
-    spark.conf.unset("spark.threadloom.broadcastRows")
+    spark.conf.unset("spark.threadloom.broadcastBytes")

@@ -52,7 +52,7 @@ def test_salting_splits_a_hot_key(spark, skewed):
     joined = salted_join(left, right, "k", "key", spread=F.col("row"))
     assert joined.count() == 40 and {r.name for r in joined.collect()} == {"seven"}
     assert "_salt" in plan(joined)
-    outer = salted_join(left.withColumn("k", F.when(F.col("row") < 5, 7)), right, "k", "key", "left", F.col("row"))
+    outer = salted_join(left.withColumn("k", F.when(F.col("row") < 5, 7)), right, "k", "key", "left", spread=F.col("row"))
     assert outer.count() == 40 and outer.where("name is null").count() == 35
 
 

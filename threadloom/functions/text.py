@@ -2,7 +2,7 @@
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -15,13 +15,17 @@ WORD_CHARACTER = r"[\p{L}\p{N}_]"
 _BLANKS = r"(?U)[\s\x1C-\x1F]+"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC. Spark has no such expression; ASCII text passes through."""
-    return text.map(
-        lambda value: value if value.isascii() else unicodedata.normalize("NFKC", value),
-        na_action="ignore",
-    )
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode NFKC. Spark has no such expression, and Arrow's kernel leaves
+    letters and their accents apart. One look at a whole batch finds nearly
+    every time that there is nothing to do; only else is it gone through.
+    """
+    values = text.to_pylist()
+    # A line end composes with nothing, so texts can be looked at in one piece.
+    if unicodedata.is_normalized("NFKC", "\n".join(value for value in values if value)):
+        return text
+    return pa.array([value and unicodedata.normalize("NFKC", value) for value in values], pa.string())
 
 
 def collapse_blanks(text: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.constants import EXPLORE_SAMPLE, MODEL_NAMES, TOP_K
+from threadloom.constants import EVALUATION_QUERIES, MODEL_NAMES, TOP_K
 from threadloom.operators import (
     classify,
     clean,
@@ -25,6 +25,7 @@ from threadloom.operators import (
 )
 from threadloom.schemas import LANDING
 from threadloom.sources.tables import materialize, read_report, read_table, write_report, write_table
+from threadloom.streaming import arrivals
 
 
 def run_ingest(spark: SparkSession, raw: str, landing: str, report: str) -> None:
@@ -36,7 +37,8 @@ def run_validate(spark: SparkSession, landing: str, validated: str, quarantine:
     problems = validate.schema_problems(rows)
     if problems:
         raise ValueError("; ".join(problems))
-    checked = validate.check_rows(rows.select(*LANDING.fieldNames()))
+    # Checked once; the three outputs are read from that table.
+    checked = materialize(validate.check_rows(rows.select(*LANDING.fieldNames())), "checked")
     write_table(validate.valid_rows(checked), validated)
     write_table(validate.quarantine(checked), quarantine)
     write_report(validate.validation_report(checked, read_table(spark, validated)), report)
@@ -60,7 +62,8 @@ def run_label(spark: SparkSession, features: str, labeled: str, report: str) ->
     write_report(label.labeling_report(read_table(spark, labeled)), report)
 
 
-def run_explore(spark: SparkSession, features: str, report: str, sample_size: int = EXPLORE_SAMPLE) -> None:
+def run_explore(spark: SparkSession, features: str, report: str, sample_size: int | None = None) -> None:
+    """Over all tickets, or a fixed sample of them if its size is given."""
     write_report(explore.explore(read_table(spark, features), sample_size=sample_size), report)
 
 
@@ -135,10 +138,12 @@ def run_knowledge(spark: SparkSession, processed: str, roots: str, labeled: str,
     write_report(knowledge.knowledge_base_report(tickets_table, read_table(spark, knowledge_base)), report)
 
 
-def run_index(spark: SparkSession, knowledge_base: str, index: str, encoder: str, report: str) -> None:
-    """Capped sample, embedded; the table is dropped and written anew."""
+def run_index(
+    spark: SparkSession, knowledge_base: str, index: str, encoder: str, report: str, cap: int | None = None
+) -> None:
+    """The whole knowledge base embedded, or at most ``cap`` tickets of a category if that is given."""
     table = read_table(spark, knowledge_base)
-    sampled = materialize(split.capped_sample(table), "kb-sample")
+    sampled = table if cap is None else materialize(split.capped_sample(table, cap=cap), "kb-sample")
     model = embed.fit_hashed_tfidf(sampled, "customer_message")
     model.write().overwrite().save(encoder)
     rows = embed.embed(sampled, "customer_message", model).select(
@@ -154,10 +159,12 @@ def run_index(spark: SparkSession, knowledge_base: str, index: str, encoder: str
 
 def _retrieved(spark: SparkSession, tickets_table: DataFrame, index: str, encoder: PipelineModel, k: int) -> DataFrame:
     rows = read_table(spark, index)
-    queries = embed.embed(tickets_table, "text", encoder, "vector").select(
-        F.col("ticket_id").alias("query_id"), "vector"
+    # Written once: the search counts the vectors and reads them again.
+    queries = materialize(
+        embed.embed(tickets_table, "text", encoder, "vector").select(F.col("ticket_id").alias("query_id"), "vector"),
+        "query-vectors",
     )
-    hits = nearest.nearest(queries, rows.select("id", F.col("embedding").alias("vector")), k)
+    hits = materialize(nearest.nearest(queries, rows.select("id", F.col("embedding").alias("vector")), k), "hits")
     texts = rows.select(
         "id", "metadata.category", "metadata.priority", F.col("document").alias("customer_message"),
         "metadata.resolution_text",
@@ -169,15 +176,22 @@ def run_prompts(spark: SparkSession, tickets_path: str, index: str, encoder: str
     """Nearest examples and prompt of every ticket (ticket_id, text)."""
     rows = triage.accepted_tickets(read_table(spark, tickets_path))
     write_table(_retrieved(spark, rows, index, PipelineModel.load(encoder), k), retrieved)
-    joined = rows.select("ticket_id", F.col("text").alias("query")).join(read_table(spark, retrieved), "ticket_id")
+    found = read_table(spark, retrieved)
+    none = F.array().cast(found.schema["retrieved"].dataType)
+    # A ticket with no hit gets a prompt without examples.
+    joined = rows.select("ticket_id", F.col("text").alias("query")).join(found, "ticket_id", "left")
+    joined = joined.withColumn("retrieved", F.coalesce("retrieved", none))
     write_table(drafts.with_prompt(joined).select("ticket_id", "prompt"), prompts)
 
 
 def run_triage(
     spark: SparkSession, tickets_path: str, retrieved: str, drafts_path: str, models: str, ledger: str,
-    responses: str, triaged: str, audit: str, refused: str,
+    responses: str, triaged: str, audit: str, refused: str, rejects: str,
 ) -> None:
-    """Predict, check drafts (ticket_id, draft_json) and write rows and audit."""
+    """Predict, check drafts (ticket_id, draft_json) and write rows and audit.
+
+    Every accepted ticket has one triage row; ``rejects`` says why some have no response.
+    """
     loaded = triage.production_models(
         registry.read_ledger(spark, ledger), {target: f"{models}/{target}" for target in MODEL_NAMES}
     )
@@ -189,12 +203,33 @@ def run_triage(
         accepted.select("ticket_id", F.col("text").alias("query")), read_table(spark, retrieved), parsed
     )
     write_table(checked, responses)
+    write_table(drafts.draft_rejects(accepted, parsed), rejects)
     predicted = triage.predict_labels(accepted.select("ticket_id", "text"), loaded)
     write_table(triage.triage(predicted, read_table(spark, responses)), triaged)
     write_table(triage.audit(read_table(spark, triaged)), audit)
 
 
-def run_evaluate(spark: SparkSession, responses: str, encoder: str, scores: str, report: str) -> None:
+def run_evaluate(spark: SparkSession, responses: str, encoder: str, scores: str, report: str, per_query: str) -> None:
+    """Scores, their summary, and beside it the rows of the fixed test queries."""
     rows = evaluate.with_vectors(read_table(spark, responses), PipelineModel.load(encoder))
     write_table(evaluate.score_responses(rows), scores)
-    write_report(evaluate.summarize(read_table(spark, scores)), report)
+    stored = read_table(spark, scores)
+    write_report(evaluate.summarize(stored), report)
+    queries = spark.createDataFrame([(query,) for query in EVALUATION_QUERIES], "query string")
+    write_table(evaluate.per_query(stored, queries), per_query)
+
+
+def run_ingest_stream(spark: SparkSession, raw: str, landing: str, counts: str, checkpoint: str) -> None:
+    """Ingest the files that have arrived since the last run."""
+    arrivals.ingest_stream(spark, raw, landing, counts, checkpoint).awaitTermination()
+
+
+def run_triage_stream(
+    spark: SparkSession, arriving: str, models: str, ledger: str, triaged: str, audit: str, refused: str, checkpoint: str
+) -> None:
+    """Triage the tickets (ticket_id, text, retrieved, draft) that have arrived since the last run."""
+    loaded = triage.production_models(
+        registry.read_ledger(spark, ledger), {target: f"{models}/{target}" for target in MODEL_NAMES}
+    )
+    rows = spark.readStream.schema(read_table(spark, arriving).schema).parquet(arriving)
+    arrivals.triage_stream(rows, triaged, audit, refused, checkpoint, loaded).awaitTermination()

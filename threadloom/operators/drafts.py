@@ -101,7 +101,9 @@ def checked_reply(df: DataFrame) -> DataFrame:
     ):
         escalate = escalate | F.coalesce(F.col(flag), F.lit(False))
     cited = F.col("draft.cited_ticket_ids")
-    keys = [c for c in df.columns if c not in ("query", "retrieved", "draft")]
+    keys = [c for c in df.columns if c not in ("query", "retrieved", "draft", "generation_model")]
+    # Drafts come from outside and may say which model wrote them.
+    model = F.col("generation_model") if "generation_model" in df.columns else F.lit(GENERATION_MODEL)
     return redacted.select(
         *keys,
         "query",
@@ -114,7 +116,7 @@ def checked_reply(df: DataFrame) -> DataFrame:
         "ticket_severity_signaled",
         escalate.alias("needs_human_escalation"),
         F.col("retrieved").alias("retrieved_examples"),
-        F.lit(GENERATION_MODEL).alias("generation_model"),
+        model.alias("generation_model"),
     )
 
 
@@ -126,10 +128,19 @@ def check_drafts(tickets: DataFrame, retrieved: DataFrame, drafts: DataFrame, ke
     none; tickets without a draft get no response.
     """
     none = F.array().cast(retrieved.schema["retrieved"].dataType)
+    given = [c for c in (key, "draft", "generation_model") if c in drafts.columns]
     rows = (
         tickets.select(key, "query")
-        .join(drafts.select(key, "draft").where(F.col("draft").isNotNull()), key)
+        .join(drafts.select(*given).where(F.col("draft").isNotNull()), key)
         .join(retrieved.select(key, "retrieved"), key, "left")
         .withColumn("retrieved", F.coalesce("retrieved", none))
     )
     return checked_reply(rows)
+
+
+def draft_rejects(tickets: DataFrame, drafts: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """What comes to no response: drafts that do not fit (their error), and
+    tickets that have no draft at all."""
+    failed = drafts.where(F.col("draft").isNull()).select(key, F.col("draft_error").alias("error"))
+    without = tickets.join(drafts.select(key), key, "left_anti").select(key, F.lit("no draft").alias("error"))
+    return failed.unionByName(without)

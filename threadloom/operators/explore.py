@@ -1,7 +1,8 @@
 """Exploratory clusters of ticket texts: what people write about.
 
-Works on a sample of fixed size, so everything after the sample is bounded,
-however long the ticket table is. The sample itself is exact and distributed.
+Works on all tickets: terms are counted, the matrix is reduced and clusters are found
+by Spark, and the driver holds the vocabulary. A fixed sample, exact and
+distributed, is an option for a quick look; every ticket that takes part gets a cluster.
 """
 
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from threadloom import constants as C
 from threadloom.functions.text import without_ids
 from threadloom.operators.split import fixed_sample
 from threadloom.operators.terms import fit_tfidf, vocabulary_of, with_terms
-from threadloom.sources.tables import materialize
+from threadloom.sources.tables import materialize, materialize_counted
 
 
 def stop_words(sample: DataFrame, tickets: DataFrame, text: str = "clean_text") -> list[str]:
@@ -95,7 +96,7 @@ def cluster_terms(clustered: DataFrame, vocabulary: list[str], top: int = C.EXPL
 def explore(
     tickets: DataFrame,
     key: str = "ticket_id",
-    sample_size: int = C.EXPLORE_SAMPLE,
+    sample_size: int | None = None,
     clusters: int = C.EXPLORE_CLUSTERS,
     terms: int = C.EXPLORE_TERMS,
     min_df: int = C.EXPLORE_MIN_DF,
@@ -109,20 +110,20 @@ def explore(
     Reads ``key``, ``text`` and ``brand_id`` only.
     """
     columns = tickets.select(key, "text", "brand_id")
-    sample = materialize(
-        fixed_sample(columns, key, sample_size, seed).select(key, without_ids(F.col("text")).alias("clean_text")),
-        "explore-sample",
+    taken = columns if sample_size is None else fixed_sample(columns, key, sample_size, seed)
+    sample, found = materialize_counted(
+        taken.select(key, without_ids(F.col("text")).alias("clean_text")), "explore-sample", rows=F.count(F.lit(1))
     )
     stops = stop_words(sample, columns)
     model = fit_tfidf(sample, "clean_text", terms, min_df, max_df, stops)
     vocabulary = vocabulary_of(model)
     vectors = materialize(model.transform(sample).select(key, "features"), "explore-vectors")
     lsa, explained = reduced(vectors, min(components, len(vocabulary) - 1))
-    found = cluster_terms(cluster(lsa, clusters, restarts, seed), vocabulary)
+    clustered = cluster_terms(cluster(lsa, clusters, restarts, seed), vocabulary)
     # One row per cluster.
-    entries = found.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "size", "top_terms"))).alias("clusters"))
+    entries = clustered.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "size", "top_terms"))).alias("clusters"))
     return entries.select(
-        F.lit(sample_size).alias("sample_size"),
+        F.lit(found["rows"]).alias("sample_size"),
         F.lit(clusters).alias("n_clusters"),
         F.lit(float(explained)).alias("explained_variance_ratio"),
         "clusters",

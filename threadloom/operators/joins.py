@@ -7,8 +7,8 @@ from threadloom.sources.tables import materialize_counted
 
 # A key with more rows than this is split over several tasks.
 HOT_KEY_ROWS = 1_000_000
-# A table is only broadcast after a count has shown it to be at most this long.
-BROADCAST_ROWS = 1_000_000
+# A table is only broadcast after its rows have been measured to be at most this many bytes.
+BROADCAST_BYTES = 64 << 20
 # Parts for rows without a key, which match nothing and only need to be spread.
 _NULL_PARTS = 4_096
 
@@ -44,22 +44,18 @@ def salted_join(
     left_key: str,
     right_key: str,
     how: str = "inner",
-    spread: Column | None = None,
-    rows: int | None = None,
+    *,
+    spread: Column,
 ) -> DataFrame:
     """Equi-join of many ``left`` rows per key to ``right``, unique on its key.
 
     Hot keys of ``left`` are cut into parts by a hash of ``spread``, a value
-    that differs between rows, and their ``right`` row is repeated once per
+    that differs between rows and stays the same when a task is tried again, and their ``right`` row is repeated once per
     part. All other keys join as usual. Left rows with a NULL key, which an
-    outer join keeps, are spread out too. ``rows`` is the length of ``left``
-    where the caller knows it: a short table cannot hold a hot key.
+    outer join keeps, are spread out too.
     """
-    if rows is not None and rows <= hot_key_rows(left):
-        return left.join(right, F.col(left_key) == F.col(right_key), how)
     hot = hot_keys(left, left_key)
     parts = F.coalesce("_parts", F.lit(1))
-    spread = F.monotonically_increasing_id() if spread is None else spread
     salted_left = (
         left.withColumn("_spread", F.xxhash64(spread))
         .join(F.broadcast(hot), F.col(left_key) == F.col("_hot"), "left")
@@ -88,11 +84,24 @@ def sized_join(
 ) -> DataFrame:
     """Join to a table that is usually short, e.g. the ids found to repeat.
 
-    The short side is written first, and counted on the way. Within the limit it is
+    The short side is written first, and measured on the way. Within the limit it is
     broadcast and ``left`` is not shuffled at all; beyond it the salted join
-    takes over.
+    takes over. ``spread`` is as there, a hash of the whole left row if it is not given.
     """
-    right, found = materialize_counted(right, "sized-join", rows=F.count(F.lit(1)))
-    if found["rows"] <= _setting(left, "broadcastRows", BROADCAST_ROWS):
+    right, found = materialize_counted(right, "sized-join", bytes=F.sum(row_bytes(right)))
+    if found["bytes"] <= _setting(left, "broadcastBytes", BROADCAST_BYTES):
         return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
-    return salted_join(left, right, left_key, right_key, how, spread)
+    if spread is None:
+        spread = F.xxhash64(*(F.col(f"`{f.name}`") for f in left.schema if f.dataType.typeName() not in ("map", "variant")))
+    return salted_join(left, right, left_key, right_key, how, spread=spread)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: strings by their length, 16 bytes a column."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema:
+        if field.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0))
+        elif field.dataType.typeName() in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0))
+    return size

@@ -13,11 +13,14 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import WORD_CHARACTER
+from threadloom.sources.tables import materialize
 
+# Steps of the histogram of counts to a doubling.
+_STEPS = 8
 WORD = WORD_CHARACTER + "{2,}"
 _SQL_WORD = WORD.replace("\\", "\\\\")
 
@@ -64,16 +67,23 @@ def term_table(termed: DataFrame, size: int, min_df: int, max_df: float = 1.0) -
         F.size("terms").alias("_n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("_at", "term")
     )
     documents = termed.agg(F.count(F.lit(1)).alias("documents")).scalar()
-    return (
+    counted = (
         both.groupBy("term")
         .agg(
             F.count_if(F.col("_at") < F.col("_n")).alias("tf"), F.count_if(F.col("_at") >= F.col("_n")).alias("df")
         )
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * documents))
         .withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
-        .orderBy(F.col("tf").desc(), F.col("term"))
-        .limit(size)
+        .withColumn("_step", F.floor(F.log2("tf") * _STEPS).cast("int"))
     )
+    # Where the cut lies comes from a histogram of a few hundred steps. Only terms from that step on are
+    # sorted, not the best ``size`` of every task.
+    counted = materialize(counted, "terms")
+    above = Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = counted.groupBy("_step").agg(F.count(F.lit(1)).alias("n"))
+    cut = steps.withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0))).where(F.col("before") < size)
+    least = cut.agg(F.coalesce(F.min("_step"), F.lit(0))).scalar()
+    return counted.where(F.col("_step") >= least).drop("_step").orderBy(F.col("tf").desc(), F.col("term")).limit(size)
 
 
 def fit_tfidf(

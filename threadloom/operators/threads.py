@@ -15,14 +15,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.joins import hot_key_rows, salted_join
+from threadloom.operators.joins import salted_join
 from threadloom.sources.tables import materialize, materialize_counted
 
-# Pointer moves in one job, for tables too short to hold a hot key.
-_MOVES = 3
 
-
-def _first_step(links: DataFrame, rows: int) -> DataFrame:
+def _first_step(links: DataFrame) -> DataFrame:
     """Rows with a parent in the table; done when that parent starts a thread.
 
     Rows left out have no parent, reply to themselves or to a missing row, and
@@ -30,30 +27,30 @@ def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """
     replies = links.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id")))
     parents = links.select(F.col("tweet_id").alias("at"), F.col("parent").alias("grand"))
-    return salted_join(replies, parents, "parent", "at", "inner", F.col("tweet_id"), rows).select(
+    return salted_join(replies, parents, "parent", "at", "inner", spread=F.col("tweet_id")).select(
         "tweet_id",
         F.col("parent").alias("pointer"),
         (F.col("grand").isNull() | (F.col("grand") == F.col("at"))).alias("done"),
     )
 
 
-def _next_step(open_rows: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+def _next_step(open_rows: DataFrame, known: DataFrame) -> DataFrame:
     """Move the pointers of open rows. A pointer not in ``known`` is a top.
 
-    A short table is moved several times in one job, to save jobs. A longer
-    one is moved once, since hot keys are counted afresh for every move.
+    Only rows that some open pointer points at are looked up: finished rows
+    are most of the table and go no further than this test.
     """
-    lookup = known.select(
+    wanted = open_rows.select(F.col("pointer").alias("wanted")).distinct()
+    lookup = known.join(wanted, F.col("tweet_id") == F.col("wanted"), "left_semi").select(
         F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("done").alias("next_done")
     )
-    moved = open_rows.select("tweet_id", "pointer")
-    for _ in range(_MOVES if rows <= hot_key_rows(moved) else 1):
-        moved = salted_join(moved, lookup, "pointer", "at", "left", F.col("tweet_id"), rows).select(
-            "tweet_id",
-            F.coalesce("next", "pointer").alias("pointer"),
-            F.coalesce("next_done", F.lit(True)).alias("done"),
-        )
-    return moved
+    return salted_join(
+        open_rows.select("tweet_id", "pointer"), lookup, "pointer", "at", "left", spread=F.col("tweet_id")
+    ).select(
+        "tweet_id",
+        F.coalesce("next", "pointer").alias("pointer"),
+        F.coalesce("next_done", F.lit(True)).alias("done"),
+    )
 
 
 def _store(step: DataFrame) -> tuple[DataFrame, int, int]:
@@ -76,7 +73,7 @@ def _circle_roots(circle: DataFrame, rows: int) -> DataFrame:
             F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("low").alias("next_low")
         )
         state = materialize(
-            salted_join(state, ahead, "pointer", "at", "inner", F.col("tweet_id"), rows).select(
+            salted_join(state, ahead, "pointer", "at", "inner", spread=F.col("tweet_id")).select(
                 "tweet_id",
                 F.col("next").alias("pointer"),
                 F.least("low", "next_low").alias("low"),
@@ -85,7 +82,7 @@ def _circle_roots(circle: DataFrame, rows: int) -> DataFrame:
         )
     ahead = state.select(F.col("tweet_id").alias("at"), F.col("low").alias("next_low"))
     return salted_join(
-        state.select("tweet_id", "pointer"), ahead, "pointer", "at", "inner", F.col("tweet_id"), rows
+        state.select("tweet_id", "pointer"), ahead, "pointer", "at", "inner", spread=F.col("tweet_id")
     ).select("tweet_id", F.col("next_low").alias("pointer"), F.lit(True).alias("done"))
 
 
@@ -96,11 +93,10 @@ def reply_roots(tweets: DataFrame) -> DataFrame:
     two of its columns are read.
     """
     links = tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent"))
-    # The count comes from file footers and spares short tables the look for hot keys.
-    step, left, _ = _store(_first_step(links, links.count()))
+    step, left, _ = _store(_first_step(links))
     finished, still_open = step.where("done"), step.where("not done")
     while left:
-        step, now_left, now_done = _store(_next_step(still_open, finished.unionByName(still_open), left))
+        step, now_left, now_done = _store(_next_step(still_open, finished.unionByName(still_open)))
         if not now_done:
             # An open row with a top above it always lets one row finish, so
             # these all run in circles. Start again from their parents.

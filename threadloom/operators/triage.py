@@ -58,8 +58,17 @@ def triage_columns(df: DataFrame, key: str = "ticket_id") -> DataFrame:
 
 
 def triage(predicted: DataFrame, responses: DataFrame, key: str = "ticket_id") -> DataFrame:
-    """Predictions joined to checked responses, one row per ticket on each side."""
-    return triage_columns(predicted.join(responses, key), key)
+    """Predictions with the checked response, one row per ticket.
+
+    A ticket without a usable response stays: it has no reply, raises no flag of
+    its own and goes to a person.
+    """
+    joined = predicted.join(responses, key, "left")
+    flags = ("link_redacted", "mention_redacted", "completed_action_claimed", "ticket_severity_signaled")
+    filled = {name: F.coalesce(name, F.lit(False)) for name in flags}
+    filled["needs_human_escalation"] = F.coalesce("needs_human_escalation", F.lit(True))
+    filled["cited_ticket_ids"] = F.coalesce("cited_ticket_ids", F.array().cast("array<string>"))
+    return triage_columns(joined.withColumns(filled), key)
 
 
 def audit(triaged: DataFrame, key: str = "ticket_id") -> DataFrame:

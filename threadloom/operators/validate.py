@@ -56,7 +56,9 @@ def check_rows(df: DataFrame) -> DataFrame:
         .where(F.col("count") > 1)
         .select("_repeated")
     )
-    joined = sized_join(df, repeated, "tweet_id", "_repeated", "left")
+    joined = sized_join(
+        df, repeated, "tweet_id", "_repeated", "left", F.xxhash64("tweet_id", "author_id", "created_at", "text")
+    )
     checks = {"tweet_id is not unique": F.col("_repeated").isNotNull(), **row_failures()}
     named = F.filter(
         F.array(*(F.when(test, F.lit(name)) for name, test in checks.items())), lambda name: name.isNotNull()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.constants import EXPLORE_SAMPLE, SEED, TFIDF_MIN_DF, TFIDF_TERMS
+from threadloom.constants import SEED, TFIDF_MIN_DF, TFIDF_TERMS
 from threadloom.operators import classify, explore, metrics, registry, split, terms
 from threadloom.plans import derive, oracle
 from threadloom.plans.flow import Flow
@@ -266,7 +266,7 @@ def predict_labels(flow: Flow):
 def explore_clusters(flow: Flow):
     """Clusters of the ticket texts with their commonest terms."""
     tickets = materialize(flow.tickets.select("ticket_id", "text", "brand_id"), "tickets")
-    report = explore.explore(tickets, sample_size=min(EXPLORE_SAMPLE, tickets.count()))
+    report = explore.explore(tickets)
     return report.select(
         "sample_size", "n_clusters", F.round("explained_variance_ratio", 4).alias("explained_variance_ratio"),
         F.explode("clusters").alias("c"),

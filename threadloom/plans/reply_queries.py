@@ -1,6 +1,7 @@
 """Queries over drafted replies: prompts, checks, scores, triage and streams."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from threadloom.constants import PROMPT_INSTRUCTIONS, PROMPT_REQUEST, SEED
 from threadloom.functions import safety
@@ -12,10 +13,12 @@ from threadloom.plans.flow import Flow
 from threadloom.plans.oracle import CLAIMS, SEVERE, flow_sql, text
 from threadloom.plans.registered import query
 from threadloom.plans.ticket_queries import _LANDING_VIEW_SQL, _PARSED_SQL, _landing_view
+from threadloom.schemas import RETRIEVED
 from threadloom.sources.csv import write_raw_csv
-from threadloom.sources.tables import materialize, read_table, scratch_path, write_table
+from threadloom.sources.tables import read_table, scratch_path, write_table
 from threadloom.streaming import arrivals
 
+RETRIEVED_LIST = ArrayType(RETRIEVED)
 LINK = f"'https?://{oracle.NOT_BLANK}+'"
 HANDLE = f"'@{oracle.WORD}+'"
 
@@ -515,6 +518,86 @@ def triage_audit(flow: Flow):
     return triage.audit(_triaged(flow), "draft_id")
 
 
+def _partial(flow: Flow):
+    """Tickets of the whole flow and the drafts that came for them: some do not
+    parse, some tickets have none, and some tickets have no text."""
+    kind = F.col("ticket_id") % 5
+    tickets = flow.stored_labeled.select(
+        "ticket_id", F.when(kind == 4, F.lit("")).otherwise(F.col("text")).alias("text"),
+        F.col("category").alias("predicted_category"), F.col("priority").alias("predicted_priority"),
+    )
+    json = F.when(kind == 1, F.lit('{"reply": 5}')).otherwise(
+        F.to_json(F.struct(F.col("text").alias("reply"), F.lit(False).alias("needs_human_escalation")))
+    )
+    came = drafts.parse_drafts(
+        flow.stored_labeled.where(kind != 2).select("ticket_id", json.alias("draft_json"), F.lit("test").alias("generation_model"))
+    )
+    return tickets, came
+
+
+@query(
+    flow_sql(
+        "labeled",
+        """SELECT ticket_id, CASE ticket_id % 5 WHEN 1 THEN 'reply is not a string' ELSE 'no draft' END AS error
+        FROM labeled WHERE ticket_id % 5 IN (1, 2)""",
+    )
+)
+def draft_rejects(flow: Flow):
+    """Accepted tickets without a response, and why."""
+    tickets, came = _partial(flow)
+    return drafts.draft_rejects(triage.accepted_tickets(tickets), came)
+
+
+_COMPLETE_SQL = f"""SELECT ticket_id, ticket_id % 5 IN (1, 2) AS lost, text, category, priority,
+    {redacted('text')} AS reply, {no_links('text')} <> text AS link_redacted,
+    {redacted('text')} <> {no_links('text')} AS mention_redacted,
+    regexp_matches({redacted('text')}, {CLAIMS}) AS completed_action_claimed,
+    regexp_matches(text, {SEVERE}) AS ticket_severity_signaled
+  FROM labeled WHERE ticket_id % 5 <> 4"""
+
+
+@query(
+    flow_sql(
+        "labeled",
+        """SELECT ticket_id, text AS ticket_text, category AS predicted_category, priority AS predicted_priority,
+          CASE WHEN NOT lost THEN reply END AS draft_reply, NOT lost AND link_redacted AS link_redacted,
+          NOT lost AND mention_redacted AS mention_redacted,
+          NOT lost AND completed_action_claimed AS completed_action_claimed,
+          NOT lost AND ticket_severity_signaled AS ticket_severity_signaled,
+          lost OR link_redacted OR mention_redacted OR completed_action_claimed OR ticket_severity_signaled
+            AS needs_human_escalation FROM whole""",
+        whole=_COMPLETE_SQL,
+    )
+)
+def triage_complete(flow: Flow):
+    """One row for every accepted ticket, whether its draft was of use or not."""
+    tickets, came = _partial(flow)
+    accepted = triage.accepted_tickets(tickets)
+    none = F.array().cast(RETRIEVED_LIST)
+    checked = drafts.check_drafts(
+        accepted.select("ticket_id", F.col("text").alias("query")), accepted.select("ticket_id", none.alias("retrieved")), came
+    )
+    return triage.triage(accepted, checked).drop("cited_ticket_ids")
+
+
+@query(
+    flow_sql(
+        "labeled",
+        """SELECT (SELECT CAST(count(*) AS BIGINT) FROM labeled) AS tickets_in,
+          CAST(count(*) FILTER (WHERE ticket_id % 5 <> 4) AS BIGINT) AS triaged,
+          CAST(count(*) FILTER (WHERE ticket_id % 5 = 4) AS BIGINT) AS refused FROM labeled""",
+    )
+)
+def triage_counts(flow: Flow):
+    """Tickets in, triaged and refused: nothing is lost between."""
+    tickets, _ = _partial(flow)
+    refused = triage.refused_tickets(tickets).agg(F.count(F.lit(1))).scalar()
+    rows = triage_complete(flow).agg(F.count(F.lit(1))).scalar()
+    return tickets.agg(F.count(F.lit(1)).alias("tickets_in")).select(
+        "tickets_in", rows.alias("triaged"), refused.alias("refused")
+    )
+
+
 @query(flow_sql("raw", _LANDING_VIEW_SQL, parsed=_PARSED_SQL))
 def stream_ingest(flow: Flow):
     """The landing table by way of a stream of CSV files."""
@@ -540,14 +623,13 @@ def stream_ingest(flow: Flow):
 )
 def stream_triage(flow: Flow):
     """The triage rows by way of a stream of arriving tickets."""
-    stored = materialize(
-        flow.drafted.select(F.col("draft_id").alias("ticket_id"), F.col("query").alias("text"), "retrieved", "draft"),
-        "stream-tickets",
-    )
-    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
-    arriving = flow.spark.readStream.schema(stored.schema).parquet(folder)
+    tickets = flow.drafted.select(F.col("draft_id").alias("ticket_id"), F.col("query").alias("text"), "retrieved", "draft")
+    folder = scratch_path(flow.spark, "stream-tickets")
+    write_table(tickets, folder)
+    arriving = flow.spark.readStream.schema(tickets.schema).parquet(folder)
     triaged = scratch_path(flow.spark, "stream-triage")
     arrivals.triage_stream(
-        arriving, triaged, scratch_path(flow.spark, "stream-audit"), scratch_path(flow.spark, "stream-checkpoint")
+        arriving, triaged, scratch_path(flow.spark, "stream-audit"), scratch_path(flow.spark, "stream-refused"),
+        scratch_path(flow.spark, "stream-checkpoint"),
     ).awaitTermination()
     return read_table(flow.spark, triaged).drop("batch", "cited_ticket_ids")

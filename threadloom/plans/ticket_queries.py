@@ -9,7 +9,7 @@ from threadloom.plans import derive, oracle
 from threadloom.plans.flow import Flow
 from threadloom.plans.oracle import flow_sql
 from threadloom.plans.registered import query
-from threadloom.sources.csv import read_raw_csv, write_raw_csv
+from threadloom.sources.csv import read_raw_csv, write_csv, write_raw_csv
 from threadloom.sources.tables import materialize, scratch_path
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -61,6 +61,18 @@ def ingest_csv(flow: Flow):
     return _landing_view(ingest.accepted(ingest.parse_rows(read_raw_csv(flow.spark, path))))
 
 
+@query(flow_sql("raw", _LANDING_VIEW_SQL, parsed=_PARSED_SQL))
+def ingest_mixed_headers(flow: Flow):
+    """The same from files whose columns come in different orders, some with one more."""
+    rows, path = derive.raw(flow.spark, flow.sf_dir), scratch_path(flow.spark, "raw-csv")
+    half = F.xxhash64("tweet_id") % 2 == 0
+    write_raw_csv(rows.where(half), f"{path}/one")
+    turned = rows.where(~half).select(F.lit("more").alias("note"), *reversed(rows.columns))
+    write_csv(turned, f"{path}/two")
+    read = read_raw_csv(flow.spark, [f"{path}/one", f"{path}/two"])
+    return _landing_view(ingest.accepted(ingest.parse_rows(read)))
+
+
 @query(
     flow_sql(
         "raw",

@@ -1,7 +1,11 @@
 """Raw tweet CSV: header names matter, every field is a string, blanks stay."""
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.constants import RAW_COLUMNS
 from threadloom.schemas import RAW
@@ -21,17 +25,47 @@ def blanks_kept(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in RAW_COLUMNS))
 
 
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. Names of the files and a line of each reach the
+    driver, as for any listing; contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path")
+    jvm, found = spark.sparkContext._jvm, {}
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in sorted(row.path for row in listed.collect()):
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        lines = jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(file.getFileSystem(conf).open(file), jvm.java.nio.charset.StandardCharsets.UTF_8)
+        )
+        try:
+            line = lines.readLine()
+        finally:
+            lines.close()
+        if line is not None:
+            header = next(csv.reader([line.removeprefix("\ufeff")]), [])
+            found.setdefault(tuple(header), []).append(name)
+    return found
+
+
 def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All seven columns by header name, in any order; extra columns are ignored.
 
+    Spark applies one header to all files by position. Files are therefore
+    grouped by their own header, each group is read with it and
+    checked against it, and the groups are put together by name.
+
     A quoted line end keeps a file in one task, so hand over many files of
     moderate size (the published data set is one 516 MB file per 2.8M rows).
     """
-    df = spark.read.options(**_OPTIONS).csv(path)
-    missing = [c for c in RAW_COLUMNS if c not in df.columns]
-    if missing:
-        raise ValueError(f"raw CSV lacks the columns {missing}")
-    return blanks_kept(df)
+    parts = []
+    for header, files in _headers(spark, path).items():
+        missing = [c for c in RAW_COLUMNS if c not in header]
+        if missing:
+            raise ValueError(f"raw CSV lacks the columns {missing}: {files[0]}")
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        parts.append(blanks_kept(spark.read.schema(schema).options(**_OPTIONS, enforceSchema="false").csv(files)))
+    if not parts:
+        raise ValueError(f"raw CSV has no header: {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stream_raw_csv(spark: SparkSession, path: str, files_per_trigger: int) -> DataFrame:
@@ -47,9 +81,12 @@ def stream_raw_csv(spark: SparkSession, path: str, files_per_trigger: int) -> Da
 
 def write_raw_csv(df: DataFrame, path: str) -> None:
     """Seven string columns as quoted CSV with a header."""
+    write_csv(df.select(*RAW_COLUMNS), path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
     (
-        df.select(*RAW_COLUMNS)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .options(header="true", quote='"', escape='"', quoteAll="true")
         .options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
         .csv(path)

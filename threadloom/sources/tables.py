@@ -44,19 +44,36 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder that ``spark.checkpoint.dir`` names.
+def _scratch_root(spark: SparkSession) -> str:
+    """Folder of this session's intermediate tables, below ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, laptops) is a folder of our own
-    made and recorded in the session.
+    Executors of a cluster do not see each other's disks, so without that
+    setting only a local master may go on, in a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.threadloom.localScratch", None)
+    root = spark.conf.get("spark.threadloom.scratch", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.threadloom.localScratch", root)
-    return f"{root.rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="threadloom-")
+        root = f"{shared.rstrip('/')}/threadloom-{uuid.uuid4().hex}"
+        spark.conf.set("spark.threadloom.scratch", root)
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path for an intermediate table."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables; for the end of a job."""
+    root = spark.conf.get("spark.threadloom.scratch", None)
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset("spark.threadloom.scratch")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -64,17 +64,21 @@ def triage_stream(
     arriving: DataFrame,
     triage_path: str,
     audit_path: str,
+    refused_path: str,
     checkpoint: str,
     models: dict[str, PipelineModel] | None = None,
 ) -> StreamingQuery:
     """Triage arriving rows (ticket_id, text, retrieved, draft).
 
-    Empty texts are refused and left to ``refused_tickets``. Writes the triage
-    rows and, beside them, audit rows without any text.
+    Writes the triage rows, beside them audit rows without any text, and the
+    tickets refused for having no text.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         rows = T.accepted_tickets(batch)
+        refused = T.refused_tickets(batch).select("ticket_id", "error")
+        refused.write.mode("overwrite").parquet(_batch_path(refused_path, batch_id))
         labeled = T.predict_labels(rows, models) if models else with_rule_labels(rows)
         checked = D.checked_reply(
             labeled.withColumn("query", F.col("text")).select(
@@ -85,6 +89,7 @@ def triage_stream(
         triaged.write.mode("overwrite").parquet(_batch_path(triage_path, batch_id))
         T.audit(triaged).write.mode("overwrite").parquet(_batch_path(audit_path, batch_id))
         triaged.unpersist()
+        batch.unpersist()
 
     return (
         arriving.writeStream.foreachBatch(write)
