@@ -17,7 +17,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
@@ -26,7 +26,7 @@ UNIGRAM, MERGES = 1, 2
 # The score of an unknown character lies this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 # Stretches between certain boundaries whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 REMEMBERED_LENGTH = 48
 
 
@@ -51,6 +51,7 @@ class PieceModel:
         self.types = [p.type for p in proto.pieces]
         self.scores = {}
         self.ids = {}
+        self._hidden: set[str] = set()
         for i, piece in enumerate(proto.pieces):
             if piece.type == USER:
                 raise ValueError("pieces defined by users are not supported")
@@ -60,9 +61,17 @@ class PieceModel:
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.longest = max(map(len, self.ids), default=1)
+        if self.kind == MERGES:
+            # Pieces that merging their characters does not give never come out.
+            for piece in [p for p in self.scores if len(p) > 1]:
+                if self.merged(piece) != [piece]:
+                    self._hidden.add(piece)
+        # Beginnings of pieces: an arc that is none of them goes no further.
+        self.beginnings = {p[:i] for p in self.scores if p not in self._hidden for i in range(1, len(p) + 1)}
         self.lowest = min(self.scores.values(), default=0.0)
-        # Ids as 32-bit words, by stretch.
+        # Ids as 32-bit words, by stretch: those met lately, and those met before.
         self.memory: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self._apart: dict[tuple[str, str], bool] = {}
 
     def __reduce__(self):
@@ -99,22 +108,11 @@ class PieceModel:
         pair = (left, right)
         known = self._apart.get(pair)
         if known is None:
-            if len(self._apart) > REMEMBERED:
+            if len(self._apart) > 2 * REMEMBERED:
                 self._apart.clear()
             known = self._apart[pair] = self.merged(left + right) == [left, right]
         return known
 
-    @cached_property
-    def _whole(self) -> dict[str, bool]:
-        return {}
-
-    def reachable(self, piece: str) -> bool:
-        """Merging the characters of the piece gives the piece."""
-        known = self._whole.get(piece)
-        if known is None:
-            known = self._whole[piece] = self.merged(piece) == [piece]
-        return known
-
     # -- search --
 
     def stream(self, texts) -> Iterator[int]:
@@ -135,23 +133,28 @@ class PieceModel:
             text = SPACE + text
         if self._cut is None:
             return np.fromiter(self.stream([text]), np.int32)
-        parts: list[bytes] = []
-        memory = self.memory
-        for stretch in self._cut.findall(text):
-            found = memory.get(stretch)
-            if found is None:
-                # All paths meet at both ends of a stretch, so its ids hold everywhere.
-                search, ids = _Search(self), []
-                for char in stretch:
-                    ids += search.step(char)
-                found = np.array(ids + search.finish(), np.int32).tobytes()
-                if len(stretch) <= REMEMBERED_LENGTH:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[stretch] = found
-            parts.append(found)
+        stretches = self._cut.findall(text)
+        parts = list(map(self.memory.get, stretches))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self._settled(stretches[i])
         return np.frombuffer(b"".join(parts), np.int32)
 
+    def _settled(self, stretch: str) -> bytes:
+        """Ids of a stretch: all paths meet at both of its ends, so they hold in every text."""
+        found = self.memory.get(stretch) or self.earlier.get(stretch)
+        if found is None:
+            search, ids = _Search(self), []
+            for char in stretch:
+                ids += search.step(char)
+            found = np.array(ids + search.finish(), np.int32).tobytes()
+        if len(stretch) <= REMEMBERED_LENGTH:
+            if len(self.memory) >= REMEMBERED:
+                self.earlier, self.memory = self.memory, {}
+            self.memory[stretch] = found
+        return found
+
     @cached_property
     def _spelled(self) -> list[bytes]:
         """What each id stands for, in UTF-8."""
@@ -181,45 +184,47 @@ class _Search:
         self.text = ""
         # By place: score, place before, piece (None: an unknown character).
         self.best: list[tuple[float, int, str | None] | None] = [(0.0, -1, None)]
+        # Arcs under way: places and what has been read since, the longest first.
+        self.arcs: list[tuple[int, str]] = []
         self.last: str | None = None
         self.after_unknown = False
 
     def step(self, char: str) -> list[int]:
-        model, text = self.model, self.text + char
-        self.text = text
-        end, best = len(text), None
-        places, scores = self.best, model.scores
-        for start in range(max(0, end - model.longest), end):
-            piece = text[start:end]
-            score = scores.get(piece)
-            if score is None:
+        model, places, best = self.model, self.best, None
+        beginnings, scores, merges = model.beginnings, model.scores, model.kind == MERGES
+        self.text += char
+        arcs = []
+        if places[-1] is not None:
+            self.arcs.append((len(places) - 1, ""))
+        for start, read in self.arcs:
+            read += char
+            if read not in beginnings:
                 continue
-            before = places[start]
-            if before is None:
+            arcs.append((start, read))
+            score = scores.get(read)
+            if score is None or merges and (best is not None or read in model._hidden):
                 continue
-            if model.kind == MERGES:
+            before = places[start]
+            if merges:
                 left = before[2] if start else self.last
-                if (end - start > 1 and not model.reachable(piece)) or left is not None and not model.apart(left, piece):
-                    continue
-                best = (0.0, start, piece)
-                break
-            score += before[0]
-            if best is None or score > best[0]:
-                best = (score, start, piece)
-        if text[-1] not in model.scores:
+                if left is None or model.apart(left, read):
+                    best = (0.0, start, read)
+            elif best is None or score + before[0] > best[0]:
+                best = (score + before[0], start, read)
+        self.arcs = arcs
+        if char not in scores and places[-1] is not None:
             # No piece for the character itself: an unknown one may stand here.
-            before = self.best[end - 1]
-            if before is not None:
-                score = before[0] + model.lowest - UNKNOWN_PENALTY
-                if best is None or model.kind == UNIGRAM and score > best[0]:
-                    best = (score, end - 1, None)
-        self.best.append(best)
-        return self._commit() if end >= model.longest else []
+            score = places[-1][0] + model.lowest - UNKNOWN_PENALTY
+            if best is None or not merges and score > best[0]:
+                best = (score, len(places) - 1, None)
+        places.append(best)
+        return self._commit() if len(places) > model.longest else []
 
     def _commit(self) -> list[int]:
         """Ids up to the last boundary that the paths of all places that can go on share."""
-        end = len(self.text)
-        live = {i for i in range(max(0, end + 1 - self.model.longest), end + 1) if self.best[i] is not None}
+        live = {start for start, _ in self.arcs}
+        if self.best[-1] is not None:
+            live.add(len(self.best) - 1)
         while len(live) > 1:
             most = max(live)
             live.remove(most)
@@ -248,6 +253,7 @@ class _Search:
         base = self.best[at][0]
         self.text = self.text[at:]
         self.best = [None if b is None else (b[0] - base, b[1] - at, b[2]) for b in self.best[at:]]
+        self.arcs = [(start - at, read) for start, read in self.arcs]
         return ids
 
     def finish(self) -> list[int]:
@@ -271,10 +277,7 @@ def encode_udf(blob: bytes):
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         model = _model(blob)
-        found = [model.encode(text.as_py()) for text in texts]
-        offsets = np.cumsum([0] + [len(f) for f in found], dtype=np.int32)
-        flat = np.concatenate(found) if found else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        return _lists([model.encode(text.as_py()) for text in texts])
 
     return ids
 
@@ -289,20 +292,33 @@ def decode_udf(blob: bytes):
     return text
 
 
-def round_trip(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
+def round_trip_udf(blob: bytes):
+    """Ids, and whether decoding them gives the text back, in one go."""
+
+    @F.arrow_udf("ids array<int>, same boolean")
+    def both(texts: pa.Array) -> pa.Array:
+        model = _model(blob)
+        values = texts.to_pylist()
+        found = [model.encode(value) for value in values]
+        same = [model.decode(ids.tolist()) == (value or "") for ids, value in zip(found, values, strict=True)]
+        return pa.StructArray.from_arrays([_lists(found), pa.array(same, pa.bool_())], ["ids", "same"])
+
+    return both
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0] + [len(f) for f in found], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
+
+
+def round_trip(docs: DataFrame, blob: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, n_ids and whether decoding gives the text back, of every row.
 
     NULL and empty texts have no ids and decode to an empty text; repeated rows are
-    encoded each; an empty table gives no rows.
+    encoded each; an empty table gives no rows. A text that holds the mark for
+    blanks itself decodes to blanks, as the format has it.
     """
-    source = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return (
-        docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), source.alias("source"))
-        .withColumn("ids", encode_udf(blob)(F.col("source")))
-        .select(
-            "doc_id",
-            "ids",
-            F.size("ids").cast("long").alias("n_ids"),
-            (decode_udf(blob)(F.col("ids")) == F.col("source")).alias("round_trip"),
-        )
+        docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), round_trip_udf(blob)(F.col(f"`{text}`")).alias("found"))
+        .select("doc_id", "found.ids", F.size("found.ids").cast("long").alias("n_ids"), F.col("found.same").alias("round_trip"))
     )
