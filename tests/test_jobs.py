@@ -63,13 +63,13 @@ def test_stages_in_order(spark, tmp_path, monkeypatch):
     run("index", root, knowledge_base="kb", index="index", encoder="encoder", report="r11")
     assert report(root, "r11")["indexed_size"] == report(root, "r10")["resolutions_found"]
 
-    asked = spark.createDataFrame([(1, "My order never arrived"), (2, "I will sue you"), (3, "")], "ticket_id bigint, text string")
+    asked = spark.createDataFrame([(1, "The parcel came late"), (2, "My lawyer will call"), (3, ""), (4, "no draft for this")], "ticket_id bigint, text string")
     asked.write.parquet(f"{root}/asked")
     run("prompts", root, tickets_path="asked", index="index", encoder="encoder", retrieved="retrieved", prompts="prompts")
     prompts = spark.read.parquet(f"{root}/prompts")
-    assert prompts.count() == 2 and prompts.where(F.col("prompt").contains("Example 3")).count() == 2
+    assert prompts.count() == 3 and prompts.where(F.col("prompt").contains("Example 3")).count() == 3
     first = F.col("retrieved")[0]["ticket_id"]
-    spark.read.parquet(f"{root}/retrieved").select(
+    spark.read.parquet(f"{root}/retrieved").where("ticket_id < 4").select(
         "ticket_id",
         F.to_json(F.struct(
             F.lit("See https://x.com").alias("reply"), F.array(first).alias("cited_ticket_ids"),
@@ -78,7 +78,7 @@ def test_stages_in_order(spark, tmp_path, monkeypatch):
     ).write.parquet(f"{root}/drafts")
     options = dict(
         tickets_path="asked", retrieved="retrieved", drafts_path="drafts", models="models", ledger="ledger",
-        responses="responses", triaged="triaged", audit="audit", refused="refused",
+        responses="responses", triaged="triaged", audit="audit", refused="refused", rejects="rejects",
     )
     ledger = spark.read.parquet(f"{root}/ledger").collect()
     if any(r.outcome == "rejected" for r in ledger):
@@ -90,8 +90,10 @@ def test_stages_in_order(spark, tmp_path, monkeypatch):
         ).write.mode("append").parquet(f"{root}/ledger")
     run("triage", root, **options)
     rows = {r.ticket_id: r for r in spark.read.parquet(f"{root}/triaged").collect()}
-    assert set(rows) == {1, 2} and rows[1].draft_reply == "See [link removed]" and rows[2].ticket_severity_signaled
+    assert set(rows) == {1, 2, 4} and rows[4].needs_human_escalation and rows[4].draft_reply is None
+    assert rows[1].draft_reply == "See [link removed]" and rows[2].ticket_severity_signaled
     assert spark.read.parquet(f"{root}/refused").count() == 1
+    assert [tuple(r) for r in spark.read.parquet(f"{root}/rejects").collect()] == [(4, "no draft")]
     assert "ticket_text" not in spark.read.parquet(f"{root}/audit").columns
-    run("evaluate", root, responses="responses", encoder="encoder", scores="scores", report="r12")
+    run("evaluate", root, responses="responses", encoder="encoder", scores="scores", report="r12", per_query="per_query")
     assert report(root, "r12")["num_queries"] == 2 and report(root, "r12")["link_redaction_rate"] == 1.0

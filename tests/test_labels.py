@@ -6,30 +6,29 @@ from threadloom.functions import rules
 from threadloom.operators import label
 
 CATEGORIES = {
-    "I can't log in and my password reset never came": "Account Access",
-    "My package was never delivered, where is my order": "Order / Delivery / Refund",
-    "I was charged twice on my billing statement this month": "Billing & Payments",
-    "The app keeps crashing and won't load after the update": "Technical Support",
-    "the app froze up on me again during checkout": "Technical Support",
-    "keeps freezing whenever i open the settings page": "Technical Support",
-    "this thing just won't boot up anymore": "Technical Support",
-    "The item arrived damaged and is clearly defective": "Product Complaint",
-    "Your customer service was rude and unhelpful": "Customer Service Complaint",
-    "What are your store hours on weekends?": "General Inquiry",
-    "I have a sleep disorder and need advice": "General Inquiry",
-    "still won’t load, this app is broken": "Technical Support",
-    "the app keeps crashing every time I try to log in": "Account Access",  # a tie
-    "une bugé": "General Inquiry",  # an accented letter is part of the word
+    "Locked out since Monday, the login page refuses my pin": "Account Access",
+    "The courier lost my parcel and the tracking shows nothing": "Order / Delivery / Refund",
+    "You double charged me, look at the invoice": "Billing & Payments",
+    "Screen is frozen and lagging since the patch": "Technical Support",
+    "There is a glitch in the map view": "Technical Support",
+    "This page won’t load on my laptop": "Technical Support",
+    "My tablet wont boot today": "Technical Support",
+    "the menu went down again with an error": "Technical Support",
+    "Poor quality fabric and the wrong size too": "Product Complaint",
+    "Been on hold for an hour, terrible service": "Customer Service Complaint",
+    "Do you sell gift cards in the shop?": "General Inquiry",
+    "Crossing the border with my new phone": "General Inquiry",
+    "Trying to sign in ends with an error": "Account Access",  # a tie
+    "un bugé étrange": "General Inquiry",  # an accented letter is part of the word
     "": "General Inquiry",
 }
 PRIORITIES = {
-    "Can you tell me your return policy?": "Low",
-    "This is urgent, please help.": "Medium",
-    "This is UNACCEPTABLE!!! I am FURIOUS and want this fixed immediately!": "High",
-    "My card was charged twice this month": "Medium",
-    "double charged": "Medium",
-    "HELP me NOW!": "Medium",
-    "!!!": "High",
+    "Which colours does the jacket come in?": "Low",
+    "Please answer asap.": "Medium",
+    "NEVER AGAIN!!! This is a SCAM": "High",
+    "You double charged me, look at the invoice": "Medium",
+    "ANSWER me, it is STILL dark": "Medium",
+    "no! no! no!": "High",
 }
 
 
@@ -47,7 +46,7 @@ def test_priorities(spark):
 
 
 def test_scores_count_hits_in_list_order(spark):
-    df = spark.createDataFrame([("double charged, then reset my password order",)], "text string")
+    df = spark.createDataFrame([("double charged, and now reset my password for the parcel",)], "text string")
     scores = label.with_scores(df).first().scores
     assert scores["Billing & Payments"] == 1  # "charged" is not counted again
     assert scores["Account Access"] == 1
@@ -72,7 +71,7 @@ def test_reports(spark):
 
 def test_label_changes(spark):
     df = spark.createDataFrame(
-        [(1, "card was charged twice"), (2, "urgent"), (3, "hello")], "ticket_id bigint, text string"
+        [(1, "an unauthorized charge"), (2, "asap"), (3, "fine")], "ticket_id bigint, text string"
     )
     earlier = [w for w in URGENCY_KEYWORDS if w not in FINANCIAL_HARM_KEYWORDS]
     moved = label.label_changes(label.with_priority(df, earlier), label.with_priority(df), "priority")
@@ -81,7 +80,7 @@ def test_label_changes(spark):
 
 def test_miss_rate(spark):
     battery = spark.createDataFrame(
-        [("my password", "Account Access"), ("it is torn", "Product Complaint")], "text string, expected string"
+        [("which login", "Account Access"), ("it came torn", "Product Complaint")], "text string, expected string"
     )
     assert label.miss_rate(battery).first().asDict() == {"cases": 2, "misses": 1, "miss_rate": 0.5}
 

@@ -12,8 +12,8 @@ def apply(spark, column, value):
     return spark.createDataFrame([(value,)], "v string").select(column(F.col("v"))).first()[0]
 
 
-def example(ticket="123", resolution="Sorry about that, refund issued."):
-    return (ticket, "Billing & Payments", "Medium", "I was charged twice this month.", resolution, 0.3)
+def example(ticket="71", resolution="That came out wrong, we will look."):
+    return (ticket, "Product Complaint", "Low", "The kettle leaks at the lid.", resolution, 0.2)
 
 
 def rows(spark, query="q", retrieved=(), reply="fine", cited=(), flag=False, ticket=1):
@@ -22,12 +22,12 @@ def rows(spark, query="q", retrieved=(), reply="fine", cited=(), flag=False, tic
 
 
 def test_prompt(spark):
-    examples = [example("1"), example("2"), example("999", "Reset done.")]
-    prompt = drafts.with_prompt(rows(spark, "My package never arrived.", examples)).first().prompt
-    assert "New ticket:\nMy package never arrived.\n\nRespond with a JSON object" in prompt
+    examples = [example("4"), example("5"), example("88", "A new lid is on its way.")]
+    prompt = drafts.with_prompt(rows(spark, "The mug has a crack.", examples)).first().prompt
+    assert "New ticket:\nThe mug has a crack.\n\nRespond with a JSON object" in prompt
     assert (
-        "Example 3 (ticket 999, category: Billing & Payments):\n"
-        "Customer: I was charged twice this month.\nSupport reply: Reset done.\n\nNew ticket:" in prompt
+        "Example 3 (ticket 88, category: Product Complaint):\n"
+        "Customer: The kettle leaks at the lid.\nSupport reply: A new lid is on its way.\n\nNew ticket:" in prompt
     )
     for part in ("do not invent", "do not copy", "already been completed", "cited_ticket_ids", "Example 1", "Example 2"):
         assert part in prompt
@@ -46,10 +46,10 @@ def test_citations(spark, cited, verified, made_up):
 @pytest.mark.parametrize(
     "reply, expected",
     [
-        ("DM us at https://t.co/abc123 for help", "DM us at [link removed] for help"),
-        ("See https://example.com/a and http://example.com/b", "See [link removed] and [link removed]"),
-        ("Sorry to hear that", "Sorry to hear that"),
-        ("@700420 hello\n\n@777348 more", "[handle removed] hello\n\n[handle removed] more"),
+        ("Read http://help.example.net/faq first", "Read [link removed] first"),
+        ("https://one.example or http://two.example/x", "[link removed] or [link removed]"),
+        ("Thanks for the photo", "Thanks for the photo"),
+        ("@shopfan77 yes\n\n@other_1 no", "[handle removed] yes\n\n[handle removed] no"),
         ("go to https://x.com/@me now", "go to [link removed] now"),
         ("mail bob@example.com", "mail bob[handle removed].com"),
     ],
@@ -64,11 +64,11 @@ def test_redaction(spark, reply, expected):
 @pytest.mark.parametrize(
     "reply, claims",
     [
-        ("We've responded to you via DM. Kindly check.", True),
-        ("Your refund has been issued, please allow 3-5 days.", True),
+        ("We have already refunded the fee, please look.", True),
+        ("The refund has been processed since Friday.", True),
         ("WE HAVE ALREADY FIXED it", True),
         ("We’ve responded", False),  # a curly apostrophe is missed
-        ("Can you please DM us so we can look into this?", False),
+        ("Could you send us a photo of the lid?", False),
     ],
 )
 def test_claims(spark, reply, claims):
@@ -78,11 +78,11 @@ def test_claims(spark, reply, claims):
 @pytest.mark.parametrize(
     "text, severe",
     [
-        ("This is urgent, I will sue you, I am furious.", True),
-        ("Your product injured me, this is a safety issue.", True),
+        ("My lawyer will hear of this emergency", True),
+        ("The charger is unsafe, it sparks", True),
         ("SCAM", True),
         ("an issue I pursue", False),
-        ("What are your business hours?", False),
+        ("Which colours does the jacket come in?", False),
     ],
 )
 def test_severity(spark, text, severe):
@@ -209,5 +209,8 @@ def test_triage_input_and_audit(spark):
     )
     triaged = triage.triage(predicted, drafts.checked_reply(rows(spark, ticket=4)))
     assert len(triaged.columns) == 11
+    # Without a response the ticket stays and goes to a person.
+    alone = triage.triage(predicted, drafts.checked_reply(rows(spark, ticket=5))).first()
+    assert alone.draft_reply is None and alone.needs_human_escalation and alone.cited_ticket_ids == []
     audit = triage.audit(triaged).first().asDict()
     assert audit["text_length"] == 2 and "hi" not in audit.values()

@@ -116,14 +116,14 @@ def decide(spark, test, baseline, production):
 
 def test_promotion_rule(spark):
     assert decide(spark, 0.30, 0.28, None) == (
-        "rejected", "macro F1 lift over baseline (0.0200) is below the required minimum (0.05)",
+        "rejected", "gains 0.0200 over the majority class, 0.05 is asked for",
     )
     assert decide(spark, 0.90, 0.10, None)[0] == "promoted-to-production"
     assert decide(spark, 0.95, 0.10, 0.90) == (
-        "promoted-to-production", "matched or beat incumbent production macro F1 (0.9000)",
+        "promoted-to-production", "at least as good as production, which has 0.9000",
     )
     assert decide(spark, 0.85, 0.10, 0.90) == (
-        "staged-only", "below incumbent production macro F1 (0.9000); held for review",
+        "staged-only", "worse than production, which has 0.9000; waits in staging",
     )
     assert decide(spark, 0.90, 0.10, 0.90)[0] == "promoted-to-production"
     assert decide(spark, 0.351, 0.30, None)[0] == "promoted-to-production"

@@ -59,13 +59,13 @@ def test_roots_of_random_replies(spark, seed):
 def test_resolved_ticket(spark):
     df = tweets(
         spark,
-        {"tweet_id": 1, "text_clean": "help me 𝒳"},
+        {"tweet_id": 1, "text_clean": "two wo𝒳ds"},
         {"tweet_id": 2, "author_id": "late", "inbound": False, "created_at": at(1), "in_response_to_tweet_id": 1},
         {"tweet_id": 3, "author_id": "brandco", "inbound": False, "created_at": at(0, 5), "in_response_to_tweet_id": 2},
         {"tweet_id": 4, "author_id": "other", "inbound": False, "created_at": at(0, 5), "in_response_to_tweet_id": 1},
     )
     row = tickets.build_ticket_features(df).first()
-    assert (row.ticket_id, row.customer_id, row.brand_id) == (1, "customer1", "brandco")
+    assert (row.ticket_id, row.customer_id, row.brand_id) == (1, "ana", "brandco")
     assert (row.num_messages, row.num_customer_messages, row.num_brand_messages) == (4, 1, 3)
     assert row.first_response_seconds == 300.0 and row.resolved
     assert (row.text_length, row.word_count) == (9, 3)

@@ -1,6 +1,10 @@
+import unicodedata
+
 import pytest
+from pyspark.sql import functions as F
 from rows import at, landing
 
+from threadloom.functions.text import nfkc
 from threadloom.operators import clean, validate
 
 
@@ -94,7 +98,7 @@ def test_schema_problems(spark):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("hello   there\n\tfriend", "hello there friend"),
+        ("many   blanks\n\tat once", "many blanks at once"),
         ("café", "café"),
         ("  hi   there  ", "hi there"),
         ("a  b\x1cc　d", "a b c d"),
@@ -116,3 +120,10 @@ def test_cleaning_report(spark):
         "unexpected_nulls_in_required_columns": 1,
     }
     assert clean.null_cells(df).first()[0] == 1
+
+
+def test_nfkc_equals_the_standard(spark):
+    texts = ["plain", "", None, "e\u0301t\u00e9", "\ufb01rst \u2116 \uff15", "\u1e9b\u0323", "\uac00\u1100\u1161", "a\u0315\u0300", "\u00bd\u2460"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: r.n for r in df.select("i", nfkc(F.col("t")).alias("n")).collect()}
+    assert found == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
