@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadloom.constants import SEED, TFIDF_MIN_DF, TFIDF_TERMS
+from threadloom.constants import EXPLORE_CLUSTERS, SEED, TFIDF_MIN_DF, TFIDF_TERMS
 from threadloom.operators import classify, explore, metrics, registry, split, terms
 from threadloom.plans import derive, oracle
 from threadloom.plans.flow import Flow
@@ -262,11 +262,25 @@ def predict_labels(flow: Flow):
     return classify.predict(model, parts.select("ticket_id", "text"), "predicted_category")
 
 
+@query(
+    oracle.flow_sql(
+        "tickets",
+        f"""SELECT CAST(count(*) AS BIGINT) AS sample_size, CAST({EXPLORE_CLUSTERS} AS BIGINT) AS clusters,
+          CAST(count(*) AS BIGINT) AS clustered FROM tickets""",
+    )
+)
+def cluster_totals(flow: Flow):
+    """Every ticket is in one cluster."""
+    return explore_clusters(flow).agg(
+        F.first("sample_size").alias("sample_size"), F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("clustered")
+    )
+
+
 @query()
 def explore_clusters(flow: Flow):
     """Clusters of the ticket texts with their commonest terms."""
     tickets = materialize(flow.tickets.select("ticket_id", "text", "brand_id"), "tickets")
-    report = explore.explore(tickets)
+    report = explore.explore(tickets, min_df=2)
     return report.select(
         "sample_size", "n_clusters", F.round("explained_variance_ratio", 4).alias("explained_variance_ratio"),
         F.explode("clusters").alias("c"),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from threadloom.constants import PROMPT_INSTRUCTIONS, PROMPT_REQUEST, SEED
+from threadloom.constants import EVALUATION_QUERIES, PROMPT_INSTRUCTIONS, PROMPT_REQUEST, SEED
 from threadloom.functions import safety
 from threadloom.functions.vectors import cosine
 from threadloom.operators import drafts, embed, evaluate, label, nearest, triage
@@ -328,6 +328,28 @@ def score_response(flow: Flow):
     )
 
 
+_FIXED_QUERY_SQL = (
+    "CASE CAST(doc_id % 12 AS INTEGER) "
+    + " ".join(f"WHEN {i} THEN {text(fixed)}" for i, fixed in enumerate(EVALUATION_QUERIES))
+    + " END"
+)
+
+
+@query(
+    f"""{_SCORED_SQL} SELECT doc_id, {_FIXED_QUERY_SQL} AS query, reply_length, num_hallucinated_citations,
+      round(mean_s, 6) AS mean_groundedness_similarity FROM scored WHERE doc_id % 12 < {len(EVALUATION_QUERIES)}"""
+)
+def evaluation_rows(flow: Flow):
+    """Scores of the replies to the fixed test queries; half of the replies answer one."""
+    fixed = F.get(F.array(*map(F.lit, EVALUATION_QUERIES)), (F.col("doc_id") % 12).cast("int"))
+    scores = _scored(flow).withColumn("query", F.coalesce(fixed, F.col("query")))
+    queries = flow.spark.createDataFrame([(fixed,) for fixed in EVALUATION_QUERIES], "query string")
+    return evaluate.per_query(scores, queries).select(
+        "doc_id", "query", "reply_length", "num_hallucinated_citations",
+        F.round("mean_groundedness_similarity", 6).alias("mean_groundedness_similarity"),
+    )
+
+
 def _rate_sql(test: str, name: str) -> str:
     return f"round(avg(CASE WHEN {test} THEN 1.0 ELSE 0.0 END), 6) AS {name}"
 
