@@ -597,7 +597,7 @@ def test_stream_keeps_a_bounded_window(odd_texts):
     search, ids, widest = sentencepiece_ids._Search(model), [], 0
     text = "▁" + "▁".join(["internationalization", "abc日本", "zzzz"] * 300)
     for char in text:
-        ids += search.step(char)
+        ids += search.read(char)
         widest = max(widest, len(search.text))
     assert ids + search.finish() == model.encode(text.replace("▁", " ")[1:]).tolist()
     assert widest <= 4 * model.longest

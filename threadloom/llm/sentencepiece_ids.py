@@ -91,16 +91,19 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best neighbours, the first of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
+        parts, get, none = list(text), self.scores.get, -np.inf
+        joined = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined:
+            best = max(joined)
+            if best == none:
                 break
+            at = joined.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(joined):
+                joined[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
     def apart(self, left: str, right: str) -> bool:
@@ -110,7 +113,7 @@ class PieceModel:
         if known is None:
             if len(self._apart) > 2 * REMEMBERED:
                 self._apart.clear()
-            known = self._apart[pair] = self.merged(left + right) == [left, right]
+            known = self._apart[pair] = left + right not in self.scores and self.merged(left + right) == [left, right]
         return known
 
     # -- search --
@@ -120,7 +123,7 @@ class PieceModel:
         search = _Search(self)
         for text in texts:
             for char in text:
-                yield from search.step(char)
+                yield from search.read(char)
         yield from search.finish()
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -145,10 +148,8 @@ class PieceModel:
         """Ids of a stretch: all paths meet at both of its ends, so they hold in every text."""
         found = self.memory.get(stretch) or self.earlier.get(stretch)
         if found is None:
-            search, ids = _Search(self), []
-            for char in stretch:
-                ids += search.step(char)
-            found = np.array(ids + search.finish(), np.int32).tobytes()
+            search = _Search(self)
+            found = np.array(search.read(stretch) + search.finish(), np.int32).tobytes()
         if len(stretch) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
                 self.earlier, self.memory = self.memory, {}
@@ -189,36 +190,44 @@ class _Search:
         self.last: str | None = None
         self.after_unknown = False
 
-    def step(self, char: str) -> list[int]:
-        model, places, best = self.model, self.best, None
-        beginnings, scores, merges = model.beginnings, model.scores, model.kind == MERGES
-        self.text += char
-        arcs = []
-        if places[-1] is not None:
-            self.arcs.append((len(places) - 1, ""))
-        for start, read in self.arcs:
-            read += char
-            if read not in beginnings:
-                continue
-            arcs.append((start, read))
-            score = scores.get(read)
-            if score is None or merges and (best is not None or read in model._hidden):
-                continue
-            before = places[start]
-            if merges:
-                left = before[2] if start else self.last
-                if left is None or model.apart(left, read):
-                    best = (0.0, start, read)
-            elif best is None or score + before[0] > best[0]:
-                best = (score + before[0], start, read)
-        self.arcs = arcs
-        if char not in scores and places[-1] is not None:
-            # No piece for the character itself: an unknown one may stand here.
-            score = places[-1][0] + model.lowest - UNKNOWN_PENALTY
-            if best is None or not merges and score > best[0]:
-                best = (score, len(places) - 1, None)
-        places.append(best)
-        return self._commit() if len(places) > model.longest else []
+    def read(self, part: str) -> list[int]:
+        """Go on by some characters; the ids that are certain then."""
+        model, ids = self.model, []
+        beginnings, scores, hidden, apart = model.beginnings, model.scores, model._hidden, model._apart
+        merges, longest = model.kind == MERGES, model.longest
+        for char in part:
+            places, best, arcs = self.best, None, []
+            self.text += char
+            if places[-1] is not None:
+                self.arcs.append((len(places) - 1, ""))
+            for start, read in self.arcs:
+                read += char
+                if read not in beginnings:
+                    continue
+                arcs.append((start, read))
+                if merges:
+                    if best is not None or read not in scores or read in hidden:
+                        continue
+                    left = places[start][2] if start else self.last
+                    fits = left is None or apart.get((left, read))
+                    if fits is None:
+                        fits = model.apart(left, read)
+                    if fits:
+                        best = (0.0, start, read)
+                elif read in scores:
+                    score = scores[read] + places[start][0]
+                    if best is None or score > best[0]:
+                        best = (score, start, read)
+            self.arcs = arcs
+            if char not in scores and places[-1] is not None:
+                # No piece for the character itself: an unknown one may stand here.
+                score = places[-1][0] + model.lowest - UNKNOWN_PENALTY
+                if best is None or not merges and score > best[0]:
+                    best = (score, len(places) - 1, None)
+            places.append(best)
+            if len(places) > longest:
+                ids += self._commit()
+        return ids
 
     def _commit(self) -> list[int]:
         """Ids up to the last boundary that the paths of all places that can go on share."""
