@@ -22,8 +22,8 @@ def brute_force(queries, index, k):
 
 @pytest.mark.parametrize("tile", [1000, 40])
 def test_nearest_equals_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(nearest, "TILE_ROWS", tile)
-    monkeypatch.setattr(nearest, "PART_ROWS", 30)
+    monkeypatch.setattr(nearest, "TILE_BYTES", tile * 8 * 8)
+    monkeypatch.setattr(nearest, "PART_BYTES", 30 * 8 * 8)
     draw = np.random.default_rng(3)
     index = draw.normal(size=(120, 8)).astype(np.float32)
     index[50:90] = index[50]  # a third are copies
@@ -32,6 +32,47 @@ def test_nearest_equals_brute_force(spark, monkeypatch, tile):
     assert {(r.query_id, r.place): r.id for r in hits} == brute_force(queries, index, 5)
 
 
+@pytest.mark.parametrize(("tile", "cells"), [(1000, None), (20, 5), (20, 1)])
+def test_all_cells_give_the_exact_rows(spark, monkeypatch, tile, cells):
+    monkeypatch.setattr(nearest, "TILE_BYTES", tile * 8 * 8)
+    monkeypatch.setattr(nearest, "PART_BYTES", 15 * 8 * 8)
+    draw = np.random.default_rng(4)
+    index = draw.normal(size=(120, 8)).astype(np.float32)
+    index[50:90] = index[50]
+    queries = np.concatenate([draw.normal(size=(40, 8)).astype(np.float32), index[48:52]])
+    hits = nearest.nearest_cells(vectors(spark, queries, "query_id"), vectors(spark, index), 5, cells).collect()
+    assert {(r.query_id, r.place): r.id for r in hits} == brute_force(queries, index, 5)
+
+
+def test_cells_recall_and_one_shuffle_of_the_index(spark):
+    draw = np.random.default_rng(5)
+    around = draw.normal(size=(12, 16))
+    index = (around[np.arange(600) % 12] + 0.2 * draw.normal(size=(600, 16))).astype(np.float32)
+    queries = (around[np.arange(60) % 12] + 0.2 * draw.normal(size=(60, 16))).astype(np.float32)
+    found = nearest.nearest_cells(vectors(spark, queries, "query_id"), vectors(spark, index), 5, cells=12, probes=3)
+    hits = {(r.query_id, r.id) for r in found.collect()}
+    wanted = {(q, i) for (q, _), i in brute_force(queries, index, 5).items()}
+    assert len(hits & wanted) >= 0.95 * len(wanted)
+    # Queries and index are dealt out once each; the third exchange has k rows per query and group.
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("AdaptiveSparkPlan") :].split("== Initial Plan ==")[-1]
+    assert initial.count("Exchange hashpartitioning") == 3 and initial.count("BroadcastHashJoin") == 2
+
+
+def test_cells_with_short_or_empty_sides(spark):
+    queries = vectors(spark, np.eye(3), "query_id")
+    nothing = vectors(spark, np.eye(3)).where("false")
+    one = vectors(spark, np.eye(3)[:1])
+    same = vectors(spark, np.ones((9, 3)))
+    unknown = spark.createDataFrame([(7, None)], "id bigint, vector array<float>")
+    assert nearest.nearest_cells(queries, nothing, 3).count() == 0
+    assert nearest.nearest_cells(queries.where("false"), same, 3).count() == 0
+    assert nearest.nearest_cells(queries, one.union(unknown), 3).count() == 3
+    # Equal vectors make fewer cells than were asked for; ties go to lower ids.
+    rows = nearest.nearest_cells(queries, same, 2, cells=4).collect()
+    assert {(r.place, r.id) for r in rows} == {(1, 0), (2, 1)} and len(rows) == 6
+
+
 def test_nearest_with_a_short_or_empty_index(spark):
     queries = vectors(spark, np.eye(3), "query_id")
     assert nearest.nearest(queries, vectors(spark, np.eye(3)[:2]), 3).count() == 6

@@ -157,25 +157,33 @@ def run_index(
     write_report(embed.index_report(table, sampled, "hashed-tfidf"), report)
 
 
-def _retrieved(spark: SparkSession, tickets_table: DataFrame, index: str, encoder: PipelineModel, k: int) -> DataFrame:
+def _retrieved(
+    spark: SparkSession, tickets_table: DataFrame, index: str, encoder: PipelineModel, k: int, probes: int | None
+) -> DataFrame:
     rows = read_table(spark, index)
-    # Written once: the search counts the vectors and reads them again.
-    queries = materialize(
-        embed.embed(tickets_table, "text", encoder, "vector").select(F.col("ticket_id").alias("query_id"), "vector"),
-        "query-vectors",
-    )
-    hits = materialize(nearest.nearest(queries, rows.select("id", F.col("embedding").alias("vector")), k), "hits")
+    queries = embed.embed(tickets_table, "text", encoder, "vector").select(F.col("ticket_id").alias("query_id"), "vector")
+    vectors = rows.select("id", F.col("embedding").alias("vector"))
+    if probes is None:
+        hits = nearest.nearest(queries, vectors, k)
+    else:
+        hits = nearest.nearest_cells(queries, vectors, k, probes=probes)
     texts = rows.select(
         "id", "metadata.category", "metadata.priority", F.col("document").alias("customer_message"),
         "metadata.resolution_text",
     )
-    return nearest.retrieve(hits, texts)
+    return nearest.retrieve(materialize(hits, "hits"), texts)
+
 
+def run_prompts(
+    spark: SparkSession, tickets_path: str, index: str, encoder: str, retrieved: str, prompts: str,
+    k: int = TOP_K, probes: int | None = None,
+) -> None:
+    """Nearest examples and prompt of every ticket (ticket_id, text).
 
-def run_prompts(spark: SparkSession, tickets_path: str, index: str, encoder: str, retrieved: str, prompts: str, k: int = TOP_K) -> None:
-    """Nearest examples and prompt of every ticket (ticket_id, text)."""
+    Examples are the exact nearest, or those in the ``probes`` nearest cells of the index if that is given.
+    """
     rows = triage.accepted_tickets(read_table(spark, tickets_path))
-    write_table(_retrieved(spark, rows, index, PipelineModel.load(encoder), k), retrieved)
+    write_table(_retrieved(spark, rows, index, PipelineModel.load(encoder), k, probes), retrieved)
     found = read_table(spark, retrieved)
     none = F.array().cast(found.schema["retrieved"].dataType)
     # A ticket with no hit gets a prompt without examples.

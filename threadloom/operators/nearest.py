@@ -1,27 +1,43 @@
-"""Exact nearest neighbours by squared distance, in tiles of bounded size.
+"""Nearest neighbours by squared distance, in tiles of bounded size.
 
 Queries are cut into parts and the index into tiles, evenly by a hash of the
-id, and every part meets every tile in one task. A task holds one part and one
-tile, multiplies them as matrices and keeps k rows per query, so neither side
-has to fit in a task or on the driver and no pair is written out.
+id, and a part meets a tile in one task. A task holds one part and one tile,
+multiplies them as matrices and keeps k rows per query, so neither side has to
+fit in a task or on the driver and no pair is written out.
+
+``nearest`` lets every part meet every tile, which suits small sides.
+``nearest_cells`` puts the index into cells around centres, and a query meets
+the tiles of its nearest cells alone.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.constants import TOP_K
+from threadloom.constants import SEED, TOP_K
 from threadloom.operators.joins import salted_join
+from threadloom.sources.tables import materialize, materialize_counted
 
-# Rows of each side in one task: 32k rows of 384 doubles are 100 MB.
-PART_ROWS = 32_768
-TILE_ROWS = 32_768
+# Bytes of the vectors, as doubles, of each side in one task, and of differences at a time.
+PART_BYTES = 64 << 20
+TILE_BYTES = 64 << 20
+_PAIR_BYTES = 32 << 20
 _BLOCK = 128
-_PAIRS = 65_536
+# About so many index vectors fit the centres, of which there are at most so many by default.
+SAMPLE_ROWS = 100_000
+MOST_CELLS = 4_096
+
+
+def _rows_in(room: int, length: int) -> int:
+    """Vectors of that length, as doubles, that ``room`` bytes hold."""
+    return max(1, room // (8 * max(1, length)))
 
 
 def closest(queries: np.ndarray, index: np.ndarray, ids: np.ndarray, k: int):
@@ -39,8 +55,9 @@ def closest(queries: np.ndarray, index: np.ndarray, ids: np.ndarray, k: int):
     slack = 1e-9 * (1.0 + lengths + norms.max())
     row, position = np.nonzero(rough <= (limit + slack)[:, None])
     distance = np.empty(len(row))
-    for start in range(0, len(row), _PAIRS):
-        span = slice(start, start + _PAIRS)
+    step = _rows_in(_PAIR_BYTES, index.shape[1])
+    for start in range(0, len(row), step):
+        span = slice(start, start + step)
         distance[span] = np.square(queries[row[span]] - index[position[span]]).sum(axis=1)
     order = np.lexsort((ids[position], distance, row))
     row, position, distance = row[order], position[order], distance[order]
@@ -72,38 +89,134 @@ def _cell_kernel(k: int):
     return kernel
 
 
+def _measured(queries: DataFrame, index: DataFrame) -> tuple[DataFrame, int, DataFrame, int, int]:
+    """Both sides without NULL vectors, their rows and the length of the vectors.
+
+    Queries are written and measured in one pass, so that an encoder before
+    them runs once; the index is a stored table already. The names are new,
+    since both sides may come from one table.
+    """
+    measures = {"rows": F.count(F.lit(1)), "length": F.max(F.size("vector"))}
+    known = F.col("vector").isNotNull()
+    queries, asked = materialize_counted(queries.select("query_id", "vector").where(known), "queries", **measures)
+    index = index.select("id", "vector").where(known)
+    held = index.agg(*(measure.alias(name) for name, measure in measures.items())).first()
+    queries, index = queries.withColumnRenamed("vector", "query_vector"), index.withColumnRenamed("vector", "index_vector")
+    return queries, asked["rows"], index, held["rows"], max(asked["length"], held["length"] or 0)
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
+
+
+def _best(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest of all groups that a query is in; k rows per query and group are compared."""
+    schema = T.StructType([left.schema["query_id"], right.schema["id"], T.StructField("distance", T.DoubleType())])
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_cell_kernel(k), schema)
+    by_distance = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= k)
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k nearest index rows of every query: query_id, id, distance, place.
 
     ``queries`` has query_id and vector, ``index`` has id and vector. Places
     count from 1 by distance, then id. Vectors that are NULL match nothing.
     """
-    # New names, since both sides may come from one table.
-    queries = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").alias("query_vector"))
-    index = index.where(F.col("vector").isNotNull()).select("id", F.col("vector").alias("index_vector"))
-    query_rows, index_rows = queries.count(), index.count()
+    queries, query_rows, index, index_rows, length = _measured(queries, index)
     slots = queries.sparkSession.sparkContext.defaultParallelism
-    tiles = max(1, math.ceil(index_rows / TILE_ROWS))
-    parts = max(1, math.ceil(query_rows / PART_ROWS), min(math.ceil(slots / tiles), query_rows // (4 * _BLOCK)))
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
+    tiles = max(1, math.ceil(index_rows / _rows_in(TILE_BYTES, length)))
+    spread = min(math.ceil(slots / tiles), query_rows // (4 * _BLOCK))
+    parts = max(1, math.ceil(query_rows / _rows_in(PART_BYTES, length)), spread)
     left = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn(
-        "_tile", every(tiles)
+        "_tile", _every(F.lit(tiles))
     )
     right = index.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn(
-        "_part", every(parts)
+        "_part", _every(F.lit(parts))
     )
-    schema = T.StructType(
-        [queries.schema["query_id"], index.schema["id"], T.StructField("distance", T.DoubleType())]
+    return _best(left, right, ["_part", "_tile"], k)
+
+
+def _centres(index: DataFrame, rows: int, length: int, cells: int, sample_rows: int, seed: int) -> np.ndarray:
+    """Centres of about ``sample_rows`` index vectors, chosen by a hash of the id."""
+    if min(cells, rows) < 2:
+        return np.zeros((1, length))
+    range_ = 1 << 40
+    chosen = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(range_)) < int(range_ * min(1.0, sample_rows / rows))
+    points = index.where(chosen).select(array_to_vector(F.col("index_vector").cast("array<double>")).alias("point"))
+    model = KMeans(featuresCol="point", k=cells, seed=seed, maxIter=10).fit(points)
+    return np.array(model.clusterCenters())
+
+
+def _cells_of(spark: SparkSession, centres: np.ndarray, count: int):
+    """The ``count`` cells nearest to a vector, nearest first."""
+    # Bounded by the number of cells.
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.arrow_udf("array<int>")
+    def cells(vectors: pa.Array) -> pa.Array:
+        centres = shared.value
+        norms = (centres * centres).sum(axis=1)
+        points = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        order = [
+            np.argsort(norms - 2.0 * (points[start : start + _BLOCK] @ centres.T), axis=1, kind="stable")[:, :count]
+            for start in range(0, len(points), _BLOCK)
+        ]
+        flat = np.concatenate(order).ravel() if order else np.empty(0)
+        offsets = np.arange(len(points) + 1, dtype=np.int32) * count
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+
+    return cells
+
+
+def nearest_cells(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = TOP_K,
+    cells: int | None = None,
+    probes: int | None = None,
+    sample_rows: int = SAMPLE_ROWS,
+    seed: int = SEED,
+) -> DataFrame:
+    """As ``nearest``, but a query meets the rows of its ``probes`` nearest cells only.
+
+    ``cells`` centres (by default the square root of the index rows, at most
+    ``MOST_CELLS``) are fitted on about ``sample_rows`` index vectors; every
+    index row is in the cell of its nearest centre. All rows of a probed cell
+    are compared, however many. With ``probes`` None all cells are, and the
+    rows are those of ``nearest``. A query whose cells hold fewer than k rows
+    gets as many as they hold.
+
+    A large cell is cut into tiles and the queries in it into parts. Index rows
+    are shuffled once; only a cell whose queries fill several parts sends each
+    of them a copy.
+    """
+    spark = queries.sparkSession
+    queries, _, index, index_rows, length = _measured(queries, index)
+    centres = _centres(index, index_rows, length, cells or min(MOST_CELLS, math.isqrt(index_rows)), sample_rows, seed)
+    count = min(probes or len(centres), len(centres))
+    index = materialize(index.withColumn("_cell", _cells_of(spark, centres, 1)("index_vector")[0]), "index-cells")
+    queries = materialize(
+        queries.withColumn("_cells", _cells_of(spark, centres, count)("query_vector")), "query-cells"
     )
-    found = (
-        left.groupBy("_part", "_tile").cogroup(right.groupBy("_part", "_tile")).applyInPandas(_cell_kernel(k), schema)
+    asked = queries.withColumn("_cell", F.explode("_cells")).drop("_cells")
+    held = index.groupBy("_cell").agg(F.ceil(F.count("id") / _rows_in(TILE_BYTES, length)).alias("_tiles"))
+    wanted = asked.groupBy("_cell").agg(F.ceil(F.count("query_id") / _rows_in(PART_BYTES, length)).alias("_parts"))
+    # One row per cell, so it may be broadcast.
+    layout = F.broadcast(materialize(held.join(wanted, "_cell"), "layout"))
+    left = (
+        asked.join(layout, "_cell")
+        .withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
+        .withColumn("_tile", _every(F.col("_tiles")))
+        .drop("_tiles", "_parts")
     )
-    # k rows per query and tile are left.
-    by_distance = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= k)
+    right = (
+        index.join(layout, "_cell")
+        .withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+        .withColumn("_part", _every(F.col("_parts")))
+        .drop("_tiles", "_parts")
+    )
+    return _best(left, right, ["_cell", "_tile", "_part"], k)
 
 
 def retrieve(hits: DataFrame, index: DataFrame, key: str = "ticket_id") -> DataFrame:

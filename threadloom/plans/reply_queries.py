@@ -387,14 +387,15 @@ def flag_rate(flow: Flow):
     )
 
 
-@query(
-    """WITH ranked AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
-      list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p:
-        (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d
-      FROM embeddings a CROSS JOIN embeddings b),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM ranked)
-    SELECT query_id, id, round(d, 6) AS distance, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 3"""
-)
+KNN_SQL = """WITH ranked AS (SELECT a.vec_id AS query_id, b.vec_id AS id,
+  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p:
+    (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d
+  FROM embeddings a CROSS JOIN embeddings b),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS place FROM ranked)
+SELECT query_id, id, round(d, 6) AS distance, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 3"""
+
+
+@query(KNN_SQL)
 def knn_exact(flow: Flow):
     """The three nearest vectors of every vector, itself included."""
     vectors = _embeddings(flow)
@@ -405,6 +406,17 @@ def knn_exact(flow: Flow):
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
 
 
+@query(KNN_SQL)
+def knn_cells(flow: Flow):
+    """The same through cells around centres, all of them probed."""
+    vectors = _embeddings(flow)
+    hits = nearest.nearest_cells(
+        vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+        vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")),
+    )
+    return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
+
+
 @query(
     """WITH ranked AS (SELECT a.vec_id AS ticket_id, b.vec_id AS id,
       list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p:
