@@ -636,5 +636,5 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert set(QUERIES) <= names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert json.dumps(sorted(QUERIES))

@@ -79,3 +79,57 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
+
+# crc32 by its definition, bit by bit; digests of a level by one grouping, level by level.
+_FRAMED = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_HEAD = " || ".join(_FRAMED.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13_SQL = f"""
+WITH RECURSIVE base AS (
+  SELECT *, row_number() OVER () AS rid, xor(CAST(list_reduce(
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+      lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)),
+      CAST(4294967295 AS BIGINT)) AS BIGINT), 4294967295) % 5 = 0 AS tampered FROM documents),
+leaves AS (
+  SELECT rid, doc_id, source, sha256({_HEAD} || {_FRAMED.format('text')}) AS leaf,
+    CASE WHEN tampered THEN sha256({_HEAD} || {_FRAMED.format(_LOWERED)}) END AS changed FROM base),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY source, level, pos // 16, n),
+subs AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tops WHERE n > 1 GROUP BY level, pos // 16, n),
+low_steps AS (
+  SELECT source, level, pos,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY source, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes WHERE n > 1),
+high_steps AS (
+  SELECT level, pos,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM tops WHERE n > 1),
+climb AS (
+  SELECT rid, source, 0 AS level, pos, n, coalesce(changed, leaf) AS digest, '' AS trail FROM placed
+  UNION ALL
+  SELECT rid, c.source, c.level + 1, c.pos // 16, (n + 15) // 16, sha256(before || digest || after), trail || before || after
+  FROM climb c JOIN low_steps s ON c.source IS NOT DISTINCT FROM s.source AND c.level = s.level AND c.pos = s.pos WHERE n > 1),
+climb_on AS (
+  SELECT rid, subroot, 0 AS level, s.pos, s.n, digest, trail
+  FROM climb c JOIN subs s ON c.source IS NOT DISTINCT FROM s.source WHERE c.n = 1
+  UNION ALL
+  SELECT rid, subroot, c.level + 1, c.pos // 16, (n + 15) // 16, sha256(before || digest || after), trail || before || after
+  FROM climb_on c JOIN high_steps s ON c.level = s.level AND c.pos = s.pos WHERE n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(trail) AS proof_sha256, c.digest AS folded_root, c.digest = root AS verified
+FROM placed JOIN climb_on c USING (rid) CROSS JOIN (SELECT digest AS root FROM tops WHERE n = 1) WHERE c.n = 1
+"""

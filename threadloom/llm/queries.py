@@ -6,10 +6,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import html_text, language_id, language_model, mtree, packing, quality, rules, sentencepiece_ids, simhash, warc
+from threadloom.llm import (
+    html_text, language_id, language_model, merkle, mtree, packing, quality, rules, sentencepiece_ids, simhash, warc,
+)
 from threadloom.llm.catalog import ORACLES, QUERIES, query
 from threadloom.llm.common import read
-from threadloom.llm.oracle import OP2_SQL, OP3_SQL, OP6_SQL
+from threadloom.llm.oracle import OP2_SQL, OP3_SQL, OP6_SQL, OP13_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -89,6 +91,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_ids.round_trip(read(spark, sf_dir, "documents"), piece_model())
 
 
+@query(OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by source, and the check of each against its root."""
+    return merkle.checked_documents(read(spark, sf_dir, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
