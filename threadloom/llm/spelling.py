@@ -16,6 +16,9 @@ those equal so far, and those with one error so far, the latter once for each
 shift of position that the error leaves behind. Many words are read together.
 """
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import NUMBER_BATCH, batches
 from threadloom.operators.joins import salted_join, sized_join
 from threadloom.sources.tables import materialize, materialize_counted
 
-LETTERS = r"A-Za-zÀ-ÿ"
 LEAST_LENGTH = 7
 LEAST_COUNT = 2
 # A form has so many times the occurrences of its variant.
@@ -39,40 +42,62 @@ GROUP_LETTERS = 4_000_000
 # Words that a task looks through together, and words read at a time.
 _BLOCK = 4_096
 _READ = 256
+_PAIRS = 50_000
 # Keyed words of a task.
 TASK_WORDS = 500_000
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Words that a task counts before it hands counts on.
+TABLE_WORDS = 200_000
+_RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST_LENGTH},}}")
+_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 
 
 # --- words --------------------------------------------------------------------
 
 
-def _slipped(run: Column, key: Column) -> Column:
-    """The run without one letter where crc32 of ``<key>:<run>`` says so."""
-    mark = F.crc32(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
-    at = F.pmod(mark, F.length(run)).cast("int")
-    return F.when(mark % SLIP == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+def words_in(text: str, key: str) -> list[str]:
+    """The words of one text. Shorter runs cannot become words and are passed over.
+
+    A run loses one letter where crc32 of ``<key>:<run>`` says so.
+    """
+    start, words = zlib.crc32(key.encode() + b":"), []
+    for run in _RUN.findall(text):
+        run = run.lower() if run.isascii() else run.translate(_LOWER)
+        mark = zlib.crc32(run.encode(), start)
+        if mark % SLIP == 0:
+            at = mark % len(run)
+            run = run[:at] + run[at + 1 :]
+            if len(run) < LEAST_LENGTH:
+                continue
+        words.append(run)
+    return words
+
+
+def _counted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, put together in a table of bounded size."""
+    counts: Counter[str] = Counter()
+    for frame in frames:
+        for key, text in zip(frame["key"], frame["text"], strict=True):
+            counts.update(words_in(text.as_py(), key.as_py()))
+            if len(counts) >= TABLE_WORDS:
+                yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                counts.clear()
+    if counts:
+        yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``word`` and ``n`` of all words of at least ``LEAST_LENGTH`` letters and ``LEAST_COUNT`` occurrences.
 
-    Shorter runs cannot become such words and are passed over. Counts combine
-    before the shuffle, so a very frequent word costs one row a task.
+    Counts combine in the tasks, so a very frequent word costs a row or a few of each.
     """
-    pattern = f"[{LETTERS}]{{{LEAST_LENGTH},}}"
-    runs = docs.select(
-        F.col(f"`{key}`").alias("id"),
-        F.explode(F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(pattern), F.lit(0))).alias("run"),
-    )
-    words = runs.select(F.col("id"), F.translate("run", _UPPER, _UPPER.lower()).alias("run")).select(
-        _slipped(F.col("run"), F.col("id")).alias("word")
-    )
+    texts = docs.select(
+        F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("key"), F.col(f"`{text}`").alias("text")
+    ).where(F.col("text").isNotNull())
     return (
-        words.where(F.length("word") >= LEAST_LENGTH)
+        texts.mapInArrow(_counted, "word string, n long")
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= LEAST_COUNT)
     )
 
@@ -85,18 +110,15 @@ class PositionIndex:
 
     def __init__(self, words: list[str]):
         self.lengths = np.array([len(w) for w in words])
-        starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        self.starts, self.words = starts[:-1], -(-len(words) // 64)
-        self.letters: list[np.ndarray] = []
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        alphabet, self.codes = np.unique(letters, return_inverse=True)
+        self.words = -(-len(words) // 64)
         self.bits: list[np.ndarray] = []
         for at in range(int(self.lengths.max(initial=0))):
-            long_enough = np.flatnonzero(self.lengths > at)
-            codes = self.codes[self.starts[long_enough] + at]
-            letters, which = np.unique(codes, return_inverse=True)
-            mask = np.zeros((len(letters) + 1, 64 * self.words), bool)  # the last row: no word has it
-            mask[which, long_enough] = True
-            self.letters.append(letters)
+            holders = np.flatnonzero(self.lengths > at)
+            mask = np.zeros((len(alphabet), 64 * self.words), bool)
+            mask[self.codes[self.starts[holders] + at], holders] = True
             self.bits.append(np.packbits(mask, axis=1, bitorder="little").view(np.uint64))
 
     def of_length(self, length: int) -> np.ndarray:
@@ -106,12 +128,7 @@ class PositionIndex:
 
     def _having(self, at: int, letters: np.ndarray, span: slice) -> np.ndarray | int:
         """For each letter, the words that have it at that position."""
-        if not 0 <= at < len(self.bits):
-            return np.uint64(0)
-        known = self.letters[at]
-        place = np.searchsorted(known, letters)
-        place[known[np.minimum(place, len(known) - 1)] != letters] = len(known)
-        return self.bits[at][place, span]
+        return self.bits[at][letters, span] if 0 <= at < len(self.bits) else np.uint64(0)
 
     def near(self, rows: np.ndarray, low: int, high: int, deleted: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, word) one error apart; ``rows`` are places of words of one
@@ -136,7 +153,8 @@ class PositionIndex:
             replaced &= here
             replaced |= equal & ~here
             equal &= here
-            if not (equal.any() or replaced.any() or inserted.any() or (deleted and missing.any())):
+            # Given up once no word is left in any of the sets.
+            if at % 4 == 3 and not any(s.any() for s in (equal, replaced, inserted, missing)):
                 break
         inserted |= equal
         found = (replaced & self.of_length(length)[span]) | (inserted & self.of_length(length + 1)[span])
@@ -228,7 +246,7 @@ def grouped(words: DataFrame, group_words: int = GROUP_WORDS, group_letters: int
     return tables, total
 
 
-def _pairs_of(words: list[str], counts: list[int], groups: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(words: list[str], groups: list[tuple]) -> Iterator[list[tuple[int, int]]]:
     """Places of near words in a block of whole groups; each pair once, in the group that owns it."""
     index = PositionIndex(words)
     edges = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]] + [len(groups)]
@@ -252,24 +270,29 @@ def _pairs_of(words: list[str], counts: list[int], groups: list[tuple]) -> Itera
                 a, b = words[i], words[j]
                 if a[:first] == b[:first] and a[len(a) - last :] == b[len(b) - last :] and all(a[x:y] != b[x:y] for x, y in apart):
                     kept.append((i, j))
-            if kept:
-                yield tuple(np.array(kept).T)
+            yield kept
         at = upto
 
 
 def _near_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (word, near, near_n), both ways but for words of one length, which find each other."""
 
+    def batch(pairs: list[tuple[int, int]], words: list[str], counts: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"word": [words[i] for i, _ in pairs], "near": [words[j] for _, j in pairs], "near_n": [counts[j] for _, j in pairs]}
+        )
+
     def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         words, counts, groups = [r[3] for r in rows], [r[4] for r in rows], [r[:3] for r in rows]
-        for left, right in _pairs_of(words, counts, groups):
-            left, right = left.tolist(), right.tolist()
-            back = [(j, i) for i, j in zip(left, right, strict=True) if len(words[i]) != len(words[j])]
-            left, right = left + [j for j, _ in back], right + [i for _, i in back]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words[i] for i in left]), pa.array([words[j] for j in right]), pa.array([counts[j] for j in right], pa.int64())],
-                ["word", "near", "near_n"],
-            )
+        pairs = []
+        for found_here in _pairs_of(words, groups):
+            pairs += found_here
+            pairs += [(j, i) for i, j in found_here if len(words[i]) != len(words[j])]
+            if len(pairs) >= _PAIRS:
+                yield batch(pairs, words, counts)
+                pairs = []
+        if pairs:
+            yield batch(pairs, words, counts)
 
     block: list[tuple] = []
     group: list[tuple] = []
@@ -290,12 +313,12 @@ def _near_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(block)
 
 
-def near_words(words: DataFrame, group_words: int = GROUP_WORDS, group_letters: int = GROUP_LETTERS) -> DataFrame:
+def near_words(words: DataFrame, group_words: int | None = None, group_letters: int | None = None) -> DataFrame:
     """All ordered pairs (word, near, near_n) of words that differ by one letter.
 
     ``words`` is a stored table with unique ``word`` and ``n``.
     """
-    tables, rows = grouped(words, group_words, group_letters)
+    tables, rows = grouped(words, group_words or GROUP_WORDS, group_letters or GROUP_LETTERS)
     if not tables:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
     slots = words.sparkSession.sparkContext.defaultParallelism
@@ -303,7 +326,7 @@ def near_words(words: DataFrame, group_words: int = GROUP_WORDS, group_letters:
     for table in tables[1:]:
         keyed = keyed.unionByName(table)
     parts = max(1, -(-rows // TASK_WORDS), min(2 * slots, rows // _BLOCK))
-    dealt = keyed.repartition(parts, "group").sortWithinPartitions("group", "path", "size", "word")
+    dealt = keyed.repartition(parts, "group").sortWithinPartitions("path", "size", "group", "word")
     return dealt.select("group", "path", "size", "word", "n").mapInArrow(_near_words, "word string, near string, near_n long")
 
 
@@ -350,15 +373,16 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", ratio: in
     )
     best_n = -F.col("best.less")
     has_form = best_n >= ratio * F.col("n")
-    found = materialize(
-        words.join(near, F.col("word") == F.col("of"), "left").select(
-            "word", "n",
-            F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-            F.when(has_form, F.col("best.near")).alias("form"),
-            F.when(has_form, best_n).alias("form_n"),
-        ),
-        "near-words",
-    )
+    with batches(docs.sparkSession, NUMBER_BATCH):
+        found = materialize(
+            words.join(near, F.col("word") == F.col("of"), "left").select(
+                "word", "n",
+                F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+                F.when(has_form, F.col("best.near")).alias("form"),
+                F.when(has_form, best_n).alias("form_n"),
+            ),
+            "near-words",
+        )
     roots = last_forms(found.where("form is not null")).withColumnRenamed("word", "of")
     return found.join(roots, F.col("word") == F.col("of"), "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
