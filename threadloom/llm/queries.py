@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import (
-    html_text, language_id, language_model, merkle, mtree, packing, quality, rules, sentencepiece_ids, simhash, spelling, warc,
+    html_text, language_id, language_model, merkle, mtree, packing, quality, rules, sentencepiece_ids, simhash, spelling, toxicity, warc,
 )
 from threadloom.llm.catalog import ORACLES, QUERIES, query
 from threadloom.llm.common import read
@@ -97,6 +97,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples."""
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query(OP13_SQL)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all documents by source, and the check of each against its root."""
