@@ -1,3 +1,6 @@
+import csv
+import gzip
+import random
 from datetime import datetime
 
 import pytest
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import parsing as P
 from threadloom.operators import ingest
+from threadloom.sources import csv as source
 from threadloom.sources.csv import read_raw_csv
 from threadloom.sources.tables import read_table, scratch_path
 from threadloom.streaming import arrivals
@@ -15,7 +19,7 @@ CSV = """tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_respons
 53,ana,True,last Tuesday,no date here,,51
 """
 HEADER = CSV.splitlines()[0]
-STAMP = "Tue Oct 31 22:10:47 +0000 2017"
+STAMP = "Thu May 04 19:42:11 +0000 2017"
 
 
 def one(spark, column, value):
@@ -39,18 +43,18 @@ def test_integers(spark, raw, lenient, strict):
 @pytest.mark.parametrize(
     "raw, seconds",
     [
-        (STAMP, 1509487847),
-        ("tue oct 3 2:1:7 +0530 2017", 1506976267),
-        ("Mon Oct 31 22:10:47 -0800 2017", 1509487847 + 8 * 3600),
-        ("Tue Oct 31 22:10:47 Z 2017", 1509487847),
-        ("Tue Oct 31 22:10:47 +00:00 2017", 1509487847),
-        ("Tue Oct 31 22:10:47 +053015 2017", 1509487847 - 19815),
-        ("Tue Oct 31 22:10:47 +2359 2017", 1509487847 - 86340),
-        ("Tue Feb 30 22:10:47 +0000 2017", None),
-        ("Tue Oct 31 24:10:47 +0000 2017", None),
-        ("Tue Oct 31 22:10:60 +0000 2017", None),
-        ("Tuesday Oct 31 22:10:47 +0000 2017", None),
-        ("Xyz Oct 31 22:10:47 +0000 2017", None),
+        (STAMP, 1493926931),
+        ("wed may 3 2:1:7 +0530 2017", 1493757067),
+        ("Mon May 04 19:42:11 -0800 2017", 1493926931 + 8 * 3600),
+        ("Tue May 04 19:42:11 Z 2017", 1493926931),
+        ("Tue May 04 19:42:11 +00:00 2017", 1493926931),
+        ("Tue May 04 19:42:11 +053015 2017", 1493926931 - 19815),
+        ("Tue May 04 19:42:11 +2359 2017", 1493926931 - 86340),
+        ("Tue Feb 30 19:42:11 +0000 2017", None),
+        ("Tue May 04 24:42:11 +0000 2017", None),
+        ("Tue May 04 19:42:60 +0000 2017", None),
+        ("Tuesday May 04 19:42:11 +0000 2017", None),
+        ("Xyz May 04 19:42:11 +0000 2017", None),
         (" " + STAMP, None), (STAMP + " ", None), ("not-a-real-date", None), ("", None),
     ],
 )
@@ -61,7 +65,7 @@ def test_dates(spark, raw, seconds):
 def test_dates_do_not_depend_on_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        assert one(spark, lambda c: F.unix_seconds(P.created_at(c)), STAMP) == 1509487847
+        assert one(spark, lambda c: F.unix_seconds(P.created_at(c)), STAMP) == 1493926931
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -158,3 +162,82 @@ def test_a_file_without_rows(spark, tmp_path):
     summary = ingest.ingest(spark, str(tmp_path / "raw.csv"), str(tmp_path / "landing"))
     assert tuple(summary.first()) == (0, 0, 0)
     assert read_table(spark, str(tmp_path / "landing")).count() == 0
+
+
+def records(path):
+    """Rows as a plain reader gives them."""
+    with open(path, newline="", encoding="utf-8-sig") as file:
+        rows = list(csv.reader(file))
+    return sorted(tuple((row + [""] * 7)[:7]) for row in rows[1:] if row)
+
+
+def read_back(spark, path, size=None):
+    return sorted(map(tuple, read_raw_csv(spark, str(path), size).collect()))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [40, 150, 997])
+def test_ranges_of_one_file(spark, tmp_path, size, end):
+    """Line ends, commas, doubled quotes and whole ranges inside quotes."""
+    pick = random.Random(size)
+    lines = [HEADER]
+    for i in range(40):
+        text = "".join(pick.choices(["word ", "\n", '""', ",", "é日🙂", end, '"",""', " "], k=pick.choice([0, 3, 9, 150])))
+        lines.append(f'{i},"a{i}",{"true" if i % 2 else ""},"{STAMP}","{text}",,' if i % 3 else f"{i},b,no,{STAMP},plain,,")
+        if i % 7 == 0:
+            lines.append("")
+    (tmp_path / "raw.csv").write_bytes((end.join(lines) + (end if size > 100 else "")).encode())
+    expected = records(tmp_path / "raw.csv")
+    assert len(expected) == 40
+    assert read_back(spark, tmp_path / "raw.csv", size) == expected
+    assert read_back(spark, tmp_path / "raw.csv") == expected
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_range_states_equal_a_walk_over_the_file(seed):
+    """Whether a line ends inside quotes, for stray quotes too, against a walk by character."""
+    pick = random.Random(seed)
+    for _ in range(2_000):
+        line = "".join(pick.choices('",a ', k=pick.randrange(0, 12)))
+        for inside in (False, True):
+            state = "quoted" if inside else "start"
+            for char in line:
+                if state == "quoted":
+                    state = "quote" if char == '"' else "quoted"
+                elif state == "quote" and char == '"':
+                    state = "quoted"
+                elif char == ",":
+                    state = "start"
+                else:
+                    state = "quoted" if state == "start" and char == '"' else "plain"
+            assert source.ends_inside(line, inside) == (state == "quoted")
+
+
+def test_each_range_is_a_task(spark, tmp_path):
+    (tmp_path / "raw.csv").write_text(HEADER + "\n" + "".join(f'{i},bob,True,{STAMP},"two\nlines",,\n' for i in range(100)))
+    size = (tmp_path / "raw.csv").stat().st_size
+    with source._held_ranges(spark, 300):
+        assert source._lines(spark, str(tmp_path / "raw.csv")).rdd.getNumPartitions() == -(-size // 300)
+    assert read_back(spark, tmp_path / "raw.csv", 300) == records(tmp_path / "raw.csv")
+
+
+def test_compressed_files(spark, tmp_path):
+    (tmp_path / "raw.csv.gz").write_bytes(gzip.compress(("﻿" + CSV).encode()))
+    (tmp_path / "more.csv").write_text(",".join(reversed(HEADER.split(","))) + ",extra\n" + f',,"hi\nthere",{STAMP},True,bob,9,x\n')
+    (tmp_path / "none.csv").write_text("")
+    rows = read_raw_csv(spark, str(tmp_path), 100).collect()
+    assert sorted((r.tweet_id, r.text) for r in rows) == [("51", "Parcels leave at noon"), ("52", "good to know"), ("53", "no date here"), ("9", "hi\nthere")]
+    with pytest.raises(ValueError, match="no header"):
+        read_raw_csv(spark, str(tmp_path / "none.csv"))
+
+
+def test_arriving_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.csv").write_text(CSV)
+    (tmp_path / "raw" / "b.csv.gz").write_bytes(gzip.compress((",".join(reversed(HEADER.split(","))) + ",extra\n" + f',,"hi\nthere",{STAMP},True,bob,9,x\n').encode()))
+    (tmp_path / "raw" / "c.csv").write_text(HEADER + "\n")
+    (tmp_path / "raw" / "d.csv").write_text("")
+    args = (str(tmp_path / "landing"), str(tmp_path / "counts"), str(tmp_path / "checkpoint"))
+    arrivals.ingest_stream(spark, str(tmp_path / "raw"), *args).awaitTermination()
+    assert tuple(arrivals.running_counts(spark, args[1]).first()) == (4, 3, 1)
+    assert {(r.tweet_id, r.text) for r in read_table(spark, args[0]).collect()} == {(51, "Parcels leave at noon"), (52, "good to know"), (9, "hi\nthere")}

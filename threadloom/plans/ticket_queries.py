@@ -13,6 +13,8 @@ from threadloom.sources.csv import read_raw_csv, write_csv, write_raw_csv
 from threadloom.sources.tables import materialize, scratch_path
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
+# Bytes of a range: a few rows.
+SHORT_RANGE = 16_384
 
 # What ingestion gives for the raw strings of ``derive.RAW_SQL``.
 _PARSED_SQL = r"""
@@ -61,6 +63,14 @@ def ingest_csv(flow: Flow):
     return _landing_view(ingest.accepted(ingest.parse_rows(read_raw_csv(flow.spark, path))))
 
 
+@query(flow_sql("raw", _LANDING_VIEW_SQL, parsed=_PARSED_SQL))
+def ingest_split_csv(flow: Flow):
+    """The same from one file that many tasks read in short ranges, most of which begin or end within a record."""
+    path = scratch_path(flow.spark, "raw-csv")
+    write_raw_csv(derive.raw(flow.spark, flow.sf_dir).coalesce(1), path)
+    return _landing_view(ingest.accepted(ingest.parse_rows(read_raw_csv(flow.spark, path, SHORT_RANGE))))
+
+
 @query(flow_sql("raw", _LANDING_VIEW_SQL, parsed=_PARSED_SQL))
 def ingest_mixed_headers(flow: Flow):
     """The same from files whose columns come in different orders, some with one more."""

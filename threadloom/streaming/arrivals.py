@@ -14,7 +14,7 @@ from threadloom.operators import drafts as D
 from threadloom.operators import triage as T
 from threadloom.operators.ingest import accepted, ingest_summary, parse_rows
 from threadloom.operators.label import label_tickets
-from threadloom.sources.csv import stream_raw_csv
+from threadloom.sources.csv import parsed_batch, stream_raw_csv
 
 
 def _batch_path(path: str, batch: int) -> str:
@@ -30,10 +30,12 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_rows(batch).persist()
+        records = batch.persist()
+        parsed = parse_rows(parsed_batch(records)).persist()
         accepted(parsed).write.mode("overwrite").parquet(_batch_path(landing_path, batch_id))
         ingest_summary(parsed).write.mode("overwrite").parquet(_batch_path(counts_path, batch_id))
         parsed.unpersist()
+        records.unpersist()
 
     return (
         stream_raw_csv(spark, raw_path, files_per_trigger)
