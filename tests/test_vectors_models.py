@@ -73,6 +73,57 @@ def test_cells_with_short_or_empty_sides(spark):
     assert {(r.place, r.id) for r in rows} == {(1, 0), (2, 1)} and len(rows) == 6
 
 
+def grouped(draw, rows, around):
+    return (around[np.arange(rows) % len(around)] + 0.2 * draw.normal(size=(rows, around.shape[1]))).astype(np.float32)
+
+
+@pytest.mark.parametrize(("tile", "cells", "rings"), [(1000, None, 4), (20, 12, 3), (20, 1, 1), (1000, 40, 2)])
+def test_pruned_cells_give_the_exact_rows(spark, monkeypatch, tile, cells, rings):
+    monkeypatch.setattr(nearest, "TILE_BYTES", tile * 8 * 8)
+    monkeypatch.setattr(nearest, "PART_BYTES", 15 * 8 * 8)
+    draw = np.random.default_rng(6)
+    around = draw.normal(size=(12, 8))
+    index = grouped(draw, 300, around)
+    index[50:90] = index[50]
+    queries = np.concatenate([grouped(draw, 40, around), index[48:52], 50 * draw.normal(size=(3, 8)).astype(np.float32)])
+    found = nearest.nearest_pruned(vectors(spark, queries, "query_id"), vectors(spark, index), 5, cells, rings)
+    rows = found.hits.collect()
+    assert {(r.query_id, r.place): r.id for r in rows} == brute_force(queries, index, 5)
+    assert len(rows) == 5 * len(queries)
+    if cells != 1:
+        assert found.visited < 0.6 * found.pairs
+
+
+def test_pruned_cells_with_short_or_empty_sides(spark):
+    queries = vectors(spark, np.eye(3), "query_id")
+    same = vectors(spark, np.ones((9, 3)))
+    unknown = spark.createDataFrame([(7, None)], "id bigint, vector array<float>")
+    assert nearest.nearest_pruned(queries, same.where("false"), 3).hits.count() == 0
+    assert nearest.nearest_pruned(queries.where("false"), same, 3).hits.count() == 0
+    assert nearest.nearest_pruned(queries, vectors(spark, np.eye(3)[:1]).union(unknown), 3).hits.count() == 3
+    rows = nearest.nearest_pruned(queries, same, 2, cells=4).hits.collect()
+    assert {(r.place, r.id) for r in rows} == {(1, 0), (2, 1)} and len(rows) == 6
+
+
+def test_probes_by_recall(spark):
+    """Neighbours over the borders of many cells; the recall that was asked for is reached."""
+    draw = np.random.default_rng(7)
+    index = draw.normal(size=(2_000, 6)).astype(np.float32)
+    queries = draw.normal(size=(300, 6)).astype(np.float32)
+    wanted = {(q, i) for (q, _), i in brute_force(queries, index, 5).items()}
+    probes = []
+    for recall in (0.5, 0.9, 1.1):
+        rows = nearest.nearest_calibrated(vectors(spark, queries, "query_id"), vectors(spark, index), 5, recall, cells=40, drawn=200).collect()
+        hits = {(r.query_id, r.id) for r in rows}
+        assert len(hits) == len(rows) and len({(r.query_id, r.place) for r in rows}) == len(rows)
+        assert len(hits & wanted) >= min(1.0, recall) * len(wanted)
+        (p,) = {r.probes for r in rows}
+        (measured,) = {r.measured_recall for r in rows}
+        assert measured >= min(1.0, recall)
+        probes.append(p)
+    assert probes[0] < probes[1] < probes[2] == 40
+
+
 def test_nearest_with_a_short_or_empty_index(spark):
     queries = vectors(spark, np.eye(3), "query_id")
     assert nearest.nearest(queries, vectors(spark, np.eye(3)[:2]), 3).count() == 6

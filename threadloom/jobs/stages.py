@@ -158,15 +158,15 @@ def run_index(
 
 
 def _retrieved(
-    spark: SparkSession, tickets_table: DataFrame, index: str, encoder: PipelineModel, k: int, probes: int | None
+    spark: SparkSession, tickets_table: DataFrame, index: str, encoder: PipelineModel, k: int, recall: float | None
 ) -> DataFrame:
     rows = read_table(spark, index)
     queries = embed.embed(tickets_table, "text", encoder, "vector").select(F.col("ticket_id").alias("query_id"), "vector")
     vectors = rows.select("id", F.col("embedding").alias("vector"))
-    if probes is None:
-        hits = nearest.nearest(queries, vectors, k)
+    if recall is None:
+        hits = nearest.nearest_pruned(queries, vectors, k).hits
     else:
-        hits = nearest.nearest_cells(queries, vectors, k, probes=probes)
+        hits = nearest.nearest_calibrated(queries, vectors, k, recall).drop("probes", "measured_recall")
     texts = rows.select(
         "id", "metadata.category", "metadata.priority", F.col("document").alias("customer_message"),
         "metadata.resolution_text",
@@ -176,14 +176,14 @@ def _retrieved(
 
 def run_prompts(
     spark: SparkSession, tickets_path: str, index: str, encoder: str, retrieved: str, prompts: str,
-    k: int = TOP_K, probes: int | None = None,
+    k: int = TOP_K, recall: float | None = None,
 ) -> None:
     """Nearest examples and prompt of every ticket (ticket_id, text).
 
-    Examples are the exact nearest, or those in the ``probes`` nearest cells of the index if that is given.
+    Examples are the exact nearest, or a share ``recall`` of them if that is given.
     """
     rows = triage.accepted_tickets(read_table(spark, tickets_path))
-    write_table(_retrieved(spark, rows, index, PipelineModel.load(encoder), k, probes), retrieved)
+    write_table(_retrieved(spark, rows, index, PipelineModel.load(encoder), k, recall), retrieved)
     found = read_table(spark, retrieved)
     none = F.array().cast(found.schema["retrieved"].dataType)
     # A ticket with no hit gets a prompt without examples.

@@ -7,10 +7,13 @@ fit in a task or on the driver and no pair is written out.
 
 ``nearest`` lets every part meet every tile, which suits small sides.
 ``nearest_cells`` puts the index into cells around centres, and a query meets
-the tiles of its nearest cells alone.
+the tiles of its nearest cells alone. ``nearest_pruned`` gives the exact rows
+from the cells that can hold them, and ``nearest_calibrated`` probes as many
+cells as a recall needs that is asked for.
 """
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -109,14 +112,42 @@ def _every(count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
 
 
-def _best(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k nearest of all groups that a query is in; k rows per query and group are compared."""
+def _found(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest in each group that a query is in."""
     schema = T.StructType([left.schema["query_id"], right.schema["id"], T.StructField("distance", T.DoubleType())])
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_cell_kernel(k), schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_cell_kernel(k), schema)
+
+
+def _placed(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all groups; k rows per query and group are compared."""
     by_distance = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= k)
 
 
+def _meet(asked: DataFrame, index: DataFrame, length: int, k: int) -> DataFrame:
+    """Queries meet the index rows of their cells: both sides have ``_cell``, a query a row for each.
+
+    A large cell is cut into tiles and the queries in it into parts, so tasks stay within bounds.
+    """
+    held = index.groupBy("_cell").agg(F.ceil(F.count("id") / _rows_in(TILE_BYTES, length)).alias("_tiles"))
+    wanted = asked.groupBy("_cell").agg(F.ceil(F.count("query_id") / _rows_in(PART_BYTES, length)).alias("_parts"))
+    # One row per cell, so it may be broadcast.
+    layout = F.broadcast(materialize(held.join(wanted, "_cell"), "layout"))
+    left = (
+        asked.join(layout, "_cell")
+        .withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
+        .withColumn("_tile", _every(F.col("_tiles")))
+        .drop("_tiles", "_parts")
+    )
+    right = (
+        index.join(layout, "_cell")
+        .withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+        .withColumn("_part", _every(F.col("_parts")))
+        .drop("_tiles", "_parts")
+    )
+    return _found(left, right, ["_cell", "_tile", "_part"], k)
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """The k nearest index rows of every query: query_id, id, distance, place.
 
@@ -134,7 +165,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     right = index.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn(
         "_part", _every(F.lit(parts))
     )
-    return _best(left, right, ["_part", "_tile"], k)
+    return _placed(_found(left, right, ["_part", "_tile"], k), k)
 
 
 def _centres(index: DataFrame, rows: int, length: int, cells: int, sample_rows: int, seed: int) -> np.ndarray:
@@ -199,24 +230,221 @@ def nearest_cells(
     queries = materialize(
         queries.withColumn("_cells", _cells_of(spark, centres, count)("query_vector")), "query-cells"
     )
-    asked = queries.withColumn("_cell", F.explode("_cells")).drop("_cells")
-    held = index.groupBy("_cell").agg(F.ceil(F.count("id") / _rows_in(TILE_BYTES, length)).alias("_tiles"))
-    wanted = asked.groupBy("_cell").agg(F.ceil(F.count("query_id") / _rows_in(PART_BYTES, length)).alias("_parts"))
-    # One row per cell, so it may be broadcast.
-    layout = F.broadcast(materialize(held.join(wanted, "_cell"), "layout"))
-    left = (
-        asked.join(layout, "_cell")
-        .withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
-        .withColumn("_tile", _every(F.col("_tiles")))
-        .drop("_tiles", "_parts")
+    return _placed(_meet(queries.withColumn("_cell", F.explode("_cells")).drop("_cells"), index, length, k), k)
+
+
+# --- exact answers from a part of the cells -------------------------------------
+
+
+@dataclass
+class Pruned:
+    """``hits`` as of ``nearest``; of all pairs of a query and a ring, how many were looked at."""
+
+    hits: DataFrame
+    visited: int
+    pairs: int
+
+
+class _Rings:
+    """Rings of the cells: the rows of a cell between two distances from its centre."""
+
+    def __init__(self, centres: np.ndarray, rings: list[tuple[int, int, int, float, float]]):
+        """``rings`` are (number, cell, rows, least and most distance)."""
+        self.centres = centres
+        self.number, self.cell, self.rows = (np.array([r[i] for r in rings], np.int64) for i in range(3))
+        self.low, self.high = (np.array([r[i] for r in rings]) for i in (3, 4))
+
+    def bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the centres of the rings' cells, and the least that a row of each ring can have.
+
+        The second is lowered by more than rounding can raise it.
+        """
+        away = _distances(points, self.centres)[:, self.cell]
+        least = np.maximum(0.0, np.maximum(away - self.high, self.low - away))
+        slack = _SLACK * (1.0 + away + self.high)
+        return away, np.maximum(0.0, least - slack)
+
+
+# Relative error that is granted to distances taken from products.
+_SLACK = 1e-6
+
+
+def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    square = (points * points).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2.0 * (points @ centres.T)
+    return np.sqrt(np.maximum(0.0, square))
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+
+
+def _first_rings(shared, k: int):
+    """The rings that are nearest by their bounds and hold k rows together."""
+
+    @F.arrow_udf("array<int>")
+    def first(vectors: pa.Array) -> pa.Array:
+        rings, points, out = shared.value, _matrix(vectors), []
+        for start in range(0, len(points), _BLOCK):
+            away, least = rings.bounds(points[start : start + _BLOCK])
+            for row in np.lexsort((away, least), axis=1):
+                enough = int(np.searchsorted(np.cumsum(rings.rows[row]), k)) + 1
+                out.append(rings.number[row[:enough]])
+        return _lists(out)
+
+    return first
+
+
+def _other_rings(shared):
+    """The rings that may hold a row within the bound, without those looked at already."""
+
+    @F.arrow_udf("array<int>")
+    def other(vectors: pa.Array, bounds: pa.Array, seen: pa.Array) -> pa.Array:
+        rings, points, out = shared.value, _matrix(vectors), []
+        limit = np.sqrt(bounds.to_numpy(zero_copy_only=False))
+        for start in range(0, len(points), _BLOCK):
+            _, least = rings.bounds(points[start : start + _BLOCK])
+            for at, row in enumerate(least, start):
+                near = rings.number[row <= limit[at] * (1.0 + _SLACK)]
+                out.append(np.setdiff1d(near, seen[at].values.to_numpy(zero_copy_only=False)))
+        return _lists(out)
+
+    return other
+
+
+def nearest_pruned(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = TOP_K,
+    cells: int | None = None,
+    rings: int = 4,
+    sample_rows: int = SAMPLE_ROWS,
+    seed: int = SEED,
+) -> Pruned:
+    """The rows of ``nearest``, from those parts of the index that can hold them.
+
+    Index rows are in the cell of their nearest centre and there in one of
+    ``rings`` by their distance from it. Every ring knows its least and largest
+    distance, so by the triangle inequality it has a least distance from a
+    query. First a query meets the nearest rings that hold k rows; the distance
+    of the last of those bounds its answer, and then it meets the rings
+    that the bound does not rule out. Tasks get parts and tiles of bounded size
+    as in ``nearest_cells``, and a query with fewer than k rows to find meets all.
+    """
+    spark = queries.sparkSession
+    queries, asked, index, index_rows, length = _measured(queries, index)
+    centres = _centres(index, index_rows, length, cells or min(MOST_CELLS, math.isqrt(index_rows)), sample_rows, seed)
+    centre = spark.sparkContext.broadcast(centres)
+
+    @F.arrow_udf("struct<cell: int, away: double>")
+    def placed(vectors: pa.Array) -> pa.Array:
+        points = _matrix(vectors)
+        found = [_distances(points[at : at + _BLOCK], centre.value) for at in range(0, len(points), _BLOCK)]
+        cell = np.concatenate([d.argmin(axis=1) for d in found]) if found else np.empty(0)
+        away = np.concatenate([d.min(axis=1) for d in found]) if found else np.empty(0)
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(away)], ["cell", "away"])
+
+    in_cells = materialize(index.withColumn("_at", placed("index_vector")).select("id", "index_vector", "_at.*"), "index-cells")
+    # One row per cell, and per ring: at most MOST_CELLS by default, times ``rings``.
+    widest = in_cells.groupBy("cell").agg(F.max("away").alias("_wide"))
+    ring = F.when(F.col("_wide") > 0, F.least(F.floor(F.col("away") / F.col("_wide") * rings), F.lit(rings - 1))).otherwise(0)
+    index = materialize(
+        in_cells.join(F.broadcast(widest), "cell").withColumn("_cell", (F.col("cell") * rings + ring).cast("int")), "index-rings"
     )
-    right = (
-        index.join(layout, "_cell")
-        .withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
-        .withColumn("_part", _every(F.col("_parts")))
-        .drop("_tiles", "_parts")
+    known = index.groupBy("_cell").agg(
+        F.first("cell").alias("cell"), F.count(F.lit(1)).alias("rows"), F.min("away").alias("low"), F.max("away").alias("high")
+    )
+    shared = spark.sparkContext.broadcast(_Rings(centres, sorted(map(tuple, known.collect()))))
+    index = index.select("id", "index_vector", "_cell")
+    begun = materialize(queries.withColumn("_seen", _first_rings(shared, k)("query_vector")), "query-rings")
+    first = materialize(_meet(begun.withColumn("_cell", F.explode("_seen")).drop("_seen"), index, length, k), "first-hits")
+    # The k-th of the first hits; without so many, everything is looked at.
+    bounds = _placed(first, k).groupBy(F.col("query_id").alias("_id")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_bound")
+    )
+    wanted = begun.join(bounds, F.col("query_id") == F.col("_id"), "left").withColumn(
+        "_bound", F.coalesce("_bound", F.lit(float("inf")))
+    )
+    rest = materialize(wanted.withColumn("_more", _other_rings(shared)("query_vector", "_bound", "_seen")), "query-rings")
+    visited = rest.agg(F.sum(F.size("_seen") + F.size("_more"))).first()[0] or 0
+    later = _meet(rest.select("query_id", "query_vector", F.explode("_more").alias("_cell")), index, length, k)
+    return Pruned(_placed(first.unionByName(later), k), int(visited), asked * len(shared.value.number))
+
+
+# --- a recall that is asked for --------------------------------------------------
+
+
+def nearest_calibrated(
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = TOP_K,
+    recall: float = 0.9,
+    cells: int | None = None,
+    border: float = 0.1,
+    drawn: int = 400,
+    sample_rows: int = SAMPLE_ROWS,
+    seed: int = SEED,
+) -> DataFrame:
+    """As ``nearest_cells``, with as many cells probed as ``recall`` needs.
+
+    Index rows whose second centre is at most ``border`` farther than the first
+    are in both cells. About ``drawn`` queries, chosen by a hash of the id, are
+    answered exactly; a neighbour is found if one of its cells is probed, so the places
+    of those cells in the order of each query give the recall for any number
+    of probes. The least number is taken that reaches ``recall`` by two
+    standard errors (all cells, if none does). ``probes`` and ``measured_recall``,
+    that of the drawn queries, come as columns.
+    """
+    spark = queries.sparkSession
+    queries, asked, index, index_rows, length = _measured(queries, index)
+    centres = _centres(index, index_rows, length, cells or min(MOST_CELLS, math.isqrt(index_rows)), sample_rows, seed)
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.arrow_udf("array<int>")
+    def homes(vectors: pa.Array) -> pa.Array:
+        points, out = _matrix(vectors), []
+        for start in range(0, len(points), _BLOCK):
+            away = _distances(points[start : start + _BLOCK], shared.value)
+            order = np.argsort(away, axis=1, kind="stable")[:, :2]
+            near = np.take_along_axis(away, order, axis=1)
+            out += [cells[: 1 + int(len(cells) > 1 and d[1] <= (1.0 + border) * d[0])] for cells, d in zip(order, near, strict=True)]
+        return _lists(out)
+
+    index = materialize(index.withColumn("_homes", homes("index_vector")), "index-cells")
+    range_ = 1 << 40
+    chosen = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(range_)) < int(range_ * min(1.0, drawn / max(1, asked)))
+    some = queries.where(chosen)
+    order = _cells_of(spark, centres, len(centres))
+    truth = nearest(some.withColumnRenamed("query_vector", "vector"), index.withColumnRenamed("index_vector", "vector"), k)
+    # About ``drawn`` queries with k rows each.
+    truth = materialize(truth.select("query_id", F.col("id").alias("_id")), "truth")
+    ranks = (
+        index.join(F.broadcast(truth), F.col("id") == F.col("_id"))
+        .join(some.select(F.col("query_id").alias("_asked"), order("query_vector").alias("_order")), F.col("query_id") == F.col("_asked"))
+        .select(F.array_min(F.transform("_homes", lambda cell: F.array_position("_order", cell))).alias("rank"))
+    )
+    # At most one row a cell.
+    counts = sorted((row["rank"], row["count"]) for row in ranks.groupBy("rank").count().collect())
+    total, found = sum(n for _, n in counts), 0
+    probes, measured = len(centres), 1.0
+    for rank, n in counts:
+        found += n
+        share = found / total
+        if share - 2.0 * math.sqrt(share * (1.0 - share) / total) >= recall:
+            probes, measured = int(rank), share
+            break
+    held = index.withColumn("_cell", F.explode("_homes")).drop("_homes")
+    probing = materialize(queries.withColumn("_cells", _cells_of(spark, centres, probes)("query_vector")), "query-cells")
+    hits = _meet(probing.withColumn("_cell", F.explode("_cells")).drop("_cells"), held, length, k)
+    # A row in two cells is found twice, at the same distance.
+    return _placed(hits.dropDuplicates(["query_id", "id"]), k).select(
+        "*", F.lit(probes).alias("probes"), F.lit(measured).alias("measured_recall")
     )
-    return _best(left, right, ["_cell", "_tile", "_part"], k)
 
 
 def retrieve(hits: DataFrame, index: DataFrame, key: str = "ticket_id") -> DataFrame:

@@ -417,6 +417,17 @@ def knn_cells(flow: Flow):
     return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
 
 
+@query(KNN_SQL)
+def knn_pruned(flow: Flow):
+    """The same from the rings of cells that bounds do not rule out."""
+    vectors = _embeddings(flow)
+    hits = nearest.nearest_pruned(
+        vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+        vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")),
+    ).hits
+    return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), "place")
+
+
 @query(
     """WITH ranked AS (SELECT a.vec_id AS ticket_id, b.vec_id AS id,
       list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p:
