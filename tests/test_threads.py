@@ -3,7 +3,7 @@ import random
 import pytest
 from rows import as_dict, at, links, tweets
 
-from threadloom.operators import knowledge, tickets
+from threadloom.operators import knowledge, threads, tickets
 from threadloom.operators.threads import thread_roots
 
 
@@ -56,18 +56,34 @@ def test_roots_of_random_replies(spark, seed):
     assert as_dict(roots) == walk(pairs)
 
 
+@pytest.mark.parametrize(("length", "most"), [(2, 3), (3, 4), (40, 8)])
+def test_circles_end_by_their_own_length(spark, monkeypatch, length, most):
+    """Many circles take no more writes than one, which is about log2 of its length."""
+    writes = []
+    store = threads._store
+    monkeypatch.setattr(threads, "_store", lambda step: writes.append(1) or store(step))
+    rows = [(c * 100 + i, c * 100 + (i + 1) % length) for c in range(4_000 // length) for i in range(length)]
+    assert as_dict(thread_roots(links(spark, rows))) == {i: i // 100 * 100 for i, _ in rows}
+    assert len(writes) <= most
+
+
+def test_long_tail_of_a_circle_with_lower_ids(spark):
+    rows = [(500, 501), (501, 502), (502, 500)] + [(i, i + 1) for i in range(1, 60)] + [(60, 501)]
+    assert as_dict(thread_roots(links(spark, rows))) == {i: 500 for i, _ in rows}
+
+
 def test_resolved_ticket(spark):
     df = tweets(
         spark,
         {"tweet_id": 1, "text_clean": "two wo𝒳ds"},
-        {"tweet_id": 2, "author_id": "late", "inbound": False, "created_at": at(1), "in_response_to_tweet_id": 1},
-        {"tweet_id": 3, "author_id": "brandco", "inbound": False, "created_at": at(0, 5), "in_response_to_tweet_id": 2},
-        {"tweet_id": 4, "author_id": "other", "inbound": False, "created_at": at(0, 5), "in_response_to_tweet_id": 1},
+        {"tweet_id": 2, "author_id": "slowmart", "inbound": False, "created_at": at(1), "in_response_to_tweet_id": 1},
+        {"tweet_id": 3, "author_id": "quickmart", "inbound": False, "created_at": at(0, 7), "in_response_to_tweet_id": 2},
+        {"tweet_id": 4, "author_id": "midmart", "inbound": False, "created_at": at(0, 7), "in_response_to_tweet_id": 1},
     )
     row = tickets.build_ticket_features(df).first()
-    assert (row.ticket_id, row.customer_id, row.brand_id) == (1, "ana", "brandco")
+    assert (row.ticket_id, row.customer_id, row.brand_id) == (1, "ana", "quickmart")
     assert (row.num_messages, row.num_customer_messages, row.num_brand_messages) == (4, 1, 3)
-    assert row.first_response_seconds == 300.0 and row.resolved
+    assert row.first_response_seconds == 420.0 and row.resolved
     assert (row.text_length, row.word_count) == (9, 2)
 
 

@@ -46,14 +46,18 @@ def salted_join(
     how: str = "inner",
     *,
     spread: Column,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of many ``left`` rows per key to ``right``, unique on its key.
 
     Hot keys of ``left`` are cut into parts by a hash of ``spread``, a value
     that differs between rows and stays the same when a task is tried again, and their ``right`` row is repeated once per
     part. All other keys join as usual. Left rows with a NULL key, which an
-    outer join keeps, are spread out too.
+    outer join keeps, are spread out too. ``rows``, where it is known, bounds
+    the rows of ``left``; so few that no key can be hot are not counted by key.
     """
+    if rows is not None and rows <= hot_key_rows(left):
+        return left.join(right, F.col(left_key) == F.col(right_key), how)
     hot = hot_keys(left, left_key)
     parts = F.coalesce("_parts", F.lit(1))
     salted_left = (

@@ -7,19 +7,20 @@ top are left out of later rounds. Every round is written to shared storage:
 the plan stays short and a lost executor costs no earlier round.
 
 Rows whose replies run in a circle have no top. Their thread is named after
-the lowest id on the circle, whatever the row order.
+the lowest id on the circle, whatever the row order. Every row carries the
+lowest id of its walk so far, itself left out; a row that finds itself there
+has gone round its circle and is the lowest of it. From then on it is a top, so
+a circle ends after log2 of its own length, whatever other circles there are.
 """
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.joins import salted_join
-from threadloom.sources.tables import materialize, materialize_counted
+from threadloom.sources.tables import materialize_counted
 
 
-def _first_step(links: DataFrame) -> DataFrame:
+def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """Rows with a parent in the table; done when that parent starts a thread.
 
     Rows left out have no parent, reply to themselves or to a missing row, and
@@ -27,14 +28,15 @@ def _first_step(links: DataFrame) -> DataFrame:
     """
     replies = links.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id")))
     parents = links.select(F.col("tweet_id").alias("at"), F.col("parent").alias("grand"))
-    return salted_join(replies, parents, "parent", "at", "inner", spread=F.col("tweet_id")).select(
+    return salted_join(replies, parents, "parent", "at", "inner", spread=F.col("tweet_id"), rows=rows).select(
         "tweet_id",
         F.col("parent").alias("pointer"),
+        F.col("parent").alias("low"),
         (F.col("grand").isNull() | (F.col("grand") == F.col("at"))).alias("done"),
     )
 
 
-def _next_step(open_rows: DataFrame, known: DataFrame) -> DataFrame:
+def _next_step(open_rows: DataFrame, known: DataFrame, rows: int) -> DataFrame:
     """Move the pointers of open rows. A pointer not in ``known`` is a top.
 
     Only rows that some open pointer points at are looked up: finished rows
@@ -42,48 +44,35 @@ def _next_step(open_rows: DataFrame, known: DataFrame) -> DataFrame:
     """
     wanted = open_rows.select(F.col("pointer").alias("wanted")).distinct()
     lookup = known.join(wanted, F.col("tweet_id") == F.col("wanted"), "left_semi").select(
-        F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("done").alias("next_done")
+        F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("low").alias("next_low"), F.col("done").alias("next_done")
     )
     return salted_join(
-        open_rows.select("tweet_id", "pointer"), lookup, "pointer", "at", "left", spread=F.col("tweet_id")
+        open_rows.drop("done"), lookup, "pointer", "at", "left", spread=F.col("tweet_id"), rows=rows
     ).select(
         "tweet_id",
         F.coalesce("next", "pointer").alias("pointer"),
+        F.least("low", "next_low").alias("low"),
         F.coalesce("next_done", F.lit(True)).alias("done"),
     )
 
 
-def _store(step: DataFrame) -> tuple[DataFrame, int, int]:
-    """The step written out, and how many of its rows are open and done."""
-    stored, found = materialize_counted(
-        step, "thread-step", open=F.count_if(~F.col("done")), done=F.count_if("done")
-    )
-    return stored, found["open"], found["done"]
+def _closed_circles(open_rows: DataFrame, rows: int) -> DataFrame:
+    """The open rows, done where the lowest id of their walk is that of a circle.
 
+    Tails that still see a lower id of their own find the circle through their pointer in a later round.
+    """
+    lowest = open_rows.where("low = tweet_id").select(F.col("tweet_id").alias("at"))
+    return salted_join(open_rows, lowest, "low", "at", "left", spread=F.col("tweet_id"), rows=rows).select(
+        "tweet_id", F.coalesce("at", "pointer").alias("pointer"), "low", F.col("at").isNotNull().alias("done")
+    )
 
-def _circle_roots(circle: DataFrame, rows: int) -> DataFrame:
-    """Lowest id on the circle each row runs into.
 
-    All walks stay within these ``rows`` rows. Once the reach is at least that
-    long, every pointer lies on its circle and ``low`` has gone all round it.
-    """
-    state = circle.withColumn("low", F.col("tweet_id"))
-    for _ in range(max(1, math.ceil(math.log2(rows)))):
-        ahead = state.select(
-            F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("low").alias("next_low")
-        )
-        state = materialize(
-            salted_join(state, ahead, "pointer", "at", "inner", spread=F.col("tweet_id")).select(
-                "tweet_id",
-                F.col("next").alias("pointer"),
-                F.least("low", "next_low").alias("low"),
-            ),
-            "thread-circle",
-        )
-    ahead = state.select(F.col("tweet_id").alias("at"), F.col("low").alias("next_low"))
-    return salted_join(
-        state.select("tweet_id", "pointer"), ahead, "pointer", "at", "inner", spread=F.col("tweet_id")
-    ).select("tweet_id", F.col("next_low").alias("pointer"), F.lit(True).alias("done"))
+def _store(step: DataFrame) -> tuple[DataFrame, int, int]:
+    """The step written out, how many of its rows are open, and how many of those are the lowest of a circle."""
+    stored, found = materialize_counted(
+        step, "thread-step", open=F.count_if(~F.col("done")), lowest=F.count_if(~F.col("done") & (F.col("low") == F.col("tweet_id")))
+    )
+    return stored, found["open"], found["lowest"]
 
 
 def reply_roots(tweets: DataFrame) -> DataFrame:
@@ -93,22 +82,14 @@ def reply_roots(tweets: DataFrame) -> DataFrame:
     two of its columns are read.
     """
     links = tweets.select("tweet_id", F.col("in_response_to_tweet_id").alias("parent"))
-    step, left, _ = _store(_first_step(links))
+    step, left, _ = _store(_first_step(links, links.count()))
     finished, still_open = step.where("done"), step.where("not done")
     while left:
-        step, now_left, now_done = _store(_next_step(still_open, finished.unionByName(still_open)))
-        if not now_done:
-            # An open row with a top above it always lets one row finish, so
-            # these all run in circles. Start again from their parents.
-            circle = materialize(
-                links.join(still_open.select("tweet_id"), "tweet_id", "left_semi").select(
-                    "tweet_id", F.col("parent").alias("pointer")
-                ),
-                "thread-circle",
-            )
-            finished = finished.unionByName(materialize(_circle_roots(circle, left), "thread-circle"))
-            break
-        finished, still_open, left = finished.unionByName(step.where("done")), step.where("not done"), now_left
+        step, rest, lowest = _store(_next_step(still_open, finished.unionByName(still_open), left))
+        finished, still_open, left = finished.unionByName(step.where("done")), step.where("not done"), rest
+        if lowest:
+            step, left, _ = _store(_closed_circles(still_open, left))
+            finished, still_open = finished.unionByName(step.where("done")), step.where("not done")
     return finished.select("tweet_id", F.col("pointer").alias("thread_root_id"))
 
 
