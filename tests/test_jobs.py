@@ -53,6 +53,10 @@ def test_stages_in_order(spark, tmp_path, monkeypatch):
     jobs.main(["explore", "--features", f"{root}/features", "--report", f"{root}/r6", "--sample-size", "60"])
     assert len(report(root, "r6")["clusters"]) == 12
     run("train", root, labeled="labeled", models="models", runs="runs", report="r7")
+    logged = sorted(map(tuple, spark.read.parquet(f"{root}/runs").select("run_name", "target", "kind", "key").collect()))
+    run("train", root, labeled="labeled", models="models", runs="runs", report="r7")
+    assert sorted(map(tuple, spark.read.parquet(f"{root}/runs").select("run_name", "target", "kind", "key").collect())) == logged
+    assert len(logged) == len(set(logged)) == 2 * 3 * 5
     assert sum(report(root, "r7")["split_sizes"].values()) == tickets
     run("tune", root, labeled="labeled", models="models", runs="runs", report="r8")
     assert len(report(root, "r8")["priority"]["trials"]) == 2

@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -166,3 +167,35 @@ def test_run_log(spark, tmp_path):
     registry.log_run(spark, path, "category-tune", "category", {"c": 1.0}, {"val_macro_f1": 0.5})
     registry.log_run(spark, path, "category-best", "category", {}, {"test_macro_f1": 0.6})
     assert spark.read.parquet(path).count() == 3
+
+
+@pytest.mark.parametrize("cell_rows", [1, 3, 20, 10_000])
+def test_ranks_through_several_levels(spark, cell_rows, monkeypatch):
+    """Two bits a level and few rows a bucket: the hash is taken down as far as it has to be."""
+    written = []
+    counted = ranks.materialize_counted
+    monkeypatch.setattr(ranks, "materialize_counted", lambda df, name, **more: written.append(name) or counted(df, name, **more))
+    df = classes(spark, A=300, B=40, C=1).withColumn("o", ranks.hash_order("ticket_id", 42))
+    wanted = [(c, f"{c}{r}", r) for c, n in (("A", 300), ("B", 40), ("C", 1)) for r in (1, 2, n // 2, n, n + 1)]
+    found = ranks.rank_cuts(
+        df, "category", "ticket_id", F.col("o"), spark.createDataFrame(wanted, "category string, name string, rank bigint"),
+        bits=2, cell_rows=cell_rows,
+    )
+    rows = {(r.category, r.name): (r.cut_order, r.cut_key) for r in found.collect()}
+    order = {c: sorted((r.o, r.ticket_id) for r in df.where(F.col("category") == c).collect()) for c in "ABC"}
+    assert rows == {(c, name): order[c][r - 1] for c, name, r in wanted if 1 <= r <= len(order[c])}
+    assert written.count("rank-cells") >= (3 if cell_rows <= 3 else 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1_000])
+def test_median_by_narrowing(spark, n, monkeypatch):
+    """Fractions that all differ, values far out, and many equal ones, with few rows a range."""
+    monkeypatch.setattr(ranks, "RANGES", 8)
+    rng = random.Random(n)
+    values = [rng.random() / 7 for _ in range(n)] + [1e300, -1e300][: n // 3] + [0.07] * (n // 10)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert ranks.exact_median(df, "v", most=10).first()[0] == statistics.median(values)
+
+
+def test_median_of_nothing(spark):
+    assert ranks.exact_median(spark.createDataFrame([(None,)], "v double"), "v").first()[0] is None

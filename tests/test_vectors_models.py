@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from threadloom.operators import classify, embed, explore, nearest, terms
+from threadloom.operators import classify, embed, explore, nearest, scores, terms
 from threadloom.operators.split import stratified_split
 
 
@@ -221,3 +222,32 @@ def test_explore(spark, labelled):
     assert 0.0 < row.explained_variance_ratio <= 1.0
     found = {t for c in row.clusters for t in c.top_terms}
     assert "charged" in found and "store" not in found  # the brand name is stopped
+
+
+def labelled_texts(spark):
+    words = {"a": ["parcel", "late", "courier"], "b": ["crash", "error", "screen"], "c": ["refund", "charged", "late"]}
+    rows = [(i, " ".join(words["abc"[i % 3]][: 1 + i % 3] + [f"word{i % 7}"]), "abc"[i % 3]) for i in range(90)]
+    return spark.createDataFrame(rows, "id bigint, text string, label string")
+
+
+def test_scores_by_a_join_equal_the_fitted_pipeline(spark):
+    df = labelled_texts(spark)
+    vectors = terms.fit_tfidf(df, "text", 50, 2)
+    fitted = classify.fit_classifier(vectors.transform(df), "label", 1.0, "balanced", 90, 20)
+    pipeline = PipelineModel(stages=vectors.stages + fitted.stages)
+    more = df.union(spark.createDataFrame([(900, "nothing known here", None), (901, "", None), (902, None, None)], df.schema))
+    expected = {r.id: r.prediction for r in classify.predict(pipeline, more).collect()}
+    kept = scores.vocabulary(df, "text", 50, 2)
+    triples = scores.tfidf_triples(scores.term_counts(more, "id"), kept, "id")
+    found = scores.predicted(more, triples, scores.fitted_model(spark, pipeline), "id").collect()
+    assert {r.id: r.prediction for r in found} == expected and len(found) == 93
+    row = triples.where("id = 5").agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
+    assert abs(row - 1.0) < 1e-9
+
+
+def test_hashed_vectors_are_of_unit_length(spark):
+    df = labelled_texts(spark).union(spark.createDataFrame([(901, "", None), (902, None, None)], "id bigint, text string, label string"))
+    rows = {r.id: r.vector for r in scores.hashed_vectors(scores.term_counts(df, "id"), "id", 16).collect()}
+    assert set(rows) <= set(range(90)) and len(rows) > 80
+    assert all(len(v) == 16 and abs(sum(x * x for x in v) - 1.0) < 1e-9 for v in rows.values())
+    assert rows[0] == rows[21 * 3]

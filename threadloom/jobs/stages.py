@@ -87,7 +87,7 @@ def run_train(spark: SparkSession, labeled: str, models: str, runs: str, report:
         rows = materialize(rows, f"{target}-report")
         for row in rows.collect():  # three rows
             registry.log_run(
-                spark, runs, f"{target}-{row.model}", target, {"model": row.model, "part": row.part},
+                spark, runs, f"{target}-{row.model}-{row.part}", target, {"model": row.model, "part": row.part},
                 {"accuracy": row.accuracy, "macro_f1": row.macro_f1, "weighted_f1": row.weighted_f1},
             )
         columns.append(classify.report_json(rows, target))

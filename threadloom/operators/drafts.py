@@ -83,7 +83,8 @@ def checked_reply(df: DataFrame) -> DataFrame:
 
     Links go first, so a link holding a handle leaves one mark only. Claims are
     looked for in the reply as it will be sent, severity in the ticket. A
-    made-up citation is reported but does not escalate by itself.
+    made-up citation is reported but does not escalate by itself. A row without
+    a draft has no reply, raises no flag of its own and goes to a person.
     """
     retrieved_ids = F.transform("retrieved", lambda r: r["ticket_id"])
     redacted = (
@@ -95,12 +96,13 @@ def checked_reply(df: DataFrame) -> DataFrame:
         .withColumn("completed_action_claimed", safety.claims_completed_action(F.col("_reply")))
         .withColumn("ticket_severity_signaled", safety.signals_severity(F.col("query")))
     )
-    escalate = F.coalesce(F.col("draft.needs_human_escalation"), F.lit(False))
-    for flag in (
-        "completed_action_claimed", "link_redacted", "mention_redacted", "ticket_severity_signaled"
-    ):
-        escalate = escalate | F.coalesce(F.col(flag), F.lit(False))
-    cited = F.col("draft.cited_ticket_ids")
+    came = F.col("draft").isNotNull()
+    flags = ("completed_action_claimed", "link_redacted", "mention_redacted", "ticket_severity_signaled")
+    redacted = redacted.withColumns({flag: came & F.coalesce(flag, F.lit(False)) for flag in flags})
+    escalate = ~came | F.coalesce(F.col("draft.needs_human_escalation"), F.lit(False))
+    for flag in flags:
+        escalate = escalate | F.col(flag)
+    cited = F.coalesce("draft.cited_ticket_ids", F.array().cast("array<string>"))
     keys = [c for c in df.columns if c not in ("query", "retrieved", "draft", "generation_model")]
     # Drafts come from outside and may say which model wrote them.
     model = F.col("generation_model") if "generation_model" in df.columns else F.lit(GENERATION_MODEL)

@@ -38,6 +38,11 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Whether so many rows of a few numbers each may be broadcast."""
+    return rows * 64 <= _setting(df, "broadcastBytes", BROADCAST_BYTES)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

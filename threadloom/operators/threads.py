@@ -16,10 +16,18 @@ a circle ends after log2 of its own length, whatever other circles there are.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.joins import salted_join
+from threadloom.operators.joins import fits_broadcast, salted_join
 from threadloom.sources.tables import materialize_counted
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, how: str, bound: int) -> DataFrame:
+    """``rows`` with the row of ``table`` at their key. Neither has more rows than ``bound``,
+    and a table that short is broadcast; beyond that, hot keys are salted."""
+    if fits_broadcast(rows, bound):
+        return rows.join(F.broadcast(table), F.col(key) == F.col("at"), how)
+    return salted_join(rows, table, key, "at", how, spread=F.col("tweet_id"), rows=bound)
+
+
 def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """Rows with a parent in the table; done when that parent starts a thread.
 
@@ -28,7 +36,7 @@ def _first_step(links: DataFrame, rows: int) -> DataFrame:
     """
     replies = links.where(F.col("parent").isNotNull() & (F.col("parent") != F.col("tweet_id")))
     parents = links.select(F.col("tweet_id").alias("at"), F.col("parent").alias("grand"))
-    return salted_join(replies, parents, "parent", "at", "inner", spread=F.col("tweet_id"), rows=rows).select(
+    return _looked_up(replies, parents, "parent", "inner", rows).select(
         "tweet_id",
         F.col("parent").alias("pointer"),
         F.col("parent").alias("low"),
@@ -42,13 +50,12 @@ def _next_step(open_rows: DataFrame, known: DataFrame, rows: int) -> DataFrame:
     Only rows that some open pointer points at are looked up: finished rows
     are most of the table and go no further than this test.
     """
-    wanted = open_rows.select(F.col("pointer").alias("wanted")).distinct()
+    wanted = open_rows.select(F.col("pointer").alias("wanted"))
+    wanted = F.broadcast(wanted) if fits_broadcast(open_rows, rows) else wanted.distinct()
     lookup = known.join(wanted, F.col("tweet_id") == F.col("wanted"), "left_semi").select(
         F.col("tweet_id").alias("at"), F.col("pointer").alias("next"), F.col("low").alias("next_low"), F.col("done").alias("next_done")
     )
-    return salted_join(
-        open_rows.drop("done"), lookup, "pointer", "at", "left", spread=F.col("tweet_id"), rows=rows
-    ).select(
+    return _looked_up(open_rows.drop("done"), lookup, "pointer", "left", rows).select(
         "tweet_id",
         F.coalesce("next", "pointer").alias("pointer"),
         F.least("low", "next_low").alias("low"),
@@ -62,7 +69,7 @@ def _closed_circles(open_rows: DataFrame, rows: int) -> DataFrame:
     Tails that still see a lower id of their own find the circle through their pointer in a later round.
     """
     lowest = open_rows.where("low = tweet_id").select(F.col("tweet_id").alias("at"))
-    return salted_join(open_rows, lowest, "low", "at", "left", spread=F.col("tweet_id"), rows=rows).select(
+    return _looked_up(open_rows, lowest, "low", "left", rows).select(
         "tweet_id", F.coalesce("at", "pointer").alias("pointer"), "low", F.col("at").isNotNull().alias("done")
     )
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.constants import EXPLORE_CLUSTERS, SEED, TFIDF_MIN_DF, TFIDF_TERMS
-from threadloom.operators import classify, explore, metrics, registry, split, terms
+from threadloom.operators import classify, explore, metrics, ranks, registry, scores, split, terms
 from threadloom.plans import derive, oracle
 from threadloom.plans.flow import Flow
 from threadloom.plans.registered import query
@@ -129,6 +129,13 @@ def majority_baseline(flow: Flow):
     return _rounded(metrics.evaluate(guessed, "lang", "prediction").drop("per_class"), *_RATES)
 
 
+@query("SELECT median(CAST(l_extendedprice AS DOUBLE) / 7) AS median FROM lineitem")
+def narrowed_median(flow: Flow):
+    """Median of values that nearly all differ, found by narrowing ranges of them."""
+    prices = derive.read(flow.spark, flow.sf_dir, "lineitem").select((F.col("l_extendedprice").cast("double") / 7).alias("v"))
+    return ranks.exact_median(prices, "v", most=500)
+
+
 # --- terms ---------------------------------------------------------------
 
 
@@ -148,6 +155,57 @@ def tfidf_terms(flow: Flow):
     return _rounded(terms.term_table(termed, TFIDF_TERMS, TFIDF_MIN_DF), "idf")
 
 
+_TFIDF_PARTS = oracle.tfidf_parts("documents", "doc_id", "text", TFIDF_TERMS, TFIDF_MIN_DF)
+
+
+def _weighted_terms(flow: Flow):
+    """Counts of the kept terms of every document, and its unit weights."""
+    texts = _documents(flow).select("doc_id", "text")
+    kept = scores.vocabulary(texts, "text", TFIDF_TERMS, TFIDF_MIN_DF)
+    counts = materialize(scores.term_counts(texts, "doc_id").join(F.broadcast(kept), "term"), "term-counts")
+    return counts, scores.tfidf_triples(counts.drop("idf"), kept, "doc_id")
+
+
+@query(oracle.with_parts(_TFIDF_PARTS, "SELECT key AS doc_id, term, round(weight, 6) AS weight FROM unit"))
+def tfidf_vectors(flow: Flow):
+    """The TF-IDF vector of every document, a row for each of its terms."""
+    return _weighted_terms(flow)[1].select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    oracle.with_parts(
+        _TFIDF_PARTS | oracle.odds_parts("documents", "doc_id", "lang"),
+        "SELECT key AS doc_id, prediction, round(score, 6) AS prediction_score FROM best_lang",
+    )
+)
+def linear_scores(flow: Flow):
+    """Language of every document by a linear model over its terms, scored by a join."""
+    counts, triples = _weighted_terms(flow)
+    labels = _documents(flow).select("doc_id", "lang")
+    model = scores.word_odds(counts, labels, "doc_id", "lang")
+    found = scores.predicted(labels.select("doc_id"), triples, model, "doc_id")
+    return found.withColumn("prediction_score", F.round("prediction_score", 6))
+
+
+@query(
+    oracle.with_parts(
+        {k: v for k, v in _TFIDF_PARTS.items() if k in ("words", "counts")}
+        | {
+            "hashed": """SELECT key, CAST(CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % 384 AS INTEGER) AS dimension,
+              sum(CASE WHEN CAST('0x' || substr(md5(term), 8, 1) AS INTEGER) % 2 = 0 THEN 1 + ln(n) ELSE -1 - ln(n) END) AS v
+              FROM counts GROUP BY ALL""",
+            "unit": "SELECT key, dimension, v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS value FROM hashed",
+        },
+        "SELECT key AS doc_id, dimension, round(value, 6) AS value FROM unit WHERE abs(value) > 1e-9",
+    )
+)
+def hashed_vectors(flow: Flow):
+    """Every document as a vector of 384 numbers hashed from its terms, a row for each that is not zero."""
+    counts = scores.term_counts(_documents(flow).select("doc_id", "text"), "doc_id")
+    rows = scores.hashed_vectors(counts, "doc_id").select("doc_id", F.posexplode("vector").alias("dimension", "value"))
+    return rows.where(F.abs("value") > 1e-9).withColumn("value", F.round("value", 6))
+
+
 # --- ledger --------------------------------------------------------------
 
 # One version per event type and hour, scored by the events of that hour.

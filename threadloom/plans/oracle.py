@@ -151,3 +151,39 @@ def flow_sql(stage: str, select: str, **more: str) -> str:
         )
         + f"\n{select}"
     )
+
+
+def tfidf_parts(source: str, key: str, text: str, size: int, min_df: int) -> dict[str, str]:
+    """Unit TF-IDF weights of a text column as named parts; ``unit`` has key, term, n and weight."""
+    return {
+        "words": f"SELECT {key} AS key, regexp_extract_all(lower({text}), '{WORD}{{2,}}') AS w FROM {source}",
+        "counts": """SELECT key, term, count(*) AS n FROM (SELECT key, unnest(w) AS term FROM words
+          UNION ALL SELECT key, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2]))
+          FROM words WHERE len(w) > 1) GROUP BY key, term""",
+        "vocabulary": f"""SELECT term, ln((1 + (SELECT count(*) FROM {source})) / (1 + count(*))) + 1 AS idf
+          FROM counts GROUP BY term HAVING count(*) >= {min_df} ORDER BY sum(n) DESC, term LIMIT {size}""",
+        "unit": """SELECT key, term, n, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY key)) AS weight
+          FROM counts JOIN vocabulary USING (term)""",
+    }
+
+
+def odds_parts(source: str, key: str, label: str) -> dict[str, str]:
+    """Naive Bayes over the terms of ``unit``; ``best_LABEL`` has key, prediction and score."""
+    name = f"best_{label}"
+    return {
+        f"shares_{label}": f"SELECT {label} AS label, ln(count(*) / (SELECT count(*) FROM {source})) AS share FROM {source} GROUP BY {label}",
+        f"cells_{label}": f"SELECT {label} AS label, term, sum(n) AS n FROM unit JOIN {source} ON key = {key} GROUP BY ALL",
+        f"coefficients_{label}": f"""SELECT label, term, ln((coalesce(n, 0) + 1) / (total + (SELECT count(*) FROM vocabulary))) AS coefficient
+          FROM shares_{label} CROSS JOIN vocabulary
+          JOIN (SELECT label, coalesce(sum(n), 0) AS total FROM shares_{label} LEFT JOIN cells_{label} USING (label) GROUP BY label) USING (label)
+          LEFT JOIN cells_{label} USING (label, term)""",
+        name: f"""SELECT key, first(label ORDER BY score DESC, label) AS prediction, max(score) AS score FROM (
+            SELECT k.{key} AS key, s.label, share + coalesce(sum(weight * coefficient), 0) AS score
+            FROM {source} k CROSS JOIN shares_{label} s LEFT JOIN unit u ON u.key = k.{key}
+            LEFT JOIN coefficients_{label} c ON c.term = u.term AND c.label = s.label
+            GROUP BY k.{key}, s.label, share) GROUP BY key""",
+    }
+
+
+def with_parts(parts: dict[str, str], select: str) -> str:
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in parts.items()) + f"\n{select}"

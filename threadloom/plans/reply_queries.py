@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from threadloom.constants import EVALUATION_QUERIES, PROMPT_INSTRUCTIONS, PROMPT_REQUEST, SEED
+from threadloom.constants import EVALUATION_QUERIES, PROMPT_INSTRUCTIONS, PROMPT_REQUEST, SEED, TFIDF_MIN_DF, TFIDF_TERMS
 from threadloom.functions import safety
 from threadloom.functions.vectors import cosine
-from threadloom.operators import drafts, embed, evaluate, label, nearest, triage
+from threadloom.operators import drafts, embed, evaluate, label, nearest, scores, triage
 from threadloom.operators.split import capped_sample
 from threadloom.plans import derive, oracle
 from threadloom.plans.flow import Flow
@@ -15,7 +15,7 @@ from threadloom.plans.registered import query
 from threadloom.plans.ticket_queries import _LANDING_VIEW_SQL, _PARSED_SQL, _landing_view
 from threadloom.schemas import RETRIEVED
 from threadloom.sources.csv import write_raw_csv
-from threadloom.sources.tables import read_table, scratch_path, write_table
+from threadloom.sources.tables import materialize, read_table, scratch_path, write_table
 from threadloom.streaming import arrivals
 
 RETRIEVED_LIST = ArrayType(RETRIEVED)
@@ -625,6 +625,42 @@ def triage_complete(flow: Flow):
     return triage.triage(accepted, checked).drop("cited_ticket_ids")
 
 
+@query(
+    flow_sql(
+        "labeled",
+        """SELECT ticket_id, CAST(length(text) AS INTEGER) AS text_length, c.prediction AS predicted_category,
+          p.prediction AS predicted_priority, NOT lost AND link_redacted AS link_redacted,
+          NOT lost AND mention_redacted AS mention_redacted,
+          NOT lost AND completed_action_claimed AS completed_action_claimed,
+          NOT lost AND ticket_severity_signaled AS ticket_severity_signaled,
+          lost OR link_redacted OR mention_redacted OR completed_action_claimed OR ticket_severity_signaled
+            AS needs_human_escalation
+        FROM whole JOIN best_category c ON c.key = ticket_id JOIN best_priority p ON p.key = ticket_id""",
+        whole=_COMPLETE_SQL,
+        **oracle.tfidf_parts("labeled", "ticket_id", "text", TFIDF_TERMS, TFIDF_MIN_DF),
+        **oracle.odds_parts("labeled", "ticket_id", "category"),
+        **oracle.odds_parts("labeled", "ticket_id", "priority"),
+    )
+)
+def triage_predicted(flow: Flow):
+    """Audit rows of all accepted tickets, their labels predicted by linear models over their terms."""
+    _, came = _partial(flow)
+    labeled = flow.stored_labeled.select("ticket_id", "text", "category", "priority")
+    kept = scores.vocabulary(labeled, "text", TFIDF_TERMS, TFIDF_MIN_DF)
+    counts = materialize(scores.term_counts(labeled, "ticket_id").join(F.broadcast(kept), "term").drop("idf"), "term-counts")
+    triples = materialize(scores.tfidf_triples(counts, kept, "ticket_id"), "term-weights")
+    rows = labeled.select("ticket_id", F.when(F.col("ticket_id") % 5 == 4, F.lit("")).otherwise(F.col("text")).alias("text"))
+    accepted = triage.accepted_tickets(rows)
+    for target in ("category", "priority"):
+        model = scores.word_odds(counts, labeled, "ticket_id", target)
+        accepted = scores.predicted(accepted, triples, model, "ticket_id", f"predicted_{target}").drop(f"predicted_{target}_score")
+    none = F.array().cast(RETRIEVED_LIST)
+    checked = drafts.check_drafts(
+        accepted.select("ticket_id", F.col("text").alias("query")), accepted.select("ticket_id", none.alias("retrieved")), came
+    )
+    return triage.audit(triage.triage(accepted, checked))
+
+
 @query(
     flow_sql(
         "labeled",
@@ -660,15 +696,22 @@ def stream_ingest(flow: Flow):
     flow_sql(
         "drafted",
         """SELECT draft_id AS ticket_id, query AS ticket_text, category AS predicted_category,
-          priority AS predicted_priority, reply AS draft_reply, link_redacted, mention_redacted,
-          completed_action_claimed, ticket_severity_signaled, needs_human_escalation FROM triaged""",
+          priority AS predicted_priority, CASE WHEN NOT lost THEN reply END AS draft_reply,
+          NOT lost AND link_redacted AS link_redacted, NOT lost AND mention_redacted AS mention_redacted,
+          NOT lost AND completed_action_claimed AS completed_action_claimed,
+          NOT lost AND ticket_severity_signaled AS ticket_severity_signaled,
+          lost OR needs_human_escalation AS needs_human_escalation
+        FROM (SELECT *, draft_id % 7 = 3 AS lost FROM triaged)""",
         responses=_CHECKED_SQL,
         triaged=_TRIAGED_SQL,
     )
 )
 def stream_triage(flow: Flow):
-    """The triage rows by way of a stream of arriving tickets."""
-    tickets = flow.drafted.select(F.col("draft_id").alias("ticket_id"), F.col("query").alias("text"), "retrieved", "draft")
+    """The triage rows by way of a stream of arriving tickets, some of which come without a draft."""
+    tickets = flow.drafted.select(
+        F.col("draft_id").alias("ticket_id"), F.col("query").alias("text"), "retrieved",
+        F.when(F.col("draft_id") % 7 != 3, F.col("draft")).alias("draft"),
+    )
     folder = scratch_path(flow.spark, "stream-tickets")
     write_table(tickets, folder)
     arriving = flow.spark.readStream.schema(tickets.schema).parquet(folder)

@@ -35,6 +35,11 @@ def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
+    """Write the partitions that ``df`` has rows of; all others at ``path`` stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON object, from a one-row report."""
     report.coalesce(1).write.mode("overwrite").json(path)
