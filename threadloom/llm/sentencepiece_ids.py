@@ -26,8 +26,10 @@ UNIGRAM, MERGES = 1, 2
 # The score of an unknown character lies this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 # Stretches between certain boundaries whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 REMEMBERED_LENGTH = 48
+# Stretches up to this length are one window; the search streams over longer ones.
+WINDOW = 256
 
 
 class PieceModel:
@@ -69,6 +71,9 @@ class PieceModel:
         # Beginnings of pieces: an arc that is none of them goes no further.
         self.beginnings = {p[:i] for p in self.scores if p not in self._hidden for i in range(1, len(p) + 1)}
         self.lowest = min(self.scores.values(), default=0.0)
+        # The id of a piece, -1 for what only begins one.
+        self.arcs = {b: self.ids[b] if b in self.scores and b not in self._hidden else -1 for b in self.beginnings}
+        self._pairs: dict[int, bool] = {}
         # Ids as 32-bit words, by stretch: those met lately, and those met before.
         self.memory: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
@@ -148,14 +153,76 @@ class PieceModel:
         """Ids of a stretch: all paths meet at both of its ends, so they hold in every text."""
         found = self.memory.get(stretch) or self.earlier.get(stretch)
         if found is None:
-            search = _Search(self)
-            found = np.array(search.read(stretch) + search.finish(), np.int32).tobytes()
+            if len(stretch) <= WINDOW:
+                ids = self._within(stretch)
+            else:
+                search = _Search(self)
+                ids = search.read(stretch) + search.finish()
+            found = np.array(ids, np.int32).tobytes()
         if len(stretch) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
                 self.earlier, self.memory = self.memory, {}
             self.memory[stretch] = found
         return found
 
+    def _within(self, stretch: str) -> list[int]:
+        """The search over a stretch that fits in one window: the same arcs from each place on, ids at its end.
+
+        Places are gone through in order, so the paths to a place are all known when arcs leave it,
+        and of the arcs that arrive at a place the longest comes first.
+        """
+        n, get, longest, merges = len(stretch), self.arcs.get, self.longest, self.kind == MERGES
+        pairs, count, pieces, scores = self._pairs, len(self.pieces), self.pieces, self.scores
+        # By place: the piece that ends there (-1: an unknown character), where it begins, and the score of the path.
+        ends, starts, sums = [-2] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        for start in range(n):
+            left = ends[start]
+            if left == -2 and start:
+                continue
+            base = sums[start]
+            for end in range(start + 1, min(n, start + longest) + 1):
+                arc = get(stretch[start:end])
+                if arc is None:
+                    break
+                if arc < 0:
+                    continue
+                if merges:
+                    if ends[end] != -2:
+                        continue
+                    if left >= 0:
+                        fits = pairs.get(left * count + arc)
+                        if fits is None:
+                            if len(pairs) > 2 * REMEMBERED:
+                                pairs.clear()
+                            fits = pairs[left * count + arc] = self.apart(pieces[left], pieces[arc])
+                        if not fits:
+                            continue
+                    ends[end], starts[end] = arc, start
+                else:
+                    score = base + scores[pieces[arc]]
+                    if ends[end] == -2 or score > sums[end]:
+                        ends[end], starts[end], sums[end] = arc, start, score
+            if stretch[start] not in scores:
+                # No piece for the character itself: an unknown one may stand here.
+                score = base + self.lowest - UNKNOWN_PENALTY
+                if ends[start + 1] == -2 or not merges and score > sums[start + 1]:
+                    ends[start + 1], starts[start + 1], sums[start + 1] = -1, start, score
+        path, at = [], n
+        while at > 0:
+            path.append((ends[at], stretch[starts[at] : at]))
+            at = starts[at]
+        ids: list[int] = []
+        after_unknown = False
+        for arc, char in reversed(path):
+            if arc >= 0:
+                ids.append(arc)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
+            elif not after_unknown:
+                ids.append(self.unknown)
+            after_unknown = arc < 0
+        return ids
+
     @cached_property
     def _spelled(self) -> list[bytes]:
         """What each id stands for, in UTF-8."""
