@@ -126,6 +126,34 @@ def test_archives_round_trip(spark, pages, size):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def test_ranges_go_to_many_tasks(spark, pages, tmp_path):
+    files = warc.write_archives(pages.repartition(3), warc.qualified(spark, str(tmp_path / "warc")))
+    read = warc.read_archives(spark, files, str(tmp_path), 1_000)
+    ranges = sum(-(-f.bytes // 1_000) for f in files.collect())
+    slots = spark.sparkContext.defaultParallelism
+    # The long page alone is 130 ranges.
+    assert ranges > 4 * slots and read.rdd.getNumPartitions() == max(4 * slots, -(-ranges // 16))
+    assert read.count() == pages.count()
+
+
+@pytest.mark.parametrize(("start", "stop"), [(0, 1 << 30), (50_000, 100_000)])
+def test_bytes_are_read_once(start, stop):
+    rng = random.Random(2)
+    data = b"".join(warc.record(i, f"u{i}", "".join(rng.choices("abcdef ", k=rng.randrange(900))).encode(), None) for i in range(500))
+
+    class Source:
+        read, size = 0, staticmethod(lambda: len(data))
+
+        def read_at(self, n, offset):
+            self.read += n
+            return data[offset : offset + n]
+
+    source = Source()
+    offsets = [at for at, _ in warc.MemberReader(source, start, stop)]
+    assert len(offsets) == 500 if start == 0 else 100 < len(offsets) < 400
+    assert source.read <= min(len(data), stop) - start + 2 * warc._READ
+
+
 def test_small_payloads_are_stored_each(pages):
     kinds = warc.round_trip(pages, least=1_000_000).groupBy("record_type").count().collect()
     assert [(k.record_type, k["count"]) for k in kinds] == [("response", pages.count())]

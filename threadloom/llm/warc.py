@@ -31,7 +31,11 @@ RANGE = 8 << 20
 LEAST = 0
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+# Bytes read at a time, and handed to the unpacker at a time.
 _READ = 256 << 10
+_STEP = 8 << 10
+# Ranges that a task reads, where there are many more than slots.
+_TASK_RANGES = 16
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -43,6 +47,12 @@ def storage(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as tasks can open it: without a scheme, Spark takes it on the default file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -101,9 +111,19 @@ class MemberReader:
     def __init__(self, source: pa.NativeFile, start: int, stop: int):
         self.source, self.start, self.stop = source, start, stop
         self.size = source.size()
+        # What was read last, and where it lies in the file.
+        self.buffer, self.base = b"", 0
 
     def _at(self, offset: int, n: int) -> bytes:
-        return self.source.read_at(max(0, min(n, self.size - offset)), offset)
+        """Bytes of the file from the buffer, which moves on when they go past its end."""
+        n = min(n, self.size - offset)
+        if n <= 0:
+            return b""
+        if offset < self.base or offset + n > self.base + len(self.buffer):
+            kept = self.buffer[offset - self.base :] if self.base <= offset < self.base + len(self.buffer) else b""
+            more = min(max(n - len(kept), _READ), self.size - offset - len(kept))
+            self.buffer, self.base = kept + self.source.read_at(more, offset + len(kept)), offset
+        return self.buffer[offset - self.base : offset - self.base + n]
 
     def _begins(self, offset: int) -> bool:
         """A member with a WARC version line begins here."""
@@ -119,7 +139,7 @@ class MemberReader:
         """Unpacked content of the member and the offset of its end; None if it is broken."""
         unpacker, parts, at = zlib.decompressobj(31), [], offset
         while not unpacker.eof:
-            raw = self._at(at, _READ)
+            raw = self._at(at, _STEP)
             if not raw:
                 return None
             try:
@@ -209,11 +229,14 @@ def write_archives(
 
 def read_archives(spark: SparkSession, files: DataFrame, folder: str, size: int = RANGE) -> DataFrame:
     """Records of the archives: page_id, url, payload (NULL in a revisit), payload_bytes,
-    payload_digest, record_type, refers_to. Ranges of ``size`` bytes are dealt to tasks."""
+    payload_digest, record_type, refers_to. Ranges of ``size`` bytes are dealt to tasks,
+    a few ranges each: a given number of partitions is not merged by adaptive execution."""
     ranges = files.select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(size))).alias("start")
     )
-    dealt = ranges.repartition(F.xxhash64("path", "start"))
+    count = ranges.count()
+    tasks = max(min(count, 4 * spark.sparkContext.defaultParallelism), -(-count // _TASK_RANGES), 1)
+    dealt = ranges.repartition(tasks)
 
     def records(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = storage(folder)
@@ -271,5 +294,5 @@ def round_trip(pages: DataFrame, least: int = LEAST, size: int = RANGE) -> DataF
     tables give no archive and no rows.
     """
     spark = pages.sparkSession
-    folder = scratch_path(spark, "warc")
+    folder = qualified(spark, scratch_path(spark, "warc"))
     return read_archives(spark, write_archives(pages, folder, least=least), folder, size)
