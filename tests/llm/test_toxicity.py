@@ -68,7 +68,8 @@ def brute(docs, labels):
         # Chi-square of the table of four.
         a, b, c, d = of_ones[t], k - of_ones[t], ones - of_ones[t], n - ones - k + of_ones[t]
         rest = (a + b) * (c + d) * (a + c) * (b + d)
-        if rest and math.erfc(math.sqrt(n * (a * d - b * c) ** 2 / rest / 2)) * len(have) < 0.01:
+        phi = (a * d - b * c) ** 2 / rest if rest else 0.0
+        if phi >= 0.01 and math.erfc(math.sqrt(n * phi / 2)) * len(have) < 0.01:
             terms.append(t)
     df = Counter(w for _, t in docs for w in words(t).keys() & set(terms))
 

@@ -36,6 +36,9 @@ TERMS = 20_000
 # a bearing on the label is taken, over all terms together.
 LEAST_EXAMPLES = 3
 CHANCE = 0.01
+# How strongly a term goes with the label, at least: the phi coefficient, where 0.1 is by
+# convention a small effect. Chance alone would let ever weaker terms in as examples get more.
+EFFECT = 0.1
 NEIGHBOURS = 11
 BLOCK = 64
 # Added to a distance, so that equal texts do not outvote all others.
@@ -216,7 +219,7 @@ def _term_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def telling_terms(examples: DataFrame, sizes: dict[int, int]) -> list[str]:
-    """Terms whose occurrence depends on the label by chi-square, the strongest ``TERMS`` at most, sorted."""
+    """Terms that go with the label, beyond chance by chi-square and by at least ``EFFECT``; the strongest ``TERMS`` at most, sorted."""
     ones, rows = sizes[1], sizes[0] + sizes[1]
     counted = materialize(
         examples.select(F.explode("terms").alias("term"), "label")
@@ -229,7 +232,7 @@ def telling_terms(examples: DataFrame, sizes: dict[int, int]) -> list[str]:
     expected = n * (ones / max(1, rows))
     spread = expected * (1 - ones / max(1, rows)) * (1 - n / max(1, rows))
     strong = counted.withColumn("chi", F.when(spread > 0, (a - expected) * (a - expected) / spread).otherwise(F.lit(0.0))).where(
-        F.col("chi") > least_chi_square(counted.count())
+        (F.col("chi") > least_chi_square(counted.count())) & (F.col("chi") >= EFFECT * EFFECT * rows)
     )
     return sorted(r["term"] for r in strong.orderBy(F.col("chi").desc(), "term").limit(TERMS).collect())
 
