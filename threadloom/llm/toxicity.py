@@ -259,6 +259,20 @@ def term_hits(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFra
     return rows.mapInArrow(hits, "doc_id long, held_out boolean, terms array<int>, counts array<int>")
 
 
+def _frequencies(terms: int):
+    """How many rows have each term, a row for each term and task."""
+
+    def frequencies(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(terms, np.int64)
+        for frame in frames:
+            # A row has a term once.
+            counts += np.bincount(frame["terms"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=terms)
+        known = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(counts[known], pa.int64())], ["term", "n"])
+
+    return frequencies
+
+
 def _numbers(column: pa.Array, kind) -> list[np.ndarray]:
     return [np.array(row, kind) for row in column.to_pylist()]
 
@@ -267,8 +281,8 @@ def train(spark: SparkSession, examples: DataFrame, sizes: dict[int, int], terms
     """Index the examples and fit the steps. ``hits`` is the table of all documents, of ``rows`` rows."""
     df = np.zeros(len(terms))
     # At most TERMS rows.
-    for row in hits.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[row["term"]] = row["count"]
+    for row in hits.select("terms").mapInArrow(_frequencies(len(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[row["term"]] = row["n"]
     places = {term: at for at, term in enumerate(terms)}
 
     def known(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
