@@ -4,11 +4,17 @@ Paragraphs give points for their length and commas to the elements above them,
 less with each level; points are discounted by the share of text inside links.
 The best container and those of its siblings that read like text are kept.
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are taken out of the tree before.
+are taken out of the tree before; so is a headline inside a ``header`` of the
+article. A class, id or role that names such a thing marks an element; a marked
+element stays where it holds nearly all the text that reads like an article,
+and its name is passed over where it only tells of a thing that is (not) there.
+Time grows with the length of a page, however deep its elements are nested.
 """
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -58,11 +64,23 @@ _MARKS = frozenset(
     "footer foot contentinfo header masthead topbar toolbar comment comments disqus respond replies reply social "
     "share sharing related recommended recommendations pagination pager skip search dialog hidden".split()
 )
+# Marks of what readers wrote, which may be longer than the article.
+_READERS = frozenset("comment comments disqus respond replies reply".split())
+# A name with one of these words tells of a thing that is there or is not: has-sidebar, ad-free, comments-open.
+_TELLING = frozenset("no not non without with has free enabled disabled by on off open closed".split())
 _PROTECTED = frozenset("html body main".split())
+# Elements whose links alone are no text of the article.
+_LISTS = frozenset("ul ol menu dl table div section".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 # A sibling stays with this share of the best score, or as a paragraph of this length.
 SIBLING_SHARE, SIBLING_LENGTH, LINK_LIMIT = 0.2, 80, 0.25
+# A marked element stays with this many characters, if all unmarked paragraphs have less than this share of them.
+STAYS_LENGTH, STAYS_SHARE = 400, 0.25
+# Inside a named container, lists with this share of text in two links or more are left out.
+LIST_LINKS = 0.9
+# Elements above a paragraph that get points of it.
+LEVELS = 32
 
 
 @dataclass
@@ -71,84 +89,95 @@ class Node:
     parent: "Node | None" = None
     children: list = field(default_factory=list)
     drop: bool = False
+    marks: frozenset = frozenset()
     score: float = 0.0
     scored: bool = False
     text: int = 0
     linked: int = 0
+    links: int = 0
+    commas: int = 0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _unwanted(tag: str, attrs: str) -> tuple[bool, frozenset]:
+    """Whether an element goes whatever it holds, and the marks in its names."""
     if tag in _DROP:
-        return True
+        return True, frozenset()
+    marks: set[str] = set()
     if not attrs or tag in _PROTECTED:
-        return False
+        return False, frozenset()
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, frozenset()
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return True, frozenset()
         if name in ("class", "id", "role"):
-            words = _SPLIT.split(_CAMEL.sub("-", value).lower())
+            names = value.split()
             if tag == "article":
                 # An article may be named after what it has; a comment is one.
-                words = words[:1]
-            if not _MARKS.isdisjoint(words):
-                return True
-    return False
+                names = names[:1]
+            for part in names:
+                words = _SPLIT.split(_CAMEL.sub("-", part).lower())
+                if _TELLING.isdisjoint(words):
+                    marks.update(_MARKS.intersection(words[:1] if tag == "article" else words))
+    return False, frozenset(marks)
 
 
 def parse(source: str) -> Node:
     """Element tree of a page; missing and wrong end tags are put up with."""
     root = Node("html")
-    at, here, end = 0, root, len(source)
+    # Open elements, the places of those of each tag, and of those that are not inline.
+    opened, places, blocks = [root], defaultdict(list, html=[0]), [0]
+
+    def end_from(place: int) -> None:
+        while len(opened) > place:
+            places[opened.pop().tag].pop()
+        while blocks[-1] >= place:
+            blocks.pop()
+
+    at, end = 0, len(source)
     while at < end:
         match = _TOKEN.search(source, at)
         if match is None:
-            here.children.append(_CUT_OFF.sub("", source[at:]))
+            opened[-1].children.append(_CUT_OFF.sub("", source[at:]))
             break
         if match.start() > at:
-            here.children.append(source[at : match.start()])
+            opened[-1].children.append(source[at : match.start()])
         at = match.end()
         if match["cdata"] is not None:
-            here.children.append(html.escape(match["cdata"]))
+            opened[-1].children.append(html.escape(match["cdata"]))
         tag = match["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if match["close"]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if places[tag] and tag != "html":
+                end_from(places[tag][-1])
             continue
         if tag in _RAW:
             finish = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = finish.end() if finish else end
             continue
-        if tag in ("html", "body") and any(tag == n.tag for n in _up(here)):
+        if tag in ("html", "body") and places[tag]:
             continue
-        if tag in _NOT_INLINE:
+        if tag in _NOT_INLINE and opened[blocks[-1]].tag == "p":
             # A block ends an open paragraph.
-            node = here
-            while node is not None and node.tag not in _NOT_INLINE:
-                node = node.parent
-            if node is not None and node.tag == "p" and node.parent is not None:
-                here = node.parent
+            end_from(blocks[-1])
         if tag in _ENDS:
             ended, scope = _ENDS[tag]
-            node, found = here, None
-            while node is not None and node.tag not in scope:
-                if node.tag in ended:
-                    found = node
-                node = node.parent
-            if found is not None and found.parent is not None:
-                here = found.parent
-        new = Node(tag, here, drop=_unwanted(tag, match["attrs"]))
-        here.children.append(new)
+            inner = max((places[t][-1] for t in scope if places[t]), default=-1)
+            # The outermost of the kind inside the innermost scope.
+            found = [p[i] for p in map(places.__getitem__, ended) if (i := bisect_right(p, inner)) < len(p)]
+            if found:
+                end_from(min(found))
+        drop, marks = _unwanted(tag, match["attrs"])
+        new = Node(tag, opened[-1], drop=drop, marks=marks)
+        opened[-1].children.append(new)
         if tag not in _VOID and not match["attrs"].rstrip().endswith("/") or tag in _BLOCK and tag != "hr":
-            here = new
+            if tag in _NOT_INLINE:
+                blocks.append(len(opened))
+            places[tag].append(len(opened))
+            opened.append(new)
     return root
 
 
@@ -168,35 +197,76 @@ def _walk(root: Node):
 
 
 def _measure(order: list[Node]) -> None:
-    """Lengths of text and of linked text below every node."""
+    """Lengths of text and of linked text, links and commas below every node."""
     for node in order:
-        node.text = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        node.linked = 0
+        strings = [c for c in node.children if isinstance(c, str)]
+        node.text = sum(len(" ".join(c.split())) for c in strings)
+        node.commas = sum(c.count(",") for c in strings)
+        node.linked = node.links = 0
     for node in reversed(order):
         if node.tag == "a":
-            node.linked = node.text
+            node.linked, node.links = node.text, 1
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.linked += node.linked
+            node.parent.links += node.links
+            node.parent.commas += node.commas
+
+
+def _drop_marked(order: list[Node]) -> None:
+    """Drop marked elements, but for those that hold what reads like the article.
+
+    One stays if it has ``STAYS_LENGTH`` characters or a headline, article or main of its
+    own, few links, and if the paragraphs outside all marked elements are short beside it;
+    one that is named after readers' comments only with a headline or main.
+    """
+    if not any(node.marks for node in order):
+        return
+    _measure(order)
+    outside, below, titled = 0, set(), {}
+    for node in order:
+        if node.marks or id(node.parent) in below:
+            below.add(id(node))
+        elif _is_paragraph(node) and id(node.parent) not in below:
+            outside += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+    for node in reversed(order):
+        held = titled.get(id(node), 0)
+        own = 2 if node.tag in ("h1", "main") else 1 if node.tag == "article" and not node.marks else 0
+        if node.parent is not None:
+            above = id(node.parent)
+            titled[above] = max(titled.get(above, 0), held, own)
+    for node in order:
+        if node.marks:
+            held = titled.get(id(node), 0)
+            if node.tag == "article":
+                held = max(held, 1)
+            long = node.text >= STAYS_LENGTH or held
+            reads = held == 2 if node.marks & _READERS else long
+            stays = reads and _links(node) < LINK_LIMIT and outside < STAYS_SHARE * node.text
+            node.drop = not stays
 
 
 def _links(node: Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
 
+def _is_paragraph(node: Node) -> bool:
+    return node.tag in _PARAGRAPH or node.tag == "div" and not any(
+        isinstance(c, Node) and c.tag in _BLOCK for c in node.children
+    )
+
+
 def _best(order: list[Node]) -> Node | None:
     """The container with most points."""
     for node in order:
-        block = node.tag in _PARAGRAPH or node.tag == "div" and not any(
-            isinstance(c, Node) and c.tag in _BLOCK for c in node.children
-        )
-        if not block or not node.text or node.parent is None:
+        if not node.text or node.parent is None or not _is_paragraph(node):
             continue
-        commas = sum(c.count(",") for n in _walk(node) for c in n.children if isinstance(c, str))
-        points = (1.0 + commas + min(node.text / 100.0, 3.0)) * (1.0 - _links(node))
-        for level, above in enumerate(_up(node.parent)):
+        points = (1.0 + node.commas + min(node.text / 100.0, 3.0)) * (1.0 - _links(node))
+        above, level = node.parent, 0
+        while above is not None and level < LEVELS:
             above.score += points / (1.0, 2.0)[level] if level < 2 else points / (3.0 * level)
             above.scored = True
+            above, level = above.parent, level + 1
     best = None
     for node in order:
         if node.scored and (best is None or node.score * (1 - _links(node)) > best.score * (1 - _links(best))):
@@ -239,6 +309,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
+    _drop_marked(list(_walk(root)))
     order = list(_walk(root))
     _measure(order)
     best = _best(order)
@@ -246,6 +317,11 @@ def main_text(source: str | None) -> str:
         # No paragraph at all: whatever text is left.
         best = next((n for n in order if n.tag in ("article", "main")), root)
     named = next((n for n in _up(best) if n.tag in ("article", "main")), None)
+    if named is not None and named is not best:
+        # Link density counts inside a named container too: its lists of links go.
+        for node in _walk(named):
+            if node.tag in _LISTS and node.links >= 2 and _links(node) >= LIST_LINKS:
+                node.drop = True
     best = named or best
     kept = [best]
     if best.parent is not None:
