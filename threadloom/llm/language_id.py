@@ -10,11 +10,12 @@ applied by looking pairs up in tables; results are those of the convolution.
 """
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import fold
@@ -24,9 +25,10 @@ WINDOW = 256
 WIDTHS = (2, 4, 6)
 FILTERS = 16
 SIZE = 8
-# Labelled documents per language that the network learns from, about, and at most in all,
-# and windows of each: bounds of what reaches the driver.
+# Labelled documents of a language that the network learns from, at most, and of all languages
+# together, and windows drawn from each: bounds of what reaches the driver.
 SAMPLE, MOST, WINDOWS = 1_500, 12_000, 2
+DRAWS = 1 << 40
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BATCH = 64
@@ -173,22 +175,30 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet:
-    """Fit on windows of a bounded sample: about ``SAMPLE`` documents of each language, by hash of
-    their id, outside the held-out fold. Rare languages come in whole. Rows without text, letters or
-    language have no part; without any, the network knows no language."""
+    """Fit on windows of a bounded sample: of each language the first documents by hash of their
+    id, outside the held-out fold, as many as ``SAMPLE`` and an even share of ``MOST`` allow, and one
+    at least. Languages with fewer come in whole; every language is learned, and all weigh the same. Of each document
+    ``WINDOWS`` windows are taken, from any part of it. Rows without text, letters or language have
+    no part; without any, the network knows no language."""
+    letters = F.col(f"`{text}`").rlike(r"\p{L}")
     usable = docs.where(
-        F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (fold(f"`{key}`", FOLDS) != HELD_OUT)
+        F.col(f"`{lang}`").isNotNull() & letters & F.col(f"`{text}`").isNotNull() & (fold(f"`{key}`", FOLDS) != HELD_OUT)
     ).select(
-        F.pmod(F.xxhash64(F.col(f"`{key}`").cast("long")), F.lit(1_000_000)).alias("draw"),
+        F.pmod(F.xxhash64(F.col(f"`{key}`").cast("long")), F.lit(DRAWS)).alias("draw"),
         F.col(f"`{text}`").alias("text"),
         F.col(f"`{lang}`").cast("string").alias("lang"),
     )
-    # Languages are few; the most frequent 256 are learned.
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    # One row a language, as many as the network has outputs.
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.min("draw").alias("first")).collect()
     if not sizes:
         return ByteNet([])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE / r["count"]))))
-    sample = usable.where(F.col("draw") < 1_000_000 * F.coalesce(F.get(F.array(share[F.col("lang")]), F.lit(0)), F.lit(0.0)))
+    most = max(1, min(SAMPLE, MOST // len(sizes)))
+    # Cut by draw, with room to spare and never below the first, so that few texts are ranked.
+    bounds = [(r["lang"], max(r["first"], int(min(1.0, (2 * most + 20) / r["rows"]) * DRAWS))) for r in sizes]
+    bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    near = usable.join(F.broadcast(bound), "lang").where(F.col("draw") <= F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= most)
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -196,17 +206,24 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             for value, name in zip(frame["text"], frame["lang"], strict=True):
                 if has_letter(value.as_py()):
                     rows = windows_of(value.as_py())
-                    spots = np.unique(np.linspace(0, len(rows) - 1, WINDOWS).astype(int))
+                    rng = np.random.default_rng(zlib.crc32(rows.tobytes()))
+                    spots = rng.permutation(len(rows))[:WINDOWS]
                     made += [rows[i].tobytes() for i in spots]
                     langs += [name.as_py()] * len(spots)
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(langs, pa.string())], ["row", "lang"])
 
-    rows = sample.orderBy("draw", "lang", "text").limit(MOST).mapInArrow(cut, "row binary, lang string").collect()
+    # At most WINDOWS rows for each of MOST documents, or of one a language.
+    rows = sample.select("text", "lang").mapInArrow(cut, "row binary, lang string").collect()
     if not rows:
         return ByteNet([])
-    languages = sorted({r["lang"] for r in rows})
+    rows.sort()
+    languages, labels = np.unique([r["lang"] for r in rows], return_inverse=True)
     table = np.stack([np.frombuffer(bytes(r["row"]), np.uint8) for r in rows])
-    return ByteNet(languages).fit(table, np.array([languages.index(r["lang"]) for r in rows]))
+    # Windows of rarer languages come up again, as often as those of the largest.
+    counts = np.bincount(labels)
+    spots = [np.resize(np.flatnonzero(labels == i), counts.max()) for i in range(len(counts))]
+    order = np.concatenate(spots)
+    return ByteNet(languages.tolist()).fit(table[order], labels[order])
 
 
 def language_udf(model: ByteNet):
