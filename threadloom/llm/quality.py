@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import fold
 
 FOLDS, HELD_OUT = 3, 1
-# Labelled documents that the model is fitted on, at most, and the longest text among
-# them in characters: bounds of what reaches the driver.
+# Labelled documents that the model is fitted on, at most, and lines of each: bounds of what
+# reaches the driver. A text with more lines gives stretches of them from all its length.
 SAMPLE = 3_000
-SAMPLE_CHARS = 40_000
+LINES, STRETCH = 1_024, 64
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGITS = bytes(range(48, 58))
@@ -68,6 +68,16 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return features, np.array(sizes, np.float64)
 
 
+def drawn_lines(features: np.ndarray, lines: int = LINES, stretch: int = STRETCH) -> np.ndarray:
+    """All lines of a text, or of a longer one stretches of neighbouring lines, evenly
+    spaced from its first line to its last. All lines of a text bear one label, so the seams
+    between stretches are steps like any other."""
+    if len(features) <= lines:
+        return features
+    starts = np.linspace(0, len(features) - stretch, lines // stretch).astype(int)
+    return features[(starts[:, None] + np.arange(stretch)).ravel()]
+
+
 class LineField:
     """Two-state chain. ``weights`` give the score of good over bad for a line;
     ``moves`` [2, 2] the scores of (state, next state)."""
@@ -174,8 +184,8 @@ def _gradient(state, x, inside, y, weight):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``text`` and ``quality`` of at most ``SAMPLE`` labelled documents outside the held-out fold, the
-    first by hash of their id. A document with several labels takes the lowest; one without has no part."""
+    """``text`` and ``quality`` of at most ``SAMPLE`` labelled documents outside the held-out fold, of any
+    length, the first by hash of their id. A document with several labels takes the lowest; one without has no part."""
     marked = (
         labels.where(F.col("quality").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
         .groupBy(F.col("doc_id").cast("long").alias("label_id"))
@@ -186,9 +196,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     # At most SAMPLE rows of two numbers.
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(marked), F.col("id") == F.col("label_id")
-    ).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).groupBy("id").agg(
-        F.min("text").alias("text"), F.min("quality").alias("quality")
-    ).select("id", "text", "quality")
+    ).groupBy("id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).select("id", "text", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> LineField:
@@ -196,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def features(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            made = [line_features(t.as_py())[0].tobytes() for t in frame["text"]]
+            made = [drawn_lines(line_features(t.as_py())[0]).tobytes() for t in frame["text"]]
             yield pa.RecordBatch.from_arrays([frame["id"], frame["quality"], pa.array(made, pa.binary())], ["id", "quality", "lines"])
 
     rows = training_sample(docs, labels, key, text).mapInArrow(features, "id long, quality int, lines binary").collect()
