@@ -5,8 +5,10 @@ With ``radius`` 3 one of four 16-bit blocks is equal, and one of four 12-bit
 blocks of the other 48 bits too, so every linked pair meets under one of 16 keys
 of 28 bits. Distinct fingerprints under one key are compared in bit slices:
 64 bit planes stand vertically, one machine word holds one bit of 64
-fingerprints, and carry-save counters add up 64 distances at a time. Exact
-copies are one fingerprint from the start.
+fingerprints, and carry-save counters add up 64 distances at a time. Such a block
+of 64 is abandoned once all its distances are past the radius. Each pair is met
+once, never a fingerprint with itself, or no block could be given up; planes that
+are alike in a whole group are passed over. Exact copies are one fingerprint from the start.
 """
 
 from collections.abc import Iterator
@@ -28,8 +30,8 @@ RADIUS = 3
 SEED = 42
 # Fingerprints of one key in one comparison; a key with more is cut into tiles.
 TILE = 4_096
-# Rounds of planes between looks whether a block is past the radius.
-_LOOK = 8
+# Planes that are added up before the first look whether blocks are past the radius, and between looks.
+_FIRST_LOOK, _LOOK = 16, 8
 _CHUNK = 65_536
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -71,43 +73,85 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     """Bit planes [64, words]: bit i of word w is the plane's bit of value 64 w + i."""
     padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
     padded[: len(values)] = values
-    rows = padded.reshape(-1, 64)
-    planes = np.zeros((BITS, len(rows)), np.uint64)
-    for i in range(64):
-        for k in range(BITS):
-            planes[k] |= ((rows[:, i] >> np.uint64(k)) & _ONE) << np.uint64(i)
-    return planes
+    return _turned(padded.reshape(-1, 64))
 
 
-def near_masks(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """Planes [64, words] of the values [words, 64]."""
+    bits = np.unpackbits(rows.astype("<u8").view(np.uint8).reshape(len(rows), 64, 8), axis=2, bitorder="little")
+    packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view("<u8")[:, :, 0].astype(np.uint64)
+
+
+def near_masks(
+    queries: np.ndarray, planes: np.ndarray, radius: int, outside: np.ndarray | int = 0, order=range(BITS)
+) -> np.ndarray:
     """Masks with a bit set where planes and query differ in at most ``radius`` bits.
 
     ``planes`` is [64, words]; ``queries`` [n, 1] for n queries against all
-    words, or [words] for one query per word. Counters of
-    bit_length(radius) bits are kept per position, with an overflow bit that
-    stays set; a block whose every position is past the radius is abandoned.
+    words, or [words] for one query per word. Bits of ``outside`` are not looked
+    at; ``order`` names the planes that can differ.
+    """
+    return near_blocks(queries, planes, radius, outside, order)[0]
+
+
+def near_blocks(queries, planes, radius, outside=0, order=range(BITS)) -> tuple[np.ndarray, int]:
+    """The masks of ``near_masks`` and the number of steps, one a block and plane.
+
+    Counters of bit_length(radius) bits are kept per position, with an overflow bit
+    that stays set. From the first look on, blocks whose every position is past the
+    radius or outside are left behind, and only the others go on.
     """
     levels = max(1, int(radius).bit_length())
     shape = np.broadcast_shapes(queries.shape, planes[0].shape)
+    masks, order = np.zeros(shape, np.uint64), list(order)
     counter = [np.zeros(shape, np.uint64) for _ in range(levels)]
-    past = np.zeros(shape, np.uint64)
-    for k in range(BITS):
+    past = np.array(np.broadcast_to(np.asarray(outside, np.uint64), shape))
+    # Blocks that go on, as places in the masks; all of them at first, not listed.
+    live, words, steps = None, None, 0
+    for turn, k in enumerate(order):
+        if turn >= _FIRST_LOOK and (turn - _FIRST_LOOK) % _LOOK == 0:
+            left = np.flatnonzero(past.ravel() != _ALL)
+            if not len(left):
+                return masks, steps
+            if live is None or len(left) < len(live):
+                if live is None:
+                    words = np.broadcast_to(np.arange(planes.shape[1]), shape).ravel()
+                    queries = np.broadcast_to(queries, shape).ravel()
+                live = left if live is None else live[left]
+                counter = [c.ravel()[left] for c in counter]
+                words, queries, past = words[left], queries[left], past.ravel()[left]
+        plane = planes[k] if live is None else planes[k][words]
         # All ones where the query has the bit, so that xor marks differences.
-        carry = planes[k] ^ (np.uint64(0) - ((queries >> np.uint64(k)) & _ONE))
+        carry = plane ^ (np.uint64(0) - ((queries >> np.uint64(k)) & _ONE))
         for level in range(levels):
             counter[level], carry = counter[level] ^ carry, counter[level] & carry
         past |= carry
-        if k % _LOOK == _LOOK - 1 and (past == _ALL).all():
-            return np.zeros(shape, np.uint64)
+        steps += past.size
     # Counters over the radius that have not overflowed: compare bit by bit.
-    above, equal = np.zeros(shape, np.uint64), np.full(shape, _ALL)
+    above, equal = np.zeros_like(past), np.full_like(past, _ALL)
     for level in reversed(range(levels)):
         if radius >> level & 1:
             equal &= counter[level]
         else:
             above |= equal & counter[level]
             equal &= ~counter[level]
-    return ~(past | above)
+    masks.ravel()[slice(None) if live is None else live] = (~(past | above)).ravel()
+    return masks, steps
+
+
+def _mirrored(rows: np.ndarray) -> np.ndarray:
+    """Bit rows [n, words] of pairs in one order, with those of the other order too."""
+    n, words = rows.shape
+    both = rows.copy()
+    for word in range(words):
+        # Rows 64 word.. as columns: their bits, turned over, belong to that word of all rows.
+        part = rows[64 * word : 64 * word + 64].astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little", count=n)
+        turned = np.zeros((n, 64), np.uint8)
+        turned[:, : len(part)] = bits.T
+        both[:, word] |= np.packbits(turned, axis=1, bitorder="little").view("<u8")[:, 0]
+    return both
 
 
 def _forest(neighbours, n: int) -> Iterator[tuple[int, int]]:
@@ -135,30 +179,44 @@ def _small_groups(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rad
     most = int(sizes[0])
     places = np.minimum(starts[:, None] + np.arange(most), len(values) - 1)
     inside = np.arange(most) < sizes[:, None]
-    table = np.where(inside, values[places], 0).astype(np.uint64)
-    planes = np.zeros((BITS, len(sizes)), np.uint64)
-    for i in range(most):
-        for k in range(BITS):
-            planes[k] |= ((table[:, i] >> np.uint64(k)) & _ONE) << np.uint64(i)
+    table = np.zeros((len(sizes), 64), np.uint64)
+    table[:, :most] = np.where(inside, values[places], 0)
+    planes = _turned(table)
+    # Positions after the end of a group, and those up to each query, are outside.
+    ends = np.array([~((1 << size) - 1) & (1 << 64) - 1 for size in sizes.tolist()], np.uint64)
     masks = np.zeros((len(sizes), most), np.uint64)
-    for i in range(most):
-        live = int((sizes > i).sum())
-        masks[:live, i] = near_masks(table[:live, i], planes[:, :live], radius)
-    for g, size in enumerate(sizes.tolist()):
+    for i in range(most - 1):
+        live = int((sizes > i + 1).sum())
+        outside = ends[:live] | np.uint64((1 << i + 1) - 1)
+        masks[:live, i] = near_masks(table[:live, i], planes[:, :live], radius, outside)
+    for g in np.flatnonzero(masks.any(axis=1)).tolist():
         row = masks[g].tolist()
-        for i, j in _forest(row.__getitem__, size):
+        for i in range(int(sizes[g])):
+            for j in range(i):
+                row[i] |= (row[j] >> i & 1) << j
+        for i, j in _forest(row.__getitem__, int(sizes[g])):
             yield values[starts[g] + i], values[starts[g] + j]
 
 
-def _large_group(values: np.ndarray, radius: int, block: int = 64):
-    """Links inside one group of any size up to two tiles: every row against
-    the planes of the whole group, a block of rows at a time."""
-    planes = planes_of(values)
-    rows: list[int] = []
-    for start in range(0, len(values), block):
-        masks = near_masks(values[start : start + block, None], planes, radius)
-        rows += [int.from_bytes(m.astype("<u8").tobytes(), "little") for m in masks]
-    for i, j in _forest(rows.__getitem__, len(values)):
+def _large_group(values: np.ndarray, radius: int):
+    """Links inside one group of any size up to two tiles: 64 rows at a time
+    against the planes from their own word on."""
+    n, planes = len(values), planes_of(values)
+    differ = int(np.bitwise_or.reduce(values) & ~np.bitwise_and.reduce(values))
+    order = [k for k in range(BITS) if differ >> k & 1]
+    rows = np.zeros((n, planes.shape[1]), np.uint64)
+    for word in range(planes.shape[1]):
+        queries = values[64 * word : 64 * word + 64]
+        outside = np.zeros((len(queries), planes.shape[1] - word), np.uint64)
+        if n % 64:
+            outside[:, -1] = _ALL << np.uint64(n % 64)
+        # A row itself and those before it.
+        outside[:, 0] |= _ALL >> np.arange(63, 63 - len(queries), -1, dtype=np.uint64)
+        rows[64 * word : 64 * word + 64, word:] = near_masks(queries[:, None], planes[:, word:], radius, outside, order)
+    if not rows.any():
+        return
+    masks = [int.from_bytes(m.astype("<u8").tobytes(), "little") for m in _mirrored(rows)]
+    for i, j in _forest(masks.__getitem__, n):
         yield values[i], values[j]
 
 
