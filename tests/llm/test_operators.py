@@ -5,10 +5,13 @@ import io
 import itertools
 import json
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from oracle_compare import connect, oracle_rows, spark_rows
 from pyspark.sql import functions as F
 
@@ -77,6 +80,85 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+_STORY = "".join(f"<p>Paragraph {i} of the story, with commas, and with words enough to read.</p>" for i in range(12))
+_STORY_TEXT = "\n".join(f"Paragraph {i} of the story, with commas, and with words enough to read." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["content", "content no-sidebar", "layout has-sidebar", "post with-comments", "alert-story", "side-by-side", "share-enabled post", "comments-open entry"],
+)
+@pytest.mark.parametrize("around", ["", "<nav><p>Home, news, more</p></nav><div class='menu'><a href=h>Home</a></div>"])
+def test_marks_cannot_empty_a_page(name, around):
+    readers = "<div id=comments>" + "<p>Great, great post, thanks a lot, I really liked it, all of it.</p>" * 40 + "</div>"
+    page = f"<body>{around}<div class='{name}'>{_STORY}</div>{readers}<div class=footer><p>Imprint, terms</p></div></body>"
+    assert html_text.main_text(page) == _STORY_TEXT
+    page = f"<body>{around}<article class='ad-free story'>{_STORY}</article>{readers}</body>"
+    assert html_text.main_text(page) == _STORY_TEXT
+
+
+def test_marked_elements_beside_the_article_go():
+    for name in ("alert", "sidebar", "cookie-notice", "related posts", "promo box", "newsletter"):
+        aside = f"<div class='{name}'><p>{'Not of the story, but beside it. ' * 14}</p></div>"
+        assert html_text.main_text(f"<div class=content>{_STORY}</div>{aside}") == _STORY_TEXT
+        assert html_text.main_text(f"<div class='{name}'><p>A short one, without a story.</p></div>") == ""
+
+
+def test_lists_of_links_inside_a_named_container():
+    page = f"<main><div>{_STORY}</div><ul><li><a href=1>one link</a><li><a href=2>two</a></ul><ol><li>First, do this.<li>Then <a href=3>that</a>.</ol></main>"
+    assert html_text.main_text(page) == _STORY_TEXT + "\nFirst, do this.\nThen that."
+
+
+def test_time_grows_with_length():
+    def seconds(page):
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    pages = ["<blockquote>a, b " * 10_000, "<div>a, b" * 10_000 + "</x>" * 10_000, "<b>" * 10_000 + "<p></p><li></li>" * 10_000]
+    assert all(seconds(page) < 3.0 for page in pages)
+
+
+def _brute_scores(root):
+    """Points of every container by the definition, each paragraph walked on its own."""
+    def inside(node):
+        yield node
+        for c in node.children:
+            if isinstance(c, html_text.Node) and not c.drop:
+                yield from inside(c)
+
+    def strings(node):
+        return [c for n in inside(node) for c in n.children if isinstance(c, str)]
+
+    def length(node):
+        return sum(len(" ".join(s.split())) for s in strings(node))
+
+    scores = {}
+    for node in inside(root):
+        holds_block = any(isinstance(c, html_text.Node) and c.tag in html_text._BLOCK for c in node.children)
+        if node.parent is None or not length(node) or not (node.tag in html_text._PARAGRAPH or node.tag == "div" and not holds_block):
+            continue
+        links = sum(length(n) for n in inside(node) if n.tag == "a") / length(node)
+        points = (1 + sum(s.count(",") for s in strings(node)) + min(length(node) / 100, 3)) * (1 - links)
+        above, level = node.parent, 0
+        while above is not None:
+            scores[id(above)] = scores.get(id(above), 0) + points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            above, level = above.parent, level + 1
+    return scores
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(40):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "<p>Some, text, here", "</p>", "<section>", "</section>", "<li>", "<span>", "</span>", "words, and more words " * 9, "<td>"]) for _ in range(80))
+        root = html_text.parse(page)
+        order = list(html_text._walk(root))
+        html_text._measure(order)
+        html_text._best(order)
+        expected = _brute_scores(root)
+        assert {id(n): pytest.approx(n.score) for n in order if n.scored} == expected
+
+
 def test_pages_with_broken_nesting_and_depth():
     deep = "<div>" * 3_000 + "<p>Deep, deep text.</p>"
     assert html_text.main_text(deep) == "Deep, deep text."
@@ -257,6 +339,28 @@ def test_language_of_odd_rows(docs, empty):
     assert language_id.predicted(empty, model).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(8)
+    # Languages of eight letters each; every second one is a hundred times rarer.
+    letters = {f"l{i:02d}": rng.sample("abcdefghijklmnopqrstuvwxyz", 8) for i in range(24)}
+
+    def text(lang):
+        return " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(20))
+
+    names = [lang for i, lang in enumerate(letters) for _ in range(2_000 if i % 2 else 20)]
+    rows = [(i, text(lang), lang) for i, lang in enumerate(names)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(letters)
+    right = [model.predict([text(lang)])[0][0] == lang for lang in letters for _ in range(10)]
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_language_of_repeated_ids(spark):
+    rows = [(1 if lang == "a" else i, f"{word} " * 9, lang) for i in range(6_000) for lang, word in (("a", "uvw"), ("b", "xyz"))]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["a", "b"]
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = [r for r in QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
@@ -315,6 +419,23 @@ def test_quality_of_odd_rows(spark, docs, empty):
     assert {r.score for r in quality.scored(docs, plain).collect()} == {0.5}
 
 
+def test_long_texts_teach(spark):
+    good, bad = "\n".join(["Plain words of a line that reads well."] * 2_000), "\n".join(["## $$ %% 12 12 12 !!"] * 3)
+    rows = [(i, good if i % 2 else bad, i % 2) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    # All good texts are long ones: without them there is one label only, and no evidence.
+    model = quality.train(table.drop("quality"), table.drop("text"))
+    assert model.quality(good) > 0.7 and model.quality(bad) < 0.3
+
+
+def test_drawn_lines():
+    features = np.arange(5_000.0).reshape(-1, 1)
+    drawn = quality.drawn_lines(features)[:, 0]
+    assert len(drawn) == quality.LINES and drawn[0] == 0 and drawn[-1] == 4_999
+    assert (np.diff(drawn) >= 1).all() and (np.diff(drawn) == 1).sum() == len(drawn) - len(drawn) // quality.STRETCH
+    assert quality.drawn_lines(features[:700]) is not features and len(quality.drawn_lines(features[:700])) == 700
+
+
 def test_quality_held_out(spark):
     truth = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in QUERIES["op5_quality_classifier"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in truth]
@@ -400,6 +521,33 @@ def test_bit_slices():
                 assert (row >> j & 1) == ((a ^ b).bit_count() <= radius)
 
 
+def test_blocks_past_the_radius_are_abandoned():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 2**64, 1_024, dtype=np.uint64)
+    values[700] = values[3] ^ np.uint64(5)
+    planes = simhash.planes_of(values)
+    # The first 64 against all words; of the first word only later positions.
+    outside = np.zeros((64, 16), np.uint64)
+    outside[:, 0] = [(2 << i) - 1 for i in range(64)]
+    masks, steps = simhash.near_blocks(values[:64, None], planes, 3, outside)
+    assert [(i, w, int(masks[i, w])) for i, w in zip(*np.nonzero(masks), strict=True)] == [(3, 10, 1 << 700 - 640)]
+    # All planes of all blocks would be 65,536 steps.
+    assert steps < 0.45 * masks.size * 64
+
+
+def test_fingerprint_by_definition():
+    rng = random.Random(6)
+    texts = [None, "", " \t", "One", "one TWO", "a b c", "a\u00a0b c\x0bd", "\u00c4\u00d6 x y z", "a b c d " * 300]
+    texts += [" ".join(rng.choices(["Aa", "b", "cc", "D", "\u00e9"], k=rng.randrange(1, 40))) for _ in range(60)]
+    for text in texts:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in re.split("[\x20\x09-\x0d]+", lowered) if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles] if words else []
+        expected = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) % 2**64 == expected
+
+
 @pytest.mark.parametrize("size", [3, 64, 65, 300])
 def test_links_span_their_groups(size):
     rng = random.Random(size)
