@@ -99,5 +99,17 @@ def test_stages_in_order(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{root}/refused").count() == 1
     assert [tuple(r) for r in spark.read.parquet(f"{root}/rejects").collect()] == [(4, "no draft")]
     assert "ticket_text" not in spark.read.parquet(f"{root}/audit").columns
+    came = spark.read.parquet(f"{root}/drafts").withColumn("drafted_at", F.expr("TIMESTAMP '2017-10-31 12:10:00'"))
+    came.write.parquet(f"{root}/late")
+    times = F.expr("TIMESTAMP '2017-10-31 12:00:00' + make_interval(0, 0, 0, 0, ticket_id - 1)")
+    waiting = asked.join(spark.read.parquet(f"{root}/retrieved"), "ticket_id", "left").withColumn("arrived_at", times)
+    waiting.write.parquet(f"{root}/waiting")
+    jobs.main([
+        "late_drafts", "--arriving", f"{root}/waiting", "--drafts-path", f"{root}/late", "--models", f"{root}/models",
+        "--ledger", f"{root}/ledger", "--triaged", f"{root}/late-rows", "--audit", f"{root}/late-audit",
+        "--refused", f"{root}/late-refused", "--checkpoint", f"{root}/late-state", "--sweep", "0",
+    ])
+    # The drafts are older than tickets 2 and 3; all but the first wait on.
+    assert [(r.ticket_id, r.draft_reply) for r in spark.read.parquet(f"{root}/late-rows").collect()] == [(1, "See [link removed]")]
     run("evaluate", root, responses="responses", encoder="encoder", scores="scores", report="r12", per_query="per_query")
     assert report(root, "r12")["num_queries"] == 2 and report(root, "r12")["link_redaction_rate"] == 1.0

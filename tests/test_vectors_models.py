@@ -170,6 +170,24 @@ def test_tfidf_vectors_and_stop_words(spark):
     assert all(r.features.norm(2) == pytest.approx(1.0) for r in out.collect())
 
 
+@pytest.fixture(params=["broadcast", "salted"])
+def either_join(request):
+    if request.param == "salted":
+        request.getfixturevalue("skewed")
+
+
+def test_terms_without_a_table_of_words(spark, either_join):
+    texts = ["Acme lamp acme broke", "the lamp", "acme", "", None, "zen the acme lamp"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    stops = spark.createDataFrame([("acme",), ("acme",), ("zen",), (None,), ("unmet",)], "word string")
+    found = {r.id: r.terms for r in terms.terms_without(df, "id", stops, stop_words=["the"]).collect()}
+    # Pairs go over the words that are left.
+    assert found == {0: ["lamp", "broke", "lamp broke"], 1: ["lamp"], 2: [], 3: [], 4: [], 5: ["lamp"]}
+    none = {r.id: r.terms for r in terms.terms_without(df, "id", stops.where("false")).collect()}
+    assert none == {r.id: r.terms for r in terms.with_terms(df).collect()}
+    assert terms.terms_without(df.where("false"), "id", stops).count() == 0
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "red fish"), (2, None), (3, "red fish")], "id bigint, text string")
     out = embed.embed(df, "text", embed.fit_hashed_tfidf(df, "text", 32)).orderBy("id").collect()

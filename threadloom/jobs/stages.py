@@ -1,5 +1,7 @@
 """One function per stage: read tables, write a table and a JSON report."""
 
+from datetime import timedelta
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,3 +243,29 @@ def run_triage_stream(
     )
     rows = spark.readStream.schema(read_table(spark, arriving).schema).parquet(arriving)
     arrivals.triage_stream(rows, triaged, audit, refused, checkpoint, loaded).awaitTermination()
+
+
+def run_late_drafts(
+    spark: SparkSession, arriving: str, drafts_path: str, models: str, ledger: str, triaged: str, audit: str, refused: str,
+    checkpoint: str, patience_minutes: int = 60, delay_minutes: int = 0, sweep: int = -1,
+) -> None:
+    """Triage the tickets (ticket_id, text, retrieved, arrived_at) whose drafts (ticket_id, draft_json, drafted_at)
+    have come since the last run, and those that have waited too long for one.
+
+    With a ``sweep`` number, tickets that came too late for the stream are triaged too.
+    """
+    loaded = triage.production_models(
+        registry.read_ledger(spark, ledger), {target: f"{models}/{target}" for target in MODEL_NAMES}
+    )
+    patience = timedelta(minutes=patience_minutes)
+    tickets = read_table(spark, arriving)
+    written = spark.readStream.schema(read_table(spark, drafts_path).schema).parquet(drafts_path)
+    rows = arrivals.with_late_drafts(
+        spark.readStream.schema(tickets.schema).parquet(arriving), drafts.parse_drafts(written), patience,
+        timedelta(minutes=delay_minutes),
+    )
+    run = arrivals.triage_stream(rows, triaged, audit, refused, checkpoint, loaded)
+    run.awaitTermination()
+    before = arrivals.released_before(run, patience)
+    if sweep >= 0 and before is not None:
+        arrivals.sweep_unanswered(tickets, sweep, triaged, audit, refused, before, loaded)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Normalizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,20 +22,13 @@ from pyspark.sql import functions as F
 from threadloom import constants as C
 from threadloom.functions.text import without_ids
 from threadloom.operators.split import fixed_sample
-from threadloom.operators.terms import fit_tfidf, vocabulary_of, with_terms
+from threadloom.operators.terms import terms_without, vocabulary_of, weight_stages
 from threadloom.sources.tables import materialize, materialize_counted
 
 
-def stop_words(sample: DataFrame, tickets: DataFrame, text: str = "clean_text") -> list[str]:
-    """English stop words and the brand names that occur in the sample.
-
-    Brands that do not occur need no stopping, so what the driver gets is no
-    longer than the sample's own word list.
-    """
-    words = with_terms(sample.select(text), text).select(F.explode("terms").alias("word")).distinct()
-    brands = tickets.where(F.col("brand_id").isNotNull()).select(F.lower("brand_id").alias("word")).distinct()
-    found = [row.word for row in words.join(brands, "word", "left_semi").collect()]
-    return StopWordsRemover.loadDefaultStopWords("english") + sorted(found) + list(C.EXPLORE_EXTRA_STOPS)
+def brand_words(tickets: DataFrame) -> DataFrame:
+    """The brand names, which say who is written to and not about what."""
+    return tickets.where(F.col("brand_id").isNotNull()).select(F.lower("brand_id").alias("word")).distinct()
 
 
 def reduced(vectors: DataFrame, components: int) -> tuple[DataFrame, float]:
@@ -114,10 +108,11 @@ def explore(
     sample, found = materialize_counted(
         taken.select(key, without_ids(F.col("text")).alias("clean_text")), "explore-sample", rows=F.count(F.lit(1))
     )
-    stops = stop_words(sample, columns)
-    model = fit_tfidf(sample, "clean_text", terms, min_df, max_df, stops)
+    stops = StopWordsRemover.loadDefaultStopWords("english") + list(C.EXPLORE_EXTRA_STOPS)
+    termed = materialize(terms_without(sample, key, brand_words(columns), "clean_text", stops), "explore-terms")
+    model = PipelineModel(stages=weight_stages(termed, terms, min_df, max_df))
     vocabulary = vocabulary_of(model)
-    vectors = materialize(model.transform(sample).select(key, "features"), "explore-vectors")
+    vectors = materialize(model.transform(termed).select(key, "features"), "explore-vectors")
     lsa, explained = reduced(vectors, min(components, len(vocabulary) - 1))
     clustered = cluster_terms(cluster(lsa, clusters, restarts, seed), vocabulary)
     # One row per cluster.

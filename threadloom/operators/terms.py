@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import WORD_CHARACTER
+from threadloom.operators.joins import sized_join
 from threadloom.sources.tables import materialize
 
 # Steps of the histogram of counts to a doubling.
@@ -25,9 +26,13 @@ WORD = WORD_CHARACTER + "{2,}"
 _SQL_WORD = WORD.replace("\\", "\\\\")
 
 
-def term_stages(text: str = "text", stop_words: list[str] | None = None) -> list:
-    """Transformers from ``text`` to ``terms``: lower-case words of two or more
-    characters, less stop words, then pairs of the words that are left."""
+_PAIRS = (
+    "concat(_words, zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)),"
+    " slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> concat(a, ' ', b)))"
+)
+
+
+def _word_stages(text: str, stop_words: list[str] | None) -> list:
     words = "_words" if stop_words is None else "_all_words"
     stages = [
         SQLTransformer(
@@ -37,11 +42,13 @@ def term_stages(text: str = "text", stop_words: list[str] | None = None) -> list
     ]
     if stop_words is not None:
         stages.append(StopWordsRemover(inputCol=words, outputCol="_words", stopWords=stop_words))
-    pairs = (
-        "zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, greatest(size(_words) - 1, 0)),"
-        " (a, b) -> concat(a, ' ', b))"
-    )
-    return stages + [SQLTransformer(statement=f"SELECT *, concat(_words, {pairs}) AS terms FROM __THIS__")]
+    return stages
+
+
+def term_stages(text: str = "text", stop_words: list[str] | None = None) -> list:
+    """Transformers from ``text`` to ``terms``: lower-case words of two or more
+    characters, less stop words, then pairs of the words that are left."""
+    return _word_stages(text, stop_words) + [SQLTransformer(statement=f"SELECT *, {_PAIRS} AS terms FROM __THIS__")]
 
 
 def _scratch_columns(stop_words: list[str] | None) -> str:
@@ -54,6 +61,24 @@ def with_terms(df: DataFrame, text: str = "text", stop_words: list[str] | None =
     return PipelineModel(stages=term_stages(text, stop_words) + [drop]).transform(df)
 
 
+def terms_without(df: DataFrame, key: str, stops: DataFrame, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """(key, terms) without the words of a table ``stops`` (word) as well.
+
+    The table may be of any size. What is shuffled is one row per text and stop
+    word in it; a text comes together with its own stop words only. ``key`` is unique.
+    """
+    worded = PipelineModel(stages=_word_stages(text, stop_words)).transform(df.select(key, text)).select(key, "_words")
+    each = worded.select(key, F.explode(F.array_distinct("_words")).alias("_word"))
+    listed = stops.select(F.col("word").alias("_stop")).where(F.col("_stop").isNotNull()).distinct()
+    met = sized_join(each, listed, "_word", "_stop", "left_semi", F.struct(key, "_word"))
+    by_text = met.groupBy(F.col(key).alias("_text")).agg(F.collect_set("_word").alias("_met"))
+    joined = sized_join(worded, by_text, key, "_text", "left", F.col(key))
+    kept = F.when(F.col("_met").isNull(), F.col("_words")).otherwise(
+        F.filter("_words", lambda word: ~F.array_contains("_met", word))
+    )
+    return joined.select(key, kept.alias("_words")).select(key, F.expr(_PAIRS).alias("terms"))
+
+
 def term_table(termed: DataFrame, size: int, min_df: int, max_df: float = 1.0) -> DataFrame:
     """Commonest terms with corpus count, document count and weight.
 
@@ -99,25 +124,26 @@ def fit_tfidf(
 
     The driver holds the ``size`` vocabulary rows, and no more.
     """
-    termed = with_terms(df.select(text), text, stop_words)
-    vocabulary = term_table(termed, size, min_df, max_df).select("term", "idf").collect()
+    stages = weight_stages(with_terms(df.select(text), text, stop_words), size, min_df, max_df, output)
+    drop = SQLTransformer(
+        statement=f"SELECT * EXCEPT ({_scratch_columns(stop_words)}, terms, _counts, tfidf) FROM __THIS__"
+    )
+    # Every stage is fitted already; this only chains them.
+    return PipelineModel(stages=term_stages(text, stop_words) + stages + [drop])
+
+
+def weight_stages(termed: DataFrame, size: int, min_df: int, max_df: float = 1.0, output: str = "features") -> list:
+    """Fitted transformers from ``terms`` to unit-length TF-IDF vectors."""
+    vocabulary = term_table(termed.select("terms"), size, min_df, max_df).select("term", "idf").collect()
     if not vocabulary:
         raise ValueError(f"no term occurs in {min_df} texts or more")
     counts = CountVectorizerModel.from_vocabulary(
         [row.term for row in vocabulary], inputCol="terms", outputCol="_counts"
     )
-    stages = term_stages(text, stop_words) + [
-        counts,
-        ElementwiseProduct(
-            scalingVec=Vectors.dense([row.idf for row in vocabulary]), inputCol="_counts", outputCol="tfidf"
-        ),
-        Normalizer(p=2.0, inputCol="tfidf", outputCol=output),
-        SQLTransformer(
-            statement=f"SELECT * EXCEPT ({_scratch_columns(stop_words)}, terms, _counts, tfidf) FROM __THIS__"
-        ),
-    ]
-    # Every stage is fitted already; this only chains them.
-    return PipelineModel(stages=stages)
+    scale = ElementwiseProduct(
+        scalingVec=Vectors.dense([row.idf for row in vocabulary]), inputCol="_counts", outputCol="tfidf"
+    )
+    return [counts, scale, Normalizer(p=2.0, inputCol="tfidf", outputCol=output)]
 
 
 def vocabulary_of(model: PipelineModel) -> list[str]:

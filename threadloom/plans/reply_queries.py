@@ -1,5 +1,7 @@
 """Queries over drafted replies: prompts, checks, scores, triage and streams."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -15,10 +17,12 @@ from threadloom.plans.registered import query
 from threadloom.plans.ticket_queries import _LANDING_VIEW_SQL, _PARSED_SQL, _landing_view
 from threadloom.schemas import RETRIEVED
 from threadloom.sources.csv import write_raw_csv
-from threadloom.sources.tables import materialize, read_table, scratch_path, write_table
+from threadloom.sources.tables import append_table, materialize, read_table, scratch_path, write_table
 from threadloom.streaming import arrivals
 
 RETRIEVED_LIST = ArrayType(RETRIEVED)
+# How long a ticket waits for its draft in the stream of late drafts.
+PATIENCE_HOURS = 4
 LINK = f"'https?://{oracle.NOT_BLANK}+'"
 HANDLE = f"'@{oracle.WORD}+'"
 
@@ -692,20 +696,23 @@ def stream_ingest(flow: Flow):
     return _landing_view(read_table(flow.spark, landing))
 
 
-@query(
-    flow_sql(
+def _streamed_sql(lost: str) -> str:
+    """Triage rows of tickets some of which have no draft."""
+    return flow_sql(
         "drafted",
-        """SELECT draft_id AS ticket_id, query AS ticket_text, category AS predicted_category,
+        f"""SELECT draft_id AS ticket_id, query AS ticket_text, category AS predicted_category,
           priority AS predicted_priority, CASE WHEN NOT lost THEN reply END AS draft_reply,
           NOT lost AND link_redacted AS link_redacted, NOT lost AND mention_redacted AS mention_redacted,
           NOT lost AND completed_action_claimed AS completed_action_claimed,
           NOT lost AND ticket_severity_signaled AS ticket_severity_signaled,
           lost OR needs_human_escalation AS needs_human_escalation
-        FROM (SELECT *, draft_id % 7 = 3 AS lost FROM triaged)""",
+        FROM (SELECT *, {lost} AS lost FROM triaged)""",
         responses=_CHECKED_SQL,
         triaged=_TRIAGED_SQL,
     )
-)
+
+
+@query(_streamed_sql("draft_id % 7 = 3"))
 def stream_triage(flow: Flow):
     """The triage rows by way of a stream of arriving tickets, some of which come without a draft."""
     tickets = flow.drafted.select(
@@ -721,3 +728,41 @@ def stream_triage(flow: Flow):
         scratch_path(flow.spark, "stream-checkpoint"),
     ).awaitTermination()
     return read_table(flow.spark, triaged).drop("batch", "cited_ticket_ids")
+
+
+@query(_streamed_sql(f"draft_id % 7 = 3 OR draft_id % 7 > {PATIENCE_HOURS}"))
+def stream_late_drafts(flow: Flow):
+    """Triage of tickets whose drafts come hours after them, too late, or never.
+
+    Both streams come in two halves by time, and the stream is started anew for
+    the second: what waits in the first is kept in the state.
+    """
+    patience = timedelta(hours=PATIENCE_HOURS)
+    arrived = flow.tweets.select(F.col("tweet_id").alias("draft_id"), F.col("created_at").alias("arrived_at"))
+    late = F.make_interval(hours=(F.col("draft_id") % 7).cast("int"))
+    rows = materialize(
+        flow.drafted.join(arrived, "draft_id").select(
+            F.col("draft_id").alias("ticket_id"), F.col("query").alias("text"), "retrieved", "arrived_at",
+            "draft", (F.col("arrived_at") + late).alias("drafted_at"),
+        ),
+        "late-drafts",
+    )
+    tickets = rows.select("ticket_id", "text", "retrieved", "arrived_at")
+    came = rows.where(F.col("ticket_id") % 7 != 3).select("ticket_id", "draft", "drafted_at")
+    ends = rows.agg(F.min("arrived_at").alias("first"), F.max("arrived_at").alias("last")).first()
+    half = F.lit(ends["first"] + (ends["last"] - ends["first"]) / 2) if ends["first"] else F.current_timestamp()
+    folders = [scratch_path(flow.spark, f"stream-{name}") for name in ("tickets", "drafts")]
+    paths = [scratch_path(flow.spark, f"stream-{name}") for name in ("triage", "audit", "refused")]
+    checkpoint = scratch_path(flow.spark, "stream-checkpoint")
+    for part in (0, 1):
+        for table, time, folder in ((tickets, "arrived_at", folders[0]), (came, "drafted_at", folders[1])):
+            second = F.col(time) >= half
+            append_table(table.where(second if part else ~second), folder)
+        arriving = arrivals.with_late_drafts(
+            flow.spark.readStream.schema(tickets.schema).parquet(folders[0]),
+            flow.spark.readStream.schema(came.schema).parquet(folders[1]),
+            patience,
+        )
+        arrivals.triage_stream(arriving, *paths, checkpoint).awaitTermination()
+    arrivals.sweep_unanswered(tickets, 0, *paths)
+    return read_table(flow.spark, paths[0]).drop("batch", "cited_ticket_ids")
