@@ -354,15 +354,15 @@ def explore_clusters(flow: Flow):
         """SELECT term, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT ticket_id) AS BIGINT) AS df
         FROM (SELECT ticket_id, unnest(w || list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) AS term
           FROM kept WHERE len(w) > 1 UNION ALL SELECT ticket_id, w[1] FROM kept WHERE len(w) = 1) GROUP BY term""",
-        stops=f"SELECT list(DISTINCT regexp_extract(lower(text), '{oracle.WORD}{{2,}}')) AS b FROM tickets WHERE ticket_id % 2 = 0",
+        stops=f"SELECT list(DISTINCT regexp_extract(lower(text), '{oracle.WORD}{{2,}}')) AS b FROM tickets WHERE text_length % 2 = 0",
         kept=f"""SELECT ticket_id, list_filter(regexp_extract_all(lower(text), '{oracle.WORD}{{2,}}'),
           lambda x: NOT list_contains(b, x)) AS w FROM tickets, stops""",
     )
 )
 def opening_free_terms(flow: Flow):
-    """Terms of the ticket texts without the words that open an even ticket, and in how many texts they are."""
-    tickets = materialize(flow.tickets.select("ticket_id", "text"), "tickets")
-    stops = terms.with_terms(tickets.where(F.col("ticket_id") % 2 == 0)).select(F.get("terms", F.lit(0)).alias("word"))
+    """Terms of the ticket texts without the words that open a text of even length, and in how many texts they are."""
+    tickets = materialize(flow.tickets.select("ticket_id", "text", "text_length"), "tickets")
+    stops = terms.with_terms(tickets.where(F.col("text_length") % 2 == 0)).select(F.get("terms", F.lit(0)).alias("word"))
     each = terms.terms_without(tickets, "ticket_id", stops).select("ticket_id", F.explode("terms").alias("term"))
     by_text = each.groupBy("ticket_id", "term").count()
     return by_text.groupBy("term").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("df"))
