@@ -34,7 +34,7 @@ def test_stages_in_order(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     raw = spark.sql(
         """SELECT CAST(tweet_id AS STRING) AS tweet_id, author_id, CAST(inbound AS STRING) AS inbound,
-          'Tue Oct 31 22:10:47 +0000 2017' AS created_at, text, '' AS response_tweet_id,
+          'Fri Mar 11 06:25:03 +0000 2016' AS created_at, text, '' AS response_tweet_id,
           coalesce(CAST(in_response_to_tweet_id AS STRING), '') AS in_response_to_tweet_id FROM {t}""",
         t=derive.tweets(spark, SF_DIR),
     )

@@ -91,7 +91,7 @@ def _any_date(raw: Column) -> Column:
 
 
 def created_at(raw: Column) -> Column:
-    """``Tue Oct 31 22:10:47 +0000 2017`` with any offset, as a UTC instant."""
+    """``Fri Mar 11 06:25:03 +0000 2016`` with any offset, as a UTC instant."""
     return F.when(raw.rlike(_PLAIN_DATE), _plain_date(raw)).when(raw.rlike(_TWEET_DATE), _any_date(raw))
 
 

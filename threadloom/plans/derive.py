@@ -92,8 +92,8 @@ SELECT
   CASE WHEN tweet_id % 37 = 1 THEN 'yes'
        WHEN inbound THEN ' True' ELSE 'False' END AS inbound,
   CASE WHEN tweet_id % 41 = 2 THEN 'not-a-real-date'
-       WHEN tweet_id % 41 = 4 THEN 'Tue Oct 31 22:10:47 +0530 2017'
-       WHEN tweet_id % 41 = 6 THEN 'Tue Feb 30 22:10:47 +0000 2017'
+       WHEN tweet_id % 41 = 4 THEN 'Fri Mar 11 06:25:03 +0530 2016'
+       WHEN tweet_id % 41 = 6 THEN 'Tue Feb 30 06:25:03 +0000 2016'
        WHEN tweet_id % 41 = 8 THEN 'Mon Nov 6 02:01:07 -0800 2017'
        ELSE CASE CAST(tweet_id % 3 AS INTEGER) WHEN 0 THEN 'Tue Jan ' WHEN 1 THEN 'Sat Jun ' ELSE 'Fri Nov ' END
          || lpad(CAST(1 + tweet_id % 28 AS VARCHAR(2)), 2, '0') || ' ' || lpad(CAST(tweet_id % 24 AS VARCHAR(2)), 2, '0')
