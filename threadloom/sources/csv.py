@@ -32,6 +32,8 @@ from threadloom.sources.tables import materialize
 _OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
 # From inside a quoted field to the quote that ends it; a doubled quote is one quote.
 _REST = re.compile(r'[^"]*+(?:""[^"]*+)*+"')
+# A task reads about so many bytes of ranges that are shorter.
+TASK_BYTES = 16 << 20
 # Kinds of rows that the second pass gives: whole records, pieces, and the first line of a file.
 WHOLE, HEAD, THROUGH, TAIL, HEADER = range(5)
 
@@ -156,13 +158,20 @@ def hash_of(file: int, start: int) -> int:
     return (file + start * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines in the order of the file within each range. A line belongs to the range it begins in."""
-    return (
+def _lines(spark: SparkSession, path: str | list[str], range_bytes: int | None) -> DataFrame:
+    """Lines in the order of the file within each range. A line belongs to the range it begins in.
+
+    A task reads short ranges one after another, so many that starting it does not cost more than they do.
+    """
+    lines = (
         spark.read.option("lineSep", "\n")
         .text(path)
         .select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     )
+    if not range_bytes or range_bytes >= TASK_BYTES:
+        return lines
+    ranges, slots = lines.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return lines.coalesce(max(1, min(ranges, 2 * slots), ranges * range_bytes // TASK_BYTES))
 
 
 @contextmanager
@@ -247,7 +256,7 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], range_bytes: int |
     records are written to scratch once, in the second pass.
     """
     with _held_ranges(spark, range_bytes):
-        lines = _lines(spark, path)
+        lines = _lines(spark, path, range_bytes)
         states = materialize(lines.mapInArrow(_states, "file long, start long, outside boolean, inside boolean"), "csv-ranges")
         # As many numbers as the driver holds ranges of the scan anyway.
         inside = frozenset(hash_of(row["file"], row["start"]) for row in _begin_inside(states).collect())
