@@ -16,7 +16,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -31,7 +30,9 @@ from threadloom.sources.tables import materialize, materialize_counted
 # Bytes of the vectors, as doubles, of each side in one task, and of differences at a time.
 PART_BYTES = 64 << 20
 TILE_BYTES = 64 << 20
-_PAIR_BYTES = 32 << 20
+_PAIR_BYTES = 8 << 20
+# Bytes of a matrix product at a time.
+_PRODUCT_BYTES = 8 << 20
 _BLOCK = 128
 # About so many index vectors fit the centres, of which there are at most so many by default.
 SAMPLE_ROWS = 100_000
@@ -48,46 +49,68 @@ def closest(queries: np.ndarray, index: np.ndarray, ids: np.ndarray, k: int):
 
     The matrix product finds everything that can be among the k nearest;
     distances of those are then taken from the differences, so equal vectors
-    get equal distances and ties go to the lower id.
+    get equal distances and ties go to the lower id. The index is gone through in
+    stretches, so that a product takes a few MB whatever the size of the index; from the
+    second on, only what the k-th so far does not rule out is looked at.
     """
     norms = (index * index).sum(axis=1)
     lengths = (queries * queries).sum(axis=1)
-    rough = lengths[:, None] + norms[None, :] - 2.0 * (queries @ index.T)
     k = min(k, index.shape[0])
-    limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
     slack = 1e-9 * (1.0 + lengths + norms.max())
-    row, position = np.nonzero(rough <= (limit + slack)[:, None])
-    distance = np.empty(len(row))
+    bound = np.full(len(queries), np.inf)
+    row, position, distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     step = _rows_in(_PAIR_BYTES, index.shape[1])
-    for start in range(0, len(row), step):
-        span = slice(start, start + step)
-        distance[span] = np.square(queries[row[span]] - index[position[span]]).sum(axis=1)
-    order = np.lexsort((ids[position], distance, row))
-    row, position, distance = row[order], position[order], distance[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    return row[keep], position[keep], distance[keep]
+    wide = max(k, _PRODUCT_BYTES // (8 * max(1, len(queries))))
+    for low in range(0, len(index), wide):
+        rough = queries @ index[low : low + wide].T
+        rough *= -2.0
+        rough += lengths[:, None]
+        rough += norms[low : low + wide]
+        limit = bound + slack
+        if rough.shape[1] > k:
+            near = rough <= limit[:, None]
+            if np.count_nonzero(near) > 4 * k * len(queries):
+                limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+                near = rough <= limit[:, None]
+        else:
+            near = rough <= limit[:, None]
+        new_row, new_position = np.nonzero(near)
+        new = np.empty(len(new_row))
+        for start in range(0, len(new), step):
+            span = slice(start, start + step)
+            new[span] = np.square(queries[new_row[span]] - index[low + new_position[span]]).sum(axis=1)
+        row, position, distance = (
+            np.concatenate(both) for both in ((row, new_row), (position, low + new_position), (distance, new))
+        )
+        order = np.lexsort((ids[position], distance, row))
+        row, position, distance = row[order], position[order], distance[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        last = place == k - 1
+        bound[row[last]] = distance[last]
+        row, position, distance = row[keep], position[keep], distance[keep]
+    return row, position, distance
 
 
 def _cell_kernel(k: int):
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, found = left["query_id"].combine_chunks(), []
+        ids = right["id"].combine_chunks()
         if len(left) and len(right):
-            index = np.stack(right["index_vector"].to_numpy()).astype(np.float64)
-            ids = right["id"].to_numpy()
-            ranks = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            vectors = np.stack(left["query_vector"].to_numpy()).astype(np.float64)
-            names = left["query_id"].to_numpy()
+            index = _matrix(right["index_vector"].combine_chunks())
+            ranks = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            vectors = left["query_vector"].combine_chunks()
             for start in range(0, len(left), _BLOCK):
-                row, position, distance = closest(vectors[start : start + _BLOCK], index, ranks, k)
-                found.append(
-                    pd.DataFrame(
-                        {"query_id": names[start + row], "id": ids[position], "distance": distance}
-                    )
-                )
-        if not found:
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        return pd.concat(found, ignore_index=True)
+                row, position, distance = closest(_matrix(vectors.slice(start, _BLOCK)), index, ranks, k)
+                found.append((start + row, position, distance))
+        row, position, distance = (np.concatenate(part) for part in zip(*found, strict=True)) if found else ([], [], [])
+        return pa.table(
+            {
+                "query_id": names.take(pa.array(row, pa.int64())),
+                "id": ids.take(pa.array(position, pa.int64())),
+                "distance": pa.array(distance, pa.float64()),
+            }
+        )
 
     return kernel
 
@@ -115,7 +138,7 @@ def _every(count: Column) -> Column:
 def _found(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k nearest in each group that a query is in."""
     schema = T.StructType([left.schema["query_id"], right.schema["id"], T.StructField("distance", T.DoubleType())])
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_cell_kernel(k), schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cell_kernel(k), schema)
 
 
 def _placed(found: DataFrame, k: int) -> DataFrame:
