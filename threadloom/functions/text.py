@@ -34,7 +34,9 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    return collapse_blanks(nfkc(text))
+    """ASCII texts are normal already, so that only the others go to Python."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return collapse_blanks(F.when(ascii_only, text).otherwise(nfkc(F.when(~ascii_only, text))))
 
 
 def regex(pattern: str) -> str:
