@@ -4,6 +4,8 @@ A vocabulary is fitted with grouped counts and ends as at most a few thousand
 rows. Vectors are then made by Spark ML transformers.
 """
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -13,7 +15,7 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import WORD_CHARACTER
@@ -79,24 +81,62 @@ def terms_without(df: DataFrame, key: str, stops: DataFrame, text: str = "text",
     return joined.select(key, kept.alias("_words")).select(key, F.expr(_PAIRS).alias("terms"))
 
 
+def run_starts(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Where runs of ``same`` neighbours begin in an ordered array, from 1; NULL for an empty one.
+
+    ``ordered`` has to be a column and no longer expression, which would be worked out for every element.
+    """
+    first = F.filter(
+        F.sequence(F.lit(1), F.size(ordered)), lambda at: (at == 1) | ~same(F.get(ordered, at - 1), F.get(ordered, at - 2))
+    )
+    return F.when(F.size(ordered) > 0, first)
+
+
+def run_length(ordered: Column, starts: Column, at: Column, place: Column) -> Column:
+    """Length of the run that begins ``at`` and is the one at ``place``, from 0."""
+    return F.coalesce(F.get(starts, place + 1), F.size(ordered) + 1) - at
+
+
+def counted_terms(termed: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``counts``, the distinct terms of a text with their counts (term, n); NULL for a text without terms.
+
+    A text is counted by itself: its terms are sorted and the runs measured, nothing is shuffled.
+    """
+    ordered = termed.select(*columns, F.sort_array("terms").alias("_sorted"))
+    begun = ordered.select(*columns, "_sorted", run_starts(F.col("_sorted"), lambda a, b: a == b).alias("_starts"))
+    counts = F.transform(
+        "_starts",
+        lambda at, place: F.struct(
+            F.get("_sorted", at - 1).alias("term"),
+            run_length(F.col("_sorted"), F.col("_starts"), at, place).cast("bigint").alias("n"),
+        ),
+    )
+    return begun.select(*columns, counts.alias("counts"))
+
+
+def entries(lists: DataFrame, counts: str, *columns: str) -> DataFrame:
+    """A row for each struct in the array ``counts``.
+
+    The outer form, since for the inner one Spark puts a filter before it that works the array out again.
+    """
+    rows = lists.select(*columns, F.inline_outer(counts))
+    return rows.where(F.col(rows.columns[-1]).isNotNull())
+
+
 def term_table(termed: DataFrame, size: int, min_df: int, max_df: float = 1.0) -> DataFrame:
     """Commonest terms with corpus count, document count and weight.
 
-    Each document sends its terms followed by its distinct terms, so one
+    Each document sends its distinct terms with their counts, so one
     grouping by term gives both counts. It combines map-side: what is shuffled
     is one row per task and distinct term, and a term in every document is not
     hot. Equal counts are ordered by term. The weight is
     ln((1 + documents) / (1 + df)) + 1.
     """
-    both = termed.select(
-        F.size("terms").alias("_n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("_at", "term")
-    )
     documents = termed.agg(F.count(F.lit(1)).alias("documents")).scalar()
     counted = (
-        both.groupBy("term")
-        .agg(
-            F.count_if(F.col("_at") < F.col("_n")).alias("tf"), F.count_if(F.col("_at") >= F.col("_n")).alias("df")
-        )
+        entries(counted_terms(termed), "counts")
+        .groupBy("term")
+        .agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
         .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * documents))
         .withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
         .withColumn("_step", F.floor(F.log2("tf") * _STEPS).cast("int"))

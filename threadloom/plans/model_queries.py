@@ -1,5 +1,7 @@
 """Queries on splits, metrics, terms, classifiers, the ledger and clusters."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from threadloom.constants import EXPLORE_CLUSTERS, SEED, TFIDF_MIN_DF, TFIDF_TERMS
@@ -159,17 +161,16 @@ _TFIDF_PARTS = oracle.tfidf_parts("documents", "doc_id", "text", TFIDF_TERMS, TF
 
 
 def _weighted_terms(flow: Flow):
-    """Counts of the kept terms of every document, and its unit weights."""
+    """Counts of the kept terms of every document and its unit weights, in one row."""
     texts = _documents(flow).select("doc_id", "text")
     kept = scores.vocabulary(texts, "text", TFIDF_TERMS, TFIDF_MIN_DF)
-    counts = materialize(scores.term_counts(texts, "doc_id").join(F.broadcast(kept), "term"), "term-counts")
-    return counts, scores.tfidf_triples(counts.drop("idf"), kept, "doc_id")
+    return scores.tfidf_vectors(texts, kept, "doc_id")
 
 
 @query(oracle.with_parts(_TFIDF_PARTS, "SELECT key AS doc_id, term, round(weight, 6) AS weight FROM unit"))
 def tfidf_vectors(flow: Flow):
     """The TF-IDF vector of every document, a row for each of its terms."""
-    return _weighted_terms(flow)[1].select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return _weighted_terms(flow).triples().select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(
@@ -180,10 +181,11 @@ def tfidf_vectors(flow: Flow):
 )
 def linear_scores(flow: Flow):
     """Language of every document by a linear model over its terms, scored by a join."""
-    counts, triples = _weighted_terms(flow)
+    vectors = _weighted_terms(flow)
+    vectors = replace(vectors, rows=materialize(vectors.rows, "term-vectors"))
     labels = _documents(flow).select("doc_id", "lang")
-    model = scores.word_odds(counts, labels, "doc_id", "lang")
-    found = scores.predicted(labels.select("doc_id"), triples, model, "doc_id")
+    model = scores.word_odds(vectors, labels, "doc_id", "lang")
+    found = scores.predicted(labels.select("doc_id"), vectors.triples(), model, "doc_id")
     return found.withColumn("prediction_score", F.round("prediction_score", 6))
 
 
