@@ -6,10 +6,11 @@ multiplies them as matrices and keeps k rows per query, so neither side has to
 fit in a task or on the driver and no pair is written out.
 
 ``nearest`` lets every part meet every tile, which suits small sides.
-``nearest_cells`` puts the index into cells around centres, and a query meets
-the tiles of its nearest cells alone. ``nearest_pruned`` gives the exact rows
-from the cells that can hold them, and ``nearest_calibrated`` probes as many
-cells as a recall needs that is asked for.
+``nearest_cells`` puts the index into cells around centres, and a query is
+compared with the rows of its nearest cells alone. ``nearest_pruned`` gives the
+exact rows from the cells that can hold them, and ``nearest_calibrated`` probes
+as many cells as a recall needs that is asked for. A tile of these three is a
+group of neighbouring cells, and a query is sent once to each group.
 """
 
 import math
@@ -44,52 +45,77 @@ def _rows_in(room: int, length: int) -> int:
     return max(1, room // (8 * max(1, length)))
 
 
-def closest(queries: np.ndarray, index: np.ndarray, ids: np.ndarray, k: int):
-    """For one block of queries: row, index position and distance of the k nearest.
+class _Block:
+    """The k nearest so far of a block of queries: row, index position and distance.
 
     The matrix product finds everything that can be among the k nearest;
     distances of those are then taken from the differences, so equal vectors
-    get equal distances and ties go to the lower id. The index is gone through in
-    stretches, so that a product takes a few MB whatever the size of the index; from the
-    second on, only what the k-th so far does not rule out is looked at.
+    get equal distances and ties go to the lower id. Only what the k-th so far, or a bound
+    known before, does not rule out is looked at. With ``twice`` a row may be in the index
+    twice, with one id, and counts once.
     """
-    norms = (index * index).sum(axis=1)
-    lengths = (queries * queries).sum(axis=1)
-    k = min(k, index.shape[0])
-    slack = 1e-9 * (1.0 + lengths + norms.max())
-    bound = np.full(len(queries), np.inf)
-    row, position, distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    step = _rows_in(_PAIR_BYTES, index.shape[1])
-    wide = max(k, _PRODUCT_BYTES // (8 * max(1, len(queries))))
-    for low in range(0, len(index), wide):
-        rough = queries @ index[low : low + wide].T
-        rough *= -2.0
-        rough += lengths[:, None]
-        rough += norms[low : low + wide]
-        limit = bound + slack
-        if rough.shape[1] > k:
-            near = rough <= limit[:, None]
-            if np.count_nonzero(near) > 4 * k * len(queries):
-                limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
-                near = rough <= limit[:, None]
-        else:
-            near = rough <= limit[:, None]
-        new_row, new_position = np.nonzero(near)
-        new = np.empty(len(new_row))
+
+    def __init__(
+        self, queries: np.ndarray, index: np.ndarray, norms: np.ndarray, ids: np.ndarray, k: int, bound=np.inf, twice: bool = False
+    ):
+        self.queries, self.index, self.norms, self.ids = queries, index, norms, ids
+        self.k, self.twice = min(k, index.shape[0]), twice
+        self.depth = min(k * (1 + twice), index.shape[0])
+        self.scaled, self.lengths = -2.0 * queries, (queries * queries).sum(axis=1)
+        self.slack = 1e-9 * (1.0 + self.lengths + norms.max())
+        self.bound = np.full(len(queries), bound)
+        self.row, self.position, self.distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def look(self, low: int, high: int, rows=slice(None), open_: np.ndarray | None = None) -> None:
+        """Compare ``rows`` of the block with a stretch of the index, where ``open_`` if that is given."""
+        rough = self.scaled[rows] @ self.index[low:high].T
+        rough += self.norms[low:high]
+        if open_ is not None:
+            rough[~open_] = np.inf
+        lengths, slack = self.lengths[rows], self.slack[rows]
+        limit = self.bound[rows] + slack - lengths
+        near = (rough <= limit[:, None]).ravel()
+        if open_ is not None:
+            near &= open_.ravel()
+        if rough.shape[1] > self.depth and np.count_nonzero(near) > 4 * self.depth * len(rough):
+            limit = np.minimum(limit, np.partition(rough, self.depth - 1, axis=1)[:, self.depth - 1] + 2.0 * slack)
+            near &= (rough <= limit[:, None]).ravel()
+        at, new_position = np.divmod(np.flatnonzero(near), high - low)
+        if not len(at):
+            return
+        new_row, new_position = np.arange(len(self.queries))[rows][at], low + new_position
+        new, step = np.empty(len(new_row)), _rows_in(_PAIR_BYTES, self.index.shape[1])
         for start in range(0, len(new), step):
             span = slice(start, start + step)
-            new[span] = np.square(queries[new_row[span]] - index[low + new_position[span]]).sum(axis=1)
+            new[span] = np.square(self.queries[new_row[span]] - self.index[new_position[span]]).sum(axis=1)
         row, position, distance = (
-            np.concatenate(both) for both in ((row, new_row), (position, low + new_position), (distance, new))
+            np.concatenate(both)
+            for both in ((self.row, new_row), (self.position, new_position), (self.distance, new))
         )
-        order = np.lexsort((ids[position], distance, row))
+        order = np.lexsort((self.ids[position], distance, row))
+        if self.twice:
+            of = self.ids[position[order]]
+            again = (np.diff(row[order]) == 0) & (np.diff(of) == 0) & (np.diff(distance[order]) == 0)
+            order = order[np.concatenate([[True], ~again])]
         row, position, distance = row[order], position[order], distance[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        last = place == k - 1
-        bound[row[last]] = distance[last]
-        row, position, distance = row[keep], position[keep], distance[keep]
-    return row, position, distance
+        keep, last = place < self.k, place == self.k - 1
+        self.bound[row[last]] = np.minimum(self.bound[row[last]], distance[last])
+        self.row, self.position, self.distance = row[keep], position[keep], distance[keep]
+
+
+def _wide(rows: int, k: int) -> int:
+    """Index rows in a stretch, so that a product takes a few MB whatever the size of the index."""
+    return max(k, _PRODUCT_BYTES // (8 * max(1, rows)))
+
+
+def closest(queries: np.ndarray, index: np.ndarray, ids: np.ndarray, k: int):
+    """For one block of queries: row, index position and distance of the k nearest."""
+    block = _Block(queries, index, (index * index).sum(axis=1), ids, k)
+    wide = _wide(len(queries), k)
+    for low in range(0, len(index), wide):
+        block.look(low, min(len(index), low + wide))
+    return block.row, block.position, block.distance
 
 
 def _cell_kernel(k: int):
@@ -135,10 +161,10 @@ def _every(count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
 
 
-def _found(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _found(left: DataFrame, right: DataFrame, keys: list[str], kernel) -> DataFrame:
     """The k nearest in each group that a query is in."""
     schema = T.StructType([left.schema["query_id"], right.schema["id"], T.StructField("distance", T.DoubleType())])
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cell_kernel(k), schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
 
 
 def _placed(found: DataFrame, k: int) -> DataFrame:
@@ -147,28 +173,204 @@ def _placed(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= k)
 
 
-def _meet(asked: DataFrame, index: DataFrame, length: int, k: int) -> DataFrame:
-    """Queries meet the index rows of their cells: both sides have ``_cell``, a query a row for each.
+def _closest_open(block: _Block, starts: np.ndarray, cells: np.ndarray) -> None:
+    """Compare a block with the cells that are open to each query: ``cells`` is a row a query, a column a cell.
 
-    A large cell is cut into tiles and the queries in it into parts, so tasks stay within bounds.
+    The rows of a cell stand together from its place in ``starts``. A stretch of cells most of which are open
+    is compared in one product, and one with few of them cell by cell.
     """
-    held = index.groupBy("_cell").agg(F.ceil(F.count("id") / _rows_in(TILE_BYTES, length)).alias("_tiles"))
-    wanted = asked.groupBy("_cell").agg(F.ceil(F.count("query_id") / _rows_in(PART_BYTES, length)).alias("_parts"))
-    # One row per cell, so it may be broadcast.
-    layout = F.broadcast(materialize(held.join(wanted, "_cell"), "layout"))
+    ends = np.append(starts[1:], len(block.index))
+    wide, first = _wide(len(cells), block.k), 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + wide, side="right")))
+        asked = cells[:, first:last]
+        rows = np.flatnonzero(asked.any(axis=1))
+        if len(rows):
+            sizes = ends[first:last] - starts[first:last]
+            open_ = asked[rows]
+            whole = bool(open_.all())
+            if whole or (open_ @ sizes).sum() * 4 >= len(rows) * sizes.sum():
+                # A cell may be larger than a stretch; then it is alone in this one.
+                for low in range(starts[first], ends[last - 1], wide):
+                    high = min(low + wide, ends[last - 1])
+                    if whole:
+                        block.look(low, high, rows)
+                    else:
+                        block.look(low, high, rows, np.repeat(open_, sizes, axis=1)[:, low - starts[first] : high - starts[first]])
+            else:
+                for cell in np.flatnonzero(asked.any(axis=0)):
+                    wanting = np.flatnonzero(asked[:, cell])
+                    for low in range(starts[first + cell], ends[first + cell], wide):
+                        block.look(low, min(low + wide, ends[first + cell]), wanting)
+        first = last
+
+
+def _group_kernel(k: int, wanted, twice: bool):
+    """The k nearest in a tile of cells; ``wanted(queries, vectors, cells)`` gives a bound and the open cells."""
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, ids, found = left["query_id"].combine_chunks(), right["id"].combine_chunks(), []
+        if len(left) and len(right):
+            cell = right["_cell"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            numbers, starts = np.unique(cell[order], return_index=True)
+            ids = ids.take(pa.array(order))
+            index = _matrix(right["index_vector"].combine_chunks())[order]
+            norms = np.einsum("ij,ij->i", index, index)
+            named = ids.to_numpy(zero_copy_only=False)
+            if twice:
+                ranks = np.unique(named, return_inverse=True)[1]
+            else:
+                ranks = np.argsort(np.argsort(named, kind="stable"), kind="stable")
+            for start in range(0, len(left), _BLOCK):
+                some = left.slice(start, _BLOCK)
+                vectors = _matrix(some["query_vector"].combine_chunks())
+                bound, cells = wanted(some, vectors, numbers)
+                block = _Block(vectors, index, norms, ranks, k, bound, twice)
+                _closest_open(block, starts, cells)
+                found.append((start + block.row, block.position, block.distance))
+        row, position, distance = (np.concatenate(part) for part in zip(*found, strict=True)) if found else ([], [], [])
+        return pa.table(
+            {
+                "query_id": names.take(pa.array(row, pa.int64())),
+                "id": ids.take(pa.array(position, pa.int64())),
+                "distance": pa.array(distance, pa.float64()),
+            }
+        )
+
+    return kernel
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every entry."""
+    lists = lists.combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _listed(some: pa.Table, vectors: np.ndarray, numbers: np.ndarray):
+    """The cells in ``_cells``, or all if that is NULL."""
+    lists = some["_cells"]
+    cells = np.zeros((len(some), len(numbers)), bool)
+    cells[lists.is_null().to_numpy()] = True
+    row, value = _flat(lists.fill_null([]) if lists.null_count else lists)
+    at = np.minimum(np.searchsorted(numbers, value), len(numbers) - 1)
+    here = numbers[at] == value
+    cells[row[here], at[here]] = True
+    return np.inf, cells
+
+
+class _Groups:
+    """Neighbouring cells in groups that fill a tile; a cell that is larger is alone and has several tiles.
+
+    Half a tile is taken, since the rows are held twice while they are put in order, and less where
+    the index would come to so few tiles that slots were idle.
+    """
+
+    def __init__(self, spark: SparkSession, cells: dict[int, int], places: np.ndarray, length: int):
+        """``cells`` has the rows of every cell by its number, ``places`` a centre for each of them in that order."""
+        self.spark = spark
+        self.slots = 4 * spark.sparkContext.defaultParallelism
+        self.cells, self.rows, self.length = list(cells), np.array(list(cells.values()), np.int64), length
+        even = math.ceil(self.rows.sum() / math.isqrt(self.slots))
+        self.room = min(_rows_in(TILE_BYTES // 2, length), max(4 * _BLOCK, even))
+        of, todo, self.count = np.zeros(len(self.rows), np.int64), [np.arange(len(self.rows))] if len(self.rows) else [], 0
+        while todo:
+            some = todo.pop()
+            total = self.rows[some].sum()
+            if len(some) == 1 or total <= self.room:
+                of[some] = self.count
+                self.count += 1
+                continue
+            axis = np.ptp(places[some], axis=0).argmax()
+            some = some[np.argsort(places[some, axis], kind="stable")]
+            half = int(np.clip(np.searchsorted(np.cumsum(self.rows[some]), total / 2), 1, len(some) - 1))
+            todo += [some[half:], some[:half]]
+        # By number of the cell; -1 for cells without rows.
+        self.of = np.full(max(self.cells, default=-1) + 1, -1)
+        self.of[self.cells] = of
+        self.sizes = np.bincount(of, minlength=self.count)
+
+    def shares(self):
+        """From a list of cells to the groups they are in, each with its cells of the list, or NULL for all it has."""
+        # Bounded by the number of cells.
+        shared = self.spark.sparkContext.broadcast((self.of, self.sizes))
+
+        @F.arrow_udf("array<struct<_group: int, _cells: array<int>>>")
+        def share(lists: pa.Array) -> pa.Array:
+            return pa.concat_arrays([_shares(lists.slice(at, _BLOCK), *shared.value) for at in range(0, max(1, len(lists)), _BLOCK)])
+
+        return share
+
+    def layout(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Tiles and parts by ``_group`` and by ``_cell``, of the groups that are asked for."""
+        # One row per group.
+        wanted = {r["_group"]: r["n"] for r in asked.groupBy("_group").agg(F.count("query_id").alias("n")).collect()}
+        held = np.zeros(self.count, np.int64)
+        np.add.at(held, self.of[self.cells], self.rows)
+        tiles = -(-held // self.room)
+        spread = math.ceil(self.slots / max(1, tiles.sum()))
+        most = _rows_in(PART_BYTES, self.length)
+        by_group = {
+            group: (group, int(tiles[group]), max(1, math.ceil(n / most), min(spread, n // (4 * _BLOCK))))
+            for group, n in wanted.items()
+            if group < self.count
+        }
+        by_cell = [(cell, *by_group[self.of[cell]]) for cell in self.cells if self.of[cell] in by_group]
+        columns = ("_group", "_tiles", "_parts")
+        return self._table(list(by_group.values()), *columns), self._table(by_cell, "_cell", *columns)
+
+    def _table(self, rows: list[tuple], *names: str) -> DataFrame:
+        """Rows of whole numbers; as Arrow, since a list of rows would go through Python workers."""
+        schema = pa.schema([(name, pa.int32()) for name in names])
+        return self.spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, row, strict=True)) for row in rows], schema))
+
+
+def _shares(lists: pa.Array, of: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    row, cell = _flat(pa.chunked_array([lists]))
+    held = cell < len(of)
+    row, cell = row[held], cell[held].astype(np.int64)
+    held = of[cell] >= 0
+    row, cell = row[held], cell[held]
+    order = np.lexsort((cell, of[cell], row))
+    row, cell, group = row[order], cell[order], of[cell[order]]
+    begins = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+    lengths = np.diff(begins, append=len(row))
+    whole = lengths == sizes[group[begins]]
+    ends = np.concatenate([[0], np.cumsum(np.where(whole, 0, lengths))]).astype(np.int32)
+    part = pa.array(cell[np.repeat(~whole, lengths)].astype(np.int32))
+    cells = pa.ListArray.from_arrays(pa.array(ends), part, mask=pa.array(whole))
+    entries = pa.StructArray.from_arrays([pa.array(group[begins].astype(np.int32)), cells], ["_group", "_cells"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[begins], np.arange(len(lists) + 1)).astype(np.int32)), entries)
+
+
+def _meet(
+    asked: DataFrame, index: DataFrame, groups: _Groups, k: int, wanted=_listed, twice: bool = False
+) -> DataFrame:
+    """Queries meet the groups of cells they ask for: ``asked`` has a row for each ``_group`` of a query, ``index`` has ``_cell``.
+
+    What ``wanted`` needs comes with the query. The queries of a group are cut into parts, so tasks stay within bounds.
+    """
+    by_group, by_cell = (F.broadcast(layout) for layout in groups.layout(asked))
     left = (
-        asked.join(layout, "_cell")
+        asked.join(by_group, "_group")
         .withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int"))
         .withColumn("_tile", _every(F.col("_tiles")))
         .drop("_tiles", "_parts")
     )
     right = (
-        index.join(layout, "_cell")
+        index.join(by_cell, "_cell")
         .withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
         .withColumn("_part", _every(F.col("_parts")))
         .drop("_tiles", "_parts")
     )
-    return _found(left, right, ["_cell", "_tile", "_part"], k)
+    return _found(left, right, ["_group", "_tile", "_part"], _group_kernel(k, wanted, twice))
+
+
+def _shared_out(queries: DataFrame, groups: _Groups, cells: str) -> DataFrame:
+    """A row for each group that the list ``cells`` of a query is in, with the cells there."""
+    shares = queries.select("query_id", "query_vector", F.explode(groups.shares()(cells)).alias("_share"))
+    return shares.select("query_id", "query_vector", "_share.*")
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -188,7 +390,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     right = index.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn(
         "_part", _every(F.lit(parts))
     )
-    return _placed(_found(left, right, ["_part", "_tile"], k), k)
+    return _placed(_found(left, right, ["_part", "_tile"], _cell_kernel(k)), k)
 
 
 def _centres(index: DataFrame, rows: int, length: int, cells: int, sample_rows: int, seed: int) -> np.ndarray:
@@ -223,6 +425,13 @@ def _cells_of(spark: SparkSession, centres: np.ndarray, count: int):
     return cells
 
 
+def _held(index: DataFrame, centres: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
+    """The rows of every cell that has some, and the centres of those."""
+    # One row per cell.
+    held = dict(sorted(map(tuple, index.groupBy("_cell").agg(F.count(F.lit(1))).collect())))
+    return held, centres[list(held)]
+
+
 def nearest_cells(
     queries: DataFrame,
     index: DataFrame,
@@ -241,19 +450,23 @@ def nearest_cells(
     rows are those of ``nearest``. A query whose cells hold fewer than k rows
     gets as many as they hold.
 
-    A large cell is cut into tiles and the queries in it into parts. Index rows
-    are shuffled once; only a cell whose queries fill several parts sends each
-    of them a copy.
+    Cells are put together to tiles, and a query is sent once to each tile that
+    has cells of its own, so that what is shuffled grows with the tiles and not with the
+    cells. A large cell is cut into tiles and the queries of a tile into parts; each
+    part gets a copy of the tile.
     """
     spark = queries.sparkSession
     queries, _, index, index_rows, length = _measured(queries, index)
     centres = _centres(index, index_rows, length, cells or min(MOST_CELLS, math.isqrt(index_rows)), sample_rows, seed)
     count = min(probes or len(centres), len(centres))
     index = materialize(index.withColumn("_cell", _cells_of(spark, centres, 1)("index_vector")[0]), "index-cells")
-    queries = materialize(
-        queries.withColumn("_cells", _cells_of(spark, centres, count)("query_vector")), "query-cells"
-    )
-    return _placed(_meet(queries.withColumn("_cell", F.explode("_cells")).drop("_cells"), index, length, k), k)
+    groups = _Groups(spark, *_held(index, centres), length)
+    if count == len(centres):
+        asked = queries.withColumn("_group", _every(F.lit(max(1, groups.count)))).withColumn("_cells", F.lit(None).cast("array<int>"))
+    else:
+        probed = queries.withColumn("_probed", _cells_of(spark, centres, count)("query_vector"))
+        asked = materialize(_shared_out(probed, groups, "_probed"), "query-cells")
+    return _placed(_meet(asked, index, groups, k), k)
 
 
 # --- exact answers from a part of the cells -------------------------------------
@@ -277,16 +490,26 @@ class _Rings:
         self.number, self.cell, self.rows = (np.array([r[i] for r in rings], np.int64) for i in range(3))
         self.low, self.high = (np.array([r[i] for r in rings]) for i in (3, 4))
 
-    def bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, points: np.ndarray, some=slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Distances to the centres of the rings' cells, and the least that a row of each ring can have.
 
-        The second is lowered by more than rounding can raise it.
+        The second is lowered by more than rounding can raise it. ``some`` are places of rings.
         """
-        away = _distances(points, self.centres)[:, self.cell]
-        least = np.maximum(0.0, np.maximum(away - self.high, self.low - away))
-        slack = _SLACK * (1.0 + away + self.high)
+        cells, which = np.unique(self.cell[some], return_inverse=True)
+        away = _distances(points, self.centres[cells])[:, which]
+        least = np.maximum(0.0, np.maximum(away - self.high[some], self.low[some] - away))
+        slack = _SLACK * (1.0 + away + self.high[some])
         return away, np.maximum(0.0, least - slack)
 
+    def reach(self, points: np.ndarray, bounds: np.ndarray, seen: tuple[np.ndarray, np.ndarray], some=slice(None)) -> np.ndarray:
+        """Which rings may hold a row within the bound of a query, without those seen (row, number)."""
+        near = self.bounds(points, some)[1] <= np.sqrt(bounds)[:, None] * (1.0 + _SLACK)
+        numbers, (row, number) = self.number[some], seen
+        at = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
+        here = numbers[at] == number
+        near[row[here], at[here]] = False
+        return near
+
 
 # Relative error that is granted to distances taken from products.
 _SLACK = 1e-6
@@ -323,23 +546,40 @@ def _first_rings(shared, k: int):
     return first
 
 
-def _other_rings(shared):
-    """The rings that may hold a row within the bound, without those looked at already."""
+def _other_groups(shared, of: np.ndarray):
+    """The groups of rings that may hold a row within the bound, and how many rings, without those looked at already."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<groups: array<int>, rings: int>")
     def other(vectors: pa.Array, bounds: pa.Array, seen: pa.Array) -> pa.Array:
-        rings, points, out = shared.value, _matrix(vectors), []
-        limit = np.sqrt(bounds.to_numpy(zero_copy_only=False))
+        rings, points, groups, counts = shared.value, _matrix(vectors), [], []
+        limit = bounds.to_numpy(zero_copy_only=False)
+        if not len(rings.number):
+            return pa.StructArray.from_arrays([_lists([[]] * len(points)), pa.array([0] * len(points), pa.int32())], ["groups", "rings"])
+        # Rings by group, so that those of a group stand together.
+        mine = of[rings.number]
+        order = np.argsort(mine, kind="stable")
+        numbers, begins = np.unique(mine[order], return_index=True)
         for start in range(0, len(points), _BLOCK):
-            _, least = rings.bounds(points[start : start + _BLOCK])
-            for at, row in enumerate(least, start):
-                near = rings.number[row <= limit[at] * (1.0 + _SLACK)]
-                out.append(np.setdiff1d(near, seen[at].values.to_numpy(zero_copy_only=False)))
-        return _lists(out)
+            span = slice(start, start + _BLOCK)
+            near = rings.reach(points[span], limit[span], _flat(pa.chunked_array([seen.slice(start, _BLOCK)])))
+            counts.append(near.sum(axis=1))
+            groups += [numbers[row] for row in np.logical_or.reduceat(near[:, order], begins, axis=1)]
+        counts = np.concatenate(counts) if counts else np.empty(0)
+        return pa.StructArray.from_arrays([_lists(groups), pa.array(counts.astype(np.int32))], ["groups", "rings"])
 
     return other
 
 
+def _in_reach(shared):
+    """The rings of a tile that ``_bound`` does not rule out, without ``_seen``."""
+
+    def wanted(some: pa.Table, vectors: np.ndarray, numbers: np.ndarray):
+        rings, bound = shared.value, some["_bound"].to_numpy()
+        return bound, rings.reach(vectors, bound, _flat(some["_seen"]), np.searchsorted(rings.number, numbers))
+
+    return wanted
+
+
 def nearest_pruned(
     queries: DataFrame,
     index: DataFrame,
@@ -357,7 +597,8 @@ def nearest_pruned(
     query. First a query meets the nearest rings that hold k rows; the distance
     of the last of those bounds its answer, and then it meets the rings
     that the bound does not rule out. Tasks get parts and tiles of bounded size
-    as in ``nearest_cells``, and a query with fewer than k rows to find meets all.
+    as in ``nearest_cells``: a query goes once to each tile that has such a ring, with the
+    bound and no list of rings. A query with fewer than k rows to find meets all.
     """
     spark = queries.sparkSession
     queries, asked, index, index_rows, length = _measured(queries, index)
@@ -382,10 +623,13 @@ def nearest_pruned(
     known = index.groupBy("_cell").agg(
         F.first("cell").alias("cell"), F.count(F.lit(1)).alias("rows"), F.min("away").alias("low"), F.max("away").alias("high")
     )
-    shared = spark.sparkContext.broadcast(_Rings(centres, sorted(map(tuple, known.collect()))))
+    rings_ = _Rings(centres, sorted(map(tuple, known.collect())))
+    shared = spark.sparkContext.broadcast(rings_)
+    groups = _Groups(spark, dict(zip(rings_.number.tolist(), rings_.rows.tolist(), strict=True)), centres[rings_.cell], length)
     index = index.select("id", "index_vector", "_cell")
     begun = materialize(queries.withColumn("_seen", _first_rings(shared, k)("query_vector")), "query-rings")
-    first = materialize(_meet(begun.withColumn("_cell", F.explode("_seen")).drop("_seen"), index, length, k), "first-hits")
+    nearest_rings = materialize(_shared_out(begun, groups, "_seen"), "query-groups")
+    first = materialize(_meet(nearest_rings, index, groups, k), "first-hits")
     # The k-th of the first hits; without so many, everything is looked at.
     bounds = _placed(first, k).groupBy(F.col("query_id").alias("_id")).agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_bound")
@@ -393,10 +637,13 @@ def nearest_pruned(
     wanted = begun.join(bounds, F.col("query_id") == F.col("_id"), "left").withColumn(
         "_bound", F.coalesce("_bound", F.lit(float("inf")))
     )
-    rest = materialize(wanted.withColumn("_more", _other_rings(shared)("query_vector", "_bound", "_seen")), "query-rings")
-    visited = rest.agg(F.sum(F.size("_seen") + F.size("_more"))).first()[0] or 0
-    later = _meet(rest.select("query_id", "query_vector", F.explode("_more").alias("_cell")), index, length, k)
-    return Pruned(_placed(first.unionByName(later), k), int(visited), asked * len(shared.value.number))
+    more = _other_groups(shared, groups.of)("query_vector", "_bound", "_seen")
+    rest, found = materialize_counted(
+        wanted.withColumn("_more", more), "query-rings", visited=F.sum(F.size("_seen") + F.col("_more.rings"))
+    )
+    later = rest.select("query_id", "query_vector", "_bound", "_seen", F.explode("_more.groups").alias("_group"))
+    later = _meet(later, index, groups, k, _in_reach(shared))
+    return Pruned(_placed(first.unionByName(later), k), found["visited"], asked * len(rings_.number))
 
 
 # --- a recall that is asked for --------------------------------------------------
@@ -462,9 +709,10 @@ def nearest_calibrated(
             probes, measured = int(rank), share
             break
     held = index.withColumn("_cell", F.explode("_homes")).drop("_homes")
-    probing = materialize(queries.withColumn("_cells", _cells_of(spark, centres, probes)("query_vector")), "query-cells")
-    hits = _meet(probing.withColumn("_cell", F.explode("_cells")).drop("_cells"), held, length, k)
-    # A row in two cells is found twice, at the same distance.
+    groups = _Groups(spark, *_held(held, centres), length)
+    probing = queries.withColumn("_probed", _cells_of(spark, centres, probes)("query_vector"))
+    hits = _meet(materialize(_shared_out(probing, groups, "_probed"), "query-cells"), held, groups, k, twice=True)
+    # A row in cells of two groups is found twice, at the same distance.
     return _placed(hits.dropDuplicates(["query_id", "id"]), k).select(
         "*", F.lit(probes).alias("probes"), F.lit(measured).alias("measured_recall")
     )
